@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, exact_dedup, line_dedup, mixing, repetition, simhash, token_records
+from lodestone.llm import bpe, exact_dedup, line_dedup, mixing, passages, pii, repetition, simhash, suffix_dedup, token_records
 from lodestone.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,9 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": lambda s, d: exact_dedup.op2(documents(s, d)),
         "op3_mixing": lambda s, d: mixing.op3(documents(s, d)),
         "op4_quality": lambda s, d: repetition.op4(documents(s, d)),
+        "op5_suffix_dedup": lambda s, d: suffix_dedup.op5(documents(s, d)),
         "op6_line_dedup": lambda s, d: line_dedup.op6(documents(s, d)),
+        "op7_pii": lambda s, d: pii.op7(documents(s, d)),
         "op8_simhash": lambda s, d: simhash.op8(documents(s, d)),
         "op9_token_records": lambda s, d: token_records.op9(documents(s, d), tokenizer),
+        "op10_passages": lambda s, d: passages.op10(documents(s, d)),
     }
 
 

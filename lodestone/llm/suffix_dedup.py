@@ -334,6 +334,22 @@ def splitters_of(spark: SparkSession, packs: DataFrame, plan: dict, n: int) -> n
     return lead[np.linspace(0, len(lead), n + 1)[1:-1].astype(int)] if len(lead) else lead
 
 
+def count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers which fingerprints of a pack another pack has."""
+    for bucket, rows in bucket_groups(batches):
+        mark = np.concatenate([unpacked(blob, n)[0] for _, n, blob in rows])
+        order = np.argsort(mark)
+        same = mark[order][1:] == mark[order][:-1]
+        hit = np.zeros(len(mark), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        yield answer_batch(bucket, [r[0] for r in rows], [r[1] for r in rows], hit)
+
+
+def owned(rows: DataFrame, run) -> DataFrame:
+    """Answers of the tasks that own the buckets."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
+
+
 def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) for every document."""
     spark = docs.sparkSession
@@ -346,18 +362,6 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_entries
             mark, _ = Pack(row, plan).marks()
             yield bucket_rows(row["pack"], of_buckets(plan["mark_buckets"], mark, None), mark >> np.uint64(8))
 
-    def count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in bucket_groups(batches):
-            mark = np.concatenate([unpacked(blob, n)[0] for _, n, blob in rows])
-            order = np.argsort(mark)
-            same = mark[order][1:] == mark[order][:-1]
-            hit = np.zeros(len(mark), bool)
-            hit[order[1:][same]] = hit[order[:-1][same]] = True
-            yield answer_batch(bucket, [r[0] for r in rows], [r[1] for r in rows], hit)
-
-    def owned(rows: DataFrame, run) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
-
     plan["marks"] = write_answers(owned(packs.mapInArrow(send_marks, ROWS), count_marks), "mark-answers")
     buckets = max(8, size // 6 // bucket_entries)
     splitters = splitters_of(spark, packs, plan, buckets)
