@@ -49,7 +49,7 @@ SELECT 'E' || CAST(o_custkey AS STRING) AS entity_id, o_orderkey AS seq, CASE o_
   'src' || CAST(o_orderkey % 4 AS STRING) AS source, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'day' || CAST(o_orderkey % 6 AS STRING) END AS published_at FROM {orders}""",
     "telemetry": """
 SELECT event_id AS seq, 'source' || CAST(user_id % 12 AS STRING) AS source, 'run' || CAST(user_id AS STRING) AS run_id, ts, event_type,
-  CAST(value AS BIGINT) AS n, event_id % 7 AS k FROM {events}""",
+  CAST(floor(value) AS BIGINT) AS n, event_id % 7 AS k FROM {events}""",
     "applications": """
 SELECT CAST(o_orderkey AS STRING) AS record_id, CASE o_orderkey % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'not_applied' ELSE 'interviewing' END AS applied_status,
   CASE o_orderkey % 4 WHEN 0 THEN 'scheduled' ELSE 'none' END AS interview_status, o_orderdate AS updated_at, 'u' || CAST(o_custkey % 5 AS STRING) AS user_id FROM {orders} WHERE o_orderkey % 3 < 2 AND o_orderkey % 4 < 3""",

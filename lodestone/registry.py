@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("web", "postings")
+MODULES = ("web", "postings", "listings", "series")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
