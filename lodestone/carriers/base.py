@@ -45,7 +45,7 @@ SELECT page_id AS seq, url, 'wave' || CAST(page_id % 4 AS STRING) AS wave, CASE
   WHEN 3 THEN 'https://www.googleadservices.com/pagead/aclk?x=1' ELSE url END AS link FROM {pages}""",
     "facts": """
 SELECT 'E' || CAST(o_custkey AS STRING) AS entity_id, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'Revenue' WHEN 1 THEN 'revenue' ELSE 'headquarters' END AS field,
-  CASE o_orderkey % 3 WHEN 2 THEN CASE o_orderkey % 4 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Riyadh, KSA' ELSE 'Dubai' END ELSE CAST(CAST(o_totalprice AS BIGINT) % 40 + 60 AS STRING) || '%' END AS value_text,
+  CASE o_orderkey % 3 WHEN 2 THEN CASE o_orderkey % 4 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Riyadh, KSA' ELSE 'Dubai' END ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 60 AS STRING) || '%' END AS value_text,
   'src' || CAST(o_orderkey % 4 AS STRING) AS source, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'day' || CAST(o_orderkey % 6 AS STRING) END AS published_at FROM {orders}""",
     "telemetry": """
 SELECT event_id AS seq, 'source' || CAST(user_id % 12 AS STRING) AS source, 'run' || CAST(user_id AS STRING) AS run_id, ts, event_type,

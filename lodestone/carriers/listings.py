@@ -55,7 +55,7 @@ BARE = r"trim(regexp_replace(regexp_replace(company, '(?i)\b(inc|llc|ltd|pvt|lim
 POSTING = "(seq % 8 IN (0, 1, 3, 4, 6))"
 
 ORACLES = {
-    "a11_document_upsert": f"WITH {DOCS}, o AS (SELECT document_id, n % 2 AS side, max(retrieved_at) AS "at", min(n) AS id, max(http_status) AS status FROM docs GROUP BY 1, 2) SELECT document_id, max("at") AS "at", arg_min(id, "at") AS id, arg_max(status, "at") AS status FROM o GROUP BY 1",
+    "a11_document_upsert": f'''WITH {DOCS}, o AS (SELECT document_id, n % 2 AS side, max(retrieved_at) AS "at", min(n) AS id, max(http_status) AS status FROM docs GROUP BY 1, 2) SELECT document_id, max("at") AS "at", arg_min(id, "at") AS id, arg_max(status, "at") AS status FROM o GROUP BY 1''',
     "a12_record_upsert": oracle(f"WITH {DOCS}, k AS (SELECT DISTINCT run_id, document_id FROM docs), m AS (SELECT run_id, min(document_id) AS spare FROM k GROUP BY 1) SELECT p.record_id, coalesce(k.document_id, m.spare) AS document_id FROM postings p LEFT JOIN k ON k.run_id = p.run_id AND k.document_id = p.document_id LEFT JOIN m ON m.run_id = p.run_id", "postings"),
     "d1_listing_detail": oracle("SELECT p.record_id, coalesce(a.applied_status, 'not_applied') AS applied_status, coalesce(a.interview_status, 'none') AS interview_status, coalesce(e.n, 0) AS n_evidence FROM postings p LEFT JOIN applications a ON a.record_id = p.record_id LEFT JOIN (SELECT record_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.record_id = p.record_id", "postings", "applications", "evidence"),
     "d2_saved_listings": oracle("SELECT a.record_id, user_id, title FROM applications a JOIN postings p ON p.record_id = a.record_id", "postings", "applications"),
