@@ -29,7 +29,7 @@ def calls(s, d):
     return table(s, d, "events").selectExpr("'source' || CAST(user_id % 15 AS STRING) AS source", "CAST(floor(value) AS BIGINT) AS results", "CASE WHEN event_type = 'error' AND user_id % 15 > 3 THEN CASE event_id % 4 WHEN 0 THEN 'Read timeout' WHEN 1 THEN 'HTTP 403' WHEN 2 THEN '429 Too Many' ELSE 'boom' END END AS error", "event_id % 100 AS latency")
 
 
-LOW = F.col("n") < 20
+LOW = lambda: F.col("n") < 20
 QUERIES = {
     "f2_sma": lambda s, d: m.sma(bars(s, d), 20).select("symbol", "ts", F.round("sma", 4).alias("sma")),
     "f3_ema": lambda s, d: m.ema(bars(s, d), 12).select("symbol", F.round("ema", 4).alias("ema")),
@@ -38,7 +38,7 @@ QUERIES = {
     "f6_atr": lambda s, d: m.atr(bars(s, d)).select("symbol", F.round("atr", 4).alias("atr")),
     "f7_volume_ratio": lambda s, d: m.volume_ratio(bars(s, d)).select("symbol", F.round("ratio", 6).alias("ratio")),
     "f8_weekly_return": lambda s, d: m.weekly_return(bars(s, d)).select("symbol", F.round("change", 6).alias("change")),
-    "f9_low_yield_streak": lambda s, d: m.low_yield_streak(tele(s, d), "run_id", "seq", LOW).select("run_id", "seq", "streak", "alert"),
+    "f9_low_yield_streak": lambda s, d: m.low_yield_streak(tele(s, d), "run_id", "seq", LOW()).select("run_id", "seq", "streak", "alert"),
     "f10_latest_state": lambda s, d: m.latest_state(tele(s, d), "run_id", "seq").select("run_id", "seq", "event_type"),
     "e2_source_productivity": lambda s, d: m.source_productivity(tele(s, d)).select("source", "unique", "qualified", *[F.round(c, 9).alias(c) for c in ("qualified_yield", "duplicate_rate", "rejection_rate", "productivity")]),
     "e11_search_yield": lambda s, d: m.search_yield(tele(s, d), ["run_id"], "n", "k").select("run_id", "hits", "new", F.round(F.col("new") / F.col("hits"), 9).alias("yield")),
