@@ -3,9 +3,9 @@
 A byte goes when a 50-byte string that covers it also starts in a document with a smaller doc_id. Three passes over packs
 of documents (some MB of text each, stored compressed in the shared folder, so that later passes read what the first saw):
 
-1. Filter. The least hash of a 16-byte gram within each 50-byte string is a sampled fingerprint: equal strings have equal
-   fingerprints. Packs send their distinct fingerprints (one for about 18 bytes) to buckets, which answer with one bit each:
-   does another pack have it. A suffix whose head has a fingerprint seen once can't repeat and takes no further part.
+1. Filter. The least hash of a 24-byte gram within each 50-byte string is a sampled fingerprint: equal strings have equal
+   fingerprints. Packs send their distinct fingerprints (one for about 14 bytes) to buckets, which answer with those that
+   another document has. A suffix whose head has a fingerprint seen once can't repeat and takes no further part.
 2. Suffix array. The other suffixes are range-partitioned by their leading bytes with splitters from a bounded sample;
    each bucket sorts its suffixes by leading bytes and then by the fingerprint of the whole 50-byte head (a multikey
    sort with 8-byte characters) and compares neighbours. Equal heads have equal keys, so none straddles a boundary. A
@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import join_skewed, scratch_path, stored
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 PACK_BYTES = 6 << 20
 CHUNK_BYTES = 1 << 20
 BUCKET_ENTRIES = 1 << 20
 SAMPLE = 1 << 14  # suffixes from which splitters are taken
+SAMPLED_PACKS = 24
 LAST_ID = (1 << 63) - 1
 
 C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -59,14 +60,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from each place on, for the places that have them."""
+    """Hash of the 24 bytes from each place on, for the places that have them: 8, 16 and then 16 and 8 bytes."""
     with np.errstate(over="ignore"):
-        h, factor, width = BYTE[data], C1, 1
-        while width < GRAM:
+        h, factor = BYTE[data], C1
+        for width in (1, 2, 4):
             h = h[:-width] * factor + h[width:]
             factor = factor * factor
-            width *= 2
-        return mix(h)
+        eight = h
+        h = h[:-8] * factor + h[8:]
+        return mix(h[:-8] * factor + eight[16:])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -107,7 +109,7 @@ class Heads:
         """Seven leading bytes and a hash byte, and 48 further bits of the hash."""
         with np.errstate(over="ignore"):
             g = self.gram
-            h = mix(g[at] * C1 + g[at + 16] * C2 + g[at + 32] * C3 + g[at + LENGTH - GRAM] * C4)
+            h = mix(g[at] * C1 + g[at + GRAM] * C3 + g[at + LENGTH - GRAM] * C4)
         lead = np.zeros(len(at), np.uint64)
         for i in range(7):
             lead = lead << np.uint64(8) | self.data[at + i]
@@ -233,42 +235,45 @@ class Pack:
         return mark[start], several
 
     def repeated_marks(self) -> np.ndarray:
-        mark, several = self.marks()
-        bucket = of_buckets(self.plan["mark_buckets"], mark, None)
-        for b, blob in read_answers(self.plan["marks"], self.row["pack"]).items():
-            at = np.flatnonzero(bucket == b)
-            several[at] |= flags(blob, len(at))
-        return mark[several]
+        """The fingerprints, as sent, that another document has; sorted."""
+        found = [unpacked(blob[4:], int.from_bytes(blob[:4], "little"))[0] for blob in read_answers(self.plan["marks"], self.row["pack"]).values()]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
     def candidates(self) -> Iterator[tuple[np.ndarray, list[bytes], Heads, np.ndarray]]:
         """By chunk: places, texts, heads and the places of the heads whose fingerprint repeats."""
         repeated = self.repeated_marks()
         for places, texts in texts_of(self.row, self.copies):
             heads = Heads(texts)
-            mark = mix(heads.mark + C4)
+            mark = sent(mix(heads.mark + C4))
             found = np.searchsorted(repeated, mark)
             hit = np.zeros(len(mark), bool)
             inside = found < len(repeated)
             hit[inside] = repeated[found[inside]] == mark[inside]
             yield places, texts, heads, heads.at[hit]
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct candidate heads of the pack in order, with their smallest doc_id."""
+    def entries(self, keep: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct candidate heads of the pack in order, with their smallest doc_id. keep gets what each chunk found."""
         lead, rest, doc = [], [], []
-        for places, _, heads, at in self.candidates():
-            if len(at):
-                a, b = heads.keys(at)
-                lead.append(a)
-                rest.append(b)
-                doc.append(self.ids[places[heads.docs(at)]])
+        for places, texts, heads, at in self.candidates():
+            a, b = heads.keys(at) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            own = self.ids[places[heads.docs(at)]] if len(at) else np.zeros(0, np.int64)
+            lead.append(a)
+            rest.append(b)
+            doc.append(own)
+            if keep is not None:
+                keep.append((places, texts, at, own))
         if not lead:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         lead, rest, doc = np.concatenate(lead), np.concatenate(rest), np.concatenate(doc)
         order = np.lexsort((doc, rest, lead))
-        lead, rest, doc = lead[order], rest[order], doc[order]
         start = np.ones(len(lead), bool)
-        start[1:] = (lead[1:] != lead[:-1]) | (rest[1:] != rest[:-1])
-        return lead[start], rest[start], doc[start]
+        start[1:] = (lead[order][1:] != lead[order][:-1]) | (rest[order][1:] != rest[order][:-1])
+        if keep is not None:  # the entry of each head, in the order of the chunks
+            entry = np.empty(len(order), np.int32)
+            entry[order] = np.cumsum(start) - 1
+            keep.append(entry)
+        first = order[start]
+        return lead[first], rest[first], doc[first]
 
 
 def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -321,7 +326,7 @@ def whole_copies(packs: DataFrame) -> DataFrame:
 
 
 def splitters_of(spark: SparkSession, packs: DataFrame, plan: dict, n: int) -> np.ndarray:
-    """n - 1 keys that cut the suffixes into even ranges, from the SAMPLE suffixes of least hash (a bounded sample)."""
+    """n - 1 keys that cut the suffixes into even ranges, from SAMPLE suffixes of the SAMPLED_PACKS packs of least hash (a bounded sample)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pack_rows(batches):
@@ -329,20 +334,39 @@ def splitters_of(spark: SparkSession, packs: DataFrame, plan: dict, n: int) -> n
                 lead, rest = heads.keys(at[:: max(1, len(at) // 256)])
                 yield pa.RecordBatch.from_arrays([pa.array(rest.view(np.int64)), pa.array(lead.view(np.int64))], names=["rest", "lead"])
 
-    rows = packs.mapInArrow(run, "rest long, lead long").orderBy("rest").limit(SAMPLE).collect()
+    chosen = [r[0] for r in packs.select("pack").orderBy(F.xxhash64("pack")).limit(SAMPLED_PACKS).collect()]
+    rows = packs.filter(F.col("pack").isin(chosen)).mapInArrow(run, "rest long, lead long").orderBy("rest").limit(SAMPLE).collect()
     lead = np.sort(np.array([r[1] for r in rows], np.int64).view(np.uint64))
     return lead[np.linspace(0, len(lead), n + 1)[1:-1].astype(int)] if len(lead) else lead
 
 
+def sent(mark: np.ndarray) -> np.ndarray:
+    """Fingerprints as they go to the buckets: 56 bits."""
+    return mark >> np.uint64(8)
+
+
+def mark_rows(pack: "Pack") -> pa.RecordBatch:
+    """A pack's distinct fingerprints by bucket; the lowest bit says that two of its documents have it."""
+    mark, several = pack.marks()
+    return bucket_rows(pack.row["pack"], of_buckets(pack.plan["mark_buckets"], mark, None), sent(mark) << np.uint64(1) | several)
+
+
 def count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers which fingerprints of a pack another pack has."""
+    """Answers each pack with those of its fingerprints that another document has."""
     for bucket, rows in bucket_groups(batches):
-        mark = np.concatenate([unpacked(blob, n)[0] for _, n, blob in rows])
+        value = np.concatenate([unpacked(blob, n)[0] for _, n, blob in rows])
+        mark, hit = value >> np.uint64(1), (value & np.uint64(1)) > 0
         order = np.argsort(mark)
         same = mark[order][1:] == mark[order][:-1]
-        hit = np.zeros(len(mark), bool)
         hit[order[1:][same]] = hit[order[:-1][same]] = True
-        yield answer_batch(bucket, [r[0] for r in rows], [r[1] for r in rows], hit)
+        begin, said = 0, []
+        for pack, n, _ in rows:
+            found = mark[begin : begin + n][hit[begin : begin + n]]
+            begin += n
+            if len(found):
+                said.append((pack, len(found).to_bytes(4, "little") + packed(found)))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in said], pa.int64()), pa.array([bucket] * len(said), pa.int32()), pa.array([b for _, b in said], pa.binary())], names=["pack", "bucket", "bits"])
+
 
 
 def owned(rows: DataFrame, run) -> DataFrame:
@@ -359,8 +383,7 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_entries
 
     def send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pack_rows(batches):
-            mark, _ = Pack(row, plan).marks()
-            yield bucket_rows(row["pack"], of_buckets(plan["mark_buckets"], mark, None), mark >> np.uint64(8))
+            yield mark_rows(Pack(row, plan))
 
     plan["marks"] = write_answers(owned(packs.mapInArrow(send_marks, ROWS), count_marks), "mark-answers")
     buckets = max(8, size // 6 // bucket_entries)
@@ -394,27 +417,22 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_entries
 
 
 def cut_pack(pack: Pack, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    lead, rest, least = pack.entries()
+    kept: list = []
+    lead, _, least = pack.entries(kept)
     bucket = of_buckets(0, lead, splitters)
     earlier = np.zeros(len(lead), bool)
     for b, blob in read_answers(pack.plan["heads"], pack.row["pack"]).items():
         at = np.flatnonzero(bucket == b)
         earlier[at] = flags(blob, len(at))
-    out = []
-    for place in sorted(pack.copies):
-        n = pack.row["sizes"][place]
-        out.append((place, n, n, 1, b""))
-    entry = np.zeros(len(lead), dtype=[("a", "u8"), ("b", "u8")])
-    entry["a"], entry["b"] = lead, rest
-    del lead, rest
-    for places, texts, heads, at in pack.candidates():
-        edge = np.zeros(len(heads.data) + 1, np.int32)
-        if len(at):
-            a, b = heads.keys(at)
-            i = find(entry, a, b)
-            gone = at[earlier[i] | (least[i] < pack.ids[places[heads.docs(at)]])]
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + LENGTH, -1)
+    out = [(place, pack.row["sizes"][place], pack.row["sizes"][place], 1, b"") for place in sorted(pack.copies)]
+    entry, used = kept.pop() if kept else np.zeros(0, np.int32), 0
+    for places, texts, at, own in kept:
+        i = entry[used : used + len(at)]
+        used += len(at)
+        edge = np.zeros(sum(map(len, texts)) + 1, np.int32)
+        gone = at[earlier[i] | (least[i] < own)]
+        np.add.at(edge, gone, 1)
+        np.add.at(edge, gone + LENGTH, -1)
         removed = np.cumsum(edge[:-1]) > 0
         begin = 0
         for place, text in zip(places.tolist(), texts):
@@ -422,31 +440,13 @@ def cut_pack(pack: Pack, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
             begin += len(text)
             n = int(cover.sum())
             spans = int(cover[:1].sum() + np.count_nonzero(cover[1:] & ~cover[:-1])) if n else 0
-            kept = np.frombuffer(text, np.uint8)[~cover].tobytes() if n else text
-            out.append((place, len(text), n, spans, kept))
+            out.append((place, len(text), n, spans, np.frombuffer(text, np.uint8)[~cover].tobytes() if n else text))
         yield results(pack, out)
         out = []
     if out:
         yield results(pack, out)
 
 
-def find(entry: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the keys (a, b), all of which are among the sorted entries."""
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    lo = np.searchsorted(entry["a"], a[order][new])
-    want = b[order][new]
-    while True:  # among entries with equal leading bytes step on to the right one
-        off = entry["b"][lo] < want
-        if not off.any():
-            break
-        lo[off] += 1
-    at = np.empty(len(a), np.int64)
-    at[order] = lo[np.cumsum(new) - 1]
-    return at
-
-
 def results(pack: Pack, out: list[tuple]) -> pa.RecordBatch:
     place, n, removed, spans, kept = zip(*out)
     ids = pa.array([None if i == LAST_ID else i for i in pack.ids[list(place)].tolist()], pa.int64())
