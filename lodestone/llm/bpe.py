@@ -191,7 +191,9 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text") ->
 
 def ids_as_array(ids: str = "ids") -> Column:
     """The ids as array<long>, for users who want numbers."""
-    four = F.transform(F.sequence(F.lit(0), F.greatest(F.length(ids) / 4 - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.hex(F.reverse(F.substring(F.col(ids), i * 4 + 1, F.lit(4)))), 16, 10).cast("long"))
+    digits = F.hex(ids)
+    places = F.sequence(F.lit(0), F.greatest(F.length(ids) / 4 - 1, F.lit(0)).cast("int"))
+    four = F.transform(places, lambda i: F.conv(F.concat(*[F.substring(digits, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("long"))
     return F.when(F.length(ids) == 0, F.array().cast("array<long>")).otherwise(four)
 
 
