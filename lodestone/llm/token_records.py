@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import CACHED_WORDS, WordCache
+from lodestone.llm.bpe import CACHED_WORDS, WordCache, byte_alphabet
 from lodestone.llm.common import scratch_path, slices, stored
 
 MASK_ADD = 0xA282EAD8  # fixed value: the public record format's mask
@@ -68,21 +68,49 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.words = WordCache(self.fresh)
+        self.cores = WordCache(self.fresh)
+        self.alphabet = dict(enumerate(byte_alphabet()))
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u2" if self.width == 2 else "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def fresh(self, word: bytes) -> bytes:
         return self.packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
+    @staticmethod
+    def plain(core: bytes) -> bool:
+        """One pre-token that needs no normalizing: lower-case Latin-1 letters. The library's model takes it as it is."""
+        if core.isalpha():
+            return core.islower()
+        text = core.decode("utf-8", "replace")
+        return text.isalpha() and max(text) < "\u0100" and text.islower()
+
+    @staticmethod
+    def parted(word: bytes) -> tuple[bytes, bytes]:
+        """Latin-1 letters in lower case and the stops behind them: the tokenizer lowers letters and parts them from stops itself."""
+        core = word.rstrip(b".,")
+        if core.isalpha():
+            return core.lower(), word[len(core) :]
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0100":
+            return text.lower().encode(), word[len(core) :]
+        return word, b""
+
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        words = self.words
-        new = {w for ws in split for w in ws if w not in words and w not in words.old}
+        words, cores = self.words, self.cores
+        seen: set[bytes] = set()
+        for ws in split:
+            seen.update(ws)
+        parts = {w: self.parted(w) for w in seen - words.keys() if w not in words.old}
+        new = {core for core, _ in parts.values()} - cores.keys()
         if len(new) < CACHED_WORDS:
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                words.put(w, self.packed(e.ids))
+            model, alphabet = self.tokenizer.model, self.alphabet
+            for core in new:
+                if core not in cores.old and self.plain(core):
+                    cores.put(core, self.packed([x.id for x in model.tokenize(core.decode("latin-1").translate(alphabet))]))
+        for w, (core, tail) in parts.items():
+            words.put(w, cores[core] + cores[tail] if tail else cores[core])
         return [np.frombuffer(b"".join(map(words.__getitem__, ws)), "<u2" if self.width == 2 else "<u4") for ws in split]
 
 
