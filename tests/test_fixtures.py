@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import columns as c
 from lodestone.operators import evidence, listings, postings, resolve, series
 from lodestone.plans.components import connected_components
+from lodestone.sources import payloads
 
 
 def one(spark, column):
@@ -128,3 +129,15 @@ def test_hard_filter(spark):
     raw = spark.createDataFrame(rows, "record_id string, seq long, title string, company string, location string, skills string").selectExpr("*", "CAST(NULL AS STRING) AS salary", "CAST(NULL AS STRING) AS experience", "CAST(NULL AS DOUBLE) AS confidence", "CAST(NULL AS BIGINT) AS posted_age_seconds")
     good, bad = postings.hard_filter(postings.normalize_postings(raw), postings.JobSpec(title="GenAI Engineer", locations=("Saudi Arabia", "UAE"), skills=("Python",)))
     assert [r["record_id"] for r in good.collect()] == ["1"] and bad.count() == 2
+
+
+def test_page_text(spark):
+    html = '<html><head><title>A &amp; B</title><meta name="description" content="d"><script>x</script></head><body><nav>menu</nav><div class="ad box">buy</div><h1>Head</h1><p>Main <b>text</b>.</p></body></html>'
+    rows = payloads.page_text(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
+    assert tuple(rows[0]) == (1, "A & B", "d", "Head\nMain\ntext\n.") and rows[1]["text"] == ""
+
+
+def test_technical_sections(spark):
+    text = "intro\n# Spark joins\nA join meets keys. More.\n- one\n- two\n# Pricing of joins\nmoney\n# Other\nnothing"
+    rows = payloads.technical_sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), "joins").collect()
+    assert [(r["heading"], r["definition"], r["points"]) for r in rows] == [("Spark joins", "A join meets keys", ["one", "two"])]
