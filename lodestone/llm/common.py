@@ -28,18 +28,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, bucket: tuple[int, str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if bucket is None:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(*bucket).option("path", path).saveAsTable(table)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clustered(df: DataFrame, name: str, key: str) -> DataFrame:
+    """A stored table in buckets of the key: later joins on the key leave its rows where they are."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a stored table that no later step reads."""
+    files = df.inputFiles()
+    if files:
+        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a scratch table that no later step reads."""
     jvm = spark.sparkContext._jvm

@@ -9,68 +9,94 @@ most 1024 entries.
 
 Defined cases: a null text counts as empty (one empty line); texts with one line have no multi-line chunk and stay as
 they are; a null doc_id sorts after all others; rows with the same doc_id and text are treated alike; an empty table gives
-an empty result; other columns are kept, those named like the results are replaced. Whole texts are used.
+an empty result; other columns are kept; those named like the results (or `chunks`) are dropped. Whole texts are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import join_skewed, stored, whole_text
+from lodestone.llm.common import clustered, dropped, join_skewed, stored, whole_text
 
 #: One pair of lines in so many allows a boundary.
 MEAN_LINES = 3
 LAST_ID = (1 << 63) - 1
 
 
-def chunk_bounds(lines: Column, mean: int = MEAN_LINES) -> Column:
-    """Numbers of the lines that begin a chunk after the first one."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    rolled = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(mean)) == 0)
-    # places[k]: a chunk may begin at line k + 1 as line pair (k, k + 1) says so and the pair before doesn't
-    before = F.concat(F.array(F.lit(False)), rolled)
-    starts = F.zip_with(F.zip_with(rolled, before, lambda a, b: a & ~F.coalesce(b, F.lit(False))), F.sequence(F.lit(1), F.greatest(F.size(rolled), F.lit(1))), lambda ok, i: F.when(F.coalesce(ok, F.lit(False)), i))
-    return F.filter(starts, lambda i: i.isNotNull() & (i >= 2) & (i <= F.size(lines) - 2))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: a lambda's variable is not put back in place by the optimizer."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def with_chunks(df: DataFrame, text: Column, mean: int = MEAN_LINES) -> DataFrame:
+    """Adds chunks: array<struct<no, n_lines, chunk>>; joined by newlines they give the text. Null texts give null."""
+
+    def cut(lines: Column) -> Column:
+        pairs = F.greatest(F.size(lines) - 1, F.lit(0))
+        # rolled[k]: the hash of lines k and k + 1 (from 0) allows a boundary behind line k
+        rolled = let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.zip_with(F.slice(h, 1, pairs), F.slice(h, 2, pairs), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(mean)) == 0))
+
+        def starts(ok: Column) -> Column:
+            marked = F.transform(ok, lambda yes, k: F.when(yes & (k >= 1) & (k + 1 <= F.size(lines) - 2) & ~F.coalesce(F.get(ok, k - 1), F.lit(False)), k + 1))
+            return F.concat(F.array(F.lit(0)), F.filter(marked, lambda i: i.isNotNull()))
+
+        def pieces(begin: Column) -> Column:
+            ends = F.concat(F.slice(begin, 2, F.size(begin)), F.array(F.size(lines)))
+            return F.zip_with(begin, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n_lines"), F.array_join(F.slice(lines, s + 1, e - s), "\n").alias("chunk")))
+
+        parts = let(let(rolled, starts), pieces)
+        return F.transform(parts, lambda p, i: F.struct(i.alias("no"), p["n_lines"].alias("n_lines"), p["chunk"].alias("chunk")))
+
+    return df.withColumn("chunks", F.when(text.isNotNull(), let(F.split(text, "\n", -1), cut)))
 
 
-def chunks_of(text: Column, mean: int = MEAN_LINES) -> Column:
-    """array<struct<no, n_lines, chunk>>; joined by newlines the chunks give the text."""
-    lines = F.split(text, "\n", -1)
-    starts = F.concat(F.array(F.lit(0)), chunk_bounds(lines, mean))
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
-    pairs = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-    return F.transform(pairs, lambda p, i: F.struct(i.alias("no"), (p["e"] - p["s"]).alias("n_lines"), F.array_join(F.slice(lines, p["s"] + 1, p["e"] - p["s"]), "\n").alias("chunk")))
+def own_chunks(docs: DataFrame, mean: int, *more: str) -> DataFrame:
+    """The multi-line chunks of documents (__h, __id, text) with their hash."""
+    parts = with_chunks(docs, F.col("text"), mean).select("__h", "__id", *more, F.inline("chunks"))
+    return parts.filter((F.col("n_lines") > 1) & F.col("chunk").rlike(r"[^\x20\x09-\x0D]")).withColumn("hash", F.xxhash64("chunk"))
 
 
 def repeated_chunks(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
-    """doc_key, removed: for each document that loses chunks their numbers. docs: doc_key (doc_id and a text hash), text."""
-    parts = docs.select("doc_key", F.inline(chunks_of(F.col("text"), mean))).filter((F.col("n_lines") > 1) & (F.length(F.translate("chunk", " \t\n\x0b\x0c\r", "")) > 0))
-    parts = stored(parts.withColumn("hash", F.xxhash64("chunk")), "line-chunks")
-    total = parts.count()
-    counts = parts.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    again = stored(join_skewed(parts, counts, ["hash"], "n", total), "line-chunks-again")
+    """__h, __id, __removed: for each document that loses chunks their numbers. docs: clustered by __h; __h, __id, text.
+
+    Texts stay where they are: hashes alone find the chunks that may repeat, and only those are brought together.
+    """
+    hashes = stored(own_chunks(docs, mean).select("__h", "__id", "no", "hash"), "chunk-hashes")
+    total = hashes.count()
+    counts = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    wanted = join_skewed(hashes, counts, ["hash"], "n", total).groupBy("__h", "__id").agg(F.collect_set("no").alias("__wanted"))
+    again = own_chunks(docs.join(wanted, ["__h", "__id"]), mean, "__wanted").filter(F.array_contains("__wanted", F.col("no")))
+    again = stored(again.select("__h", "__id", "no", "hash", "chunk"), "chunks-again")
     # byte comparison: equal hash and equal chunk
-    first = again.groupBy("hash", "chunk").agg(F.min(F.struct("doc_key", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", F.sha2("chunk", 256).alias("digest"), "first", "n")
-    seen = again.drop("n").withColumn("digest", F.sha2("chunk", 256)).drop("chunk")
-    found = join_skewed(seen, first, ["hash", "digest"], "n", total).filter(F.struct("doc_key", "no") != F.col("first"))
-    return found.groupBy("doc_key").agg(F.collect_set("no").alias("removed"))
+    place = F.struct("__id", "__h", "no")
+    first = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", F.sha2("chunk", 256).alias("digest"), "first", "n")
+    seen = again.select("__h", "__id", "no", "hash", F.sha2("chunk", 256).alias("digest"))
+    found = join_skewed(seen, first, ["hash", "digest"], "n", total).filter(place != F.col("first"))
+    removed = stored(found.groupBy("__h", "__id").agg(F.collect_set("no").alias("__removed")), "removed-chunks")
+    dropped(hashes)
+    dropped(again)
+    return removed
 
 
 def dedup_lines(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks."""
-    plain = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks", "doc_key")
-    keyed = plain.withColumn("text", whole_text()).withColumn("doc_key", F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("id"), F.xxhash64("text").alias("h")))
-    removed = stored(repeated_chunks(keyed.select("doc_key", "text"), mean), "removed-chunks")
-    joined = keyed.join(removed, "doc_key", "left")
-    chunks = chunks_of(F.col("text"), mean)
-    lost = F.coalesce("removed", F.array().cast("array<int>"))
-    touched = F.col("removed").isNotNull()
-    out = joined.withColumns({"n_lines": (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long"), "all": F.when(touched, chunks)})
-    gone = F.filter("all", lambda c: F.array_contains(lost, c["no"]))
-    kept = F.filter("all", lambda c: ~F.array_contains(lost, c["no"]))
-    out = out.withColumns({"n_removed_chunks": F.coalesce(F.size("removed"), F.lit(0)).cast("long"), "n_removed_lines": F.when(touched, F.aggregate(gone, F.lit(0), lambda s, c: s + c["n_lines"])).otherwise(0).cast("long"), "new": F.when(touched, F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")).otherwise(F.col("text"))})
-    return out.select(*[F.col("new").alias("text") if c == "text" else F.col(c) for c in plain.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+    plain = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks", "chunks")
+    keyed = plain.withColumn("text", whole_text()).withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long")).withColumn("__h", F.xxhash64("__id", "text"))
+    keyed = clustered(keyed, "line_documents", "__h")
+    joined = keyed.join(repeated_chunks(keyed.select("__h", "__id", "text"), mean), ["__h", "__id"], "left")
+    lost = F.coalesce("__removed", F.array().cast("array<int>"))
+    touched = F.col("__removed").isNotNull()
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    out = with_chunks(joined.withColumn("n_lines", lines), F.when(touched, F.col("text")), mean)
+    gone = F.filter("chunks", lambda c: F.array_contains(lost, c["no"]))
+    kept = F.filter("chunks", lambda c: ~F.array_contains(lost, c["no"]))
+    n_gone = F.aggregate(gone, F.lit(0), lambda s, c: s + c["n_lines"])
+    rest = F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")
+    out = out.withColumns({"n_removed_chunks": F.coalesce(F.array_size("__removed"), F.lit(0)).cast("long"), "n_removed_lines": F.when(touched, n_gone).otherwise(0).cast("long"), "__new": F.when(touched, rest).otherwise(F.col("text"))})
+    return out.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in plain.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def op6(docs: DataFrame) -> DataFrame:
