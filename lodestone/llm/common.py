@@ -36,11 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clustered(df: DataFrame, name: str, key: str) -> DataFrame:
-    """A stored table in buckets of the key: later joins on the key leave its rows where they are."""
+def clustered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """A stored table in buckets of the keys: later joins on all of them leave its rows where they are."""
     spark = df.sparkSession
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 

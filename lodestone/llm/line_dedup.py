@@ -7,8 +7,13 @@ by hash; those with a hash seen again are compared byte by byte (grouped by thei
 first in (doc_id, chunk) order is removed. Counts are merged map-side, and hot chunks are looked up by broadcast of at
 most 1024 entries.
 
+Chunks miss a repeated block unless boundaries fall on its edges. So every pair of neighbouring lines is a smallest block
+too, found and compared in the same way: a line also goes when a pair that covers it has an earlier occurrence. All pairs
+of a repeated block repeat, so each block of two lines or more goes to its edges. A pair that overlaps its own first
+occurrence loses its second line only. dedup_lines() removes chunks alone, dedup_blocks() chunks and blocks.
+
 Defined cases: a null text counts as empty (one empty line); texts with one line have no multi-line chunk and stay as
-they are; a null doc_id sorts after all others; rows with the same doc_id and text are treated alike; an empty table gives
+they are; pairs of blank lines are no blocks; a null doc_id sorts after all others; rows with the same doc_id and text are treated alike; an empty table gives
 an empty result; other columns are kept; those named like the results (or `chunks`) are dropped. Whole texts are used.
 """
 
@@ -24,6 +29,7 @@ from lodestone.llm.common import clustered, dropped, join_skewed, stored, whole_
 #: One pair of lines in so many allows a boundary.
 MEAN_LINES = 3
 LAST_ID = (1 << 63) - 1
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -32,7 +38,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def with_chunks(df: DataFrame, text: Column, mean: int = MEAN_LINES) -> DataFrame:
-    """Adds chunks: array<struct<no, n_lines, chunk>>; joined by newlines they give the text. Null texts give null."""
+    """Adds chunks: array<struct<no, at, n_lines, chunk>>, at: the first line from 0; joined by newlines they give the text. Null texts give null."""
 
     def cut(lines: Column) -> Column:
         pairs = F.greatest(F.size(lines) - 1, F.lit(0))
@@ -48,7 +54,7 @@ def with_chunks(df: DataFrame, text: Column, mean: int = MEAN_LINES) -> DataFram
             return F.zip_with(begin, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n_lines"), F.array_join(F.slice(lines, s + 1, e - s), "\n").alias("chunk")))
 
         parts = let(let(rolled, starts), pieces)
-        return F.transform(parts, lambda p, i: F.struct(i.alias("no"), p["n_lines"].alias("n_lines"), p["chunk"].alias("chunk")))
+        return F.transform(parts, lambda p, i: F.struct(i.alias("no"), p["s"].alias("at"), p["n_lines"].alias("n_lines"), p["chunk"].alias("chunk")))
 
     return df.withColumn("chunks", F.when(text.isNotNull(), let(F.split(text, "\n", -1), cut)))
 
@@ -56,37 +62,98 @@ def with_chunks(df: DataFrame, text: Column, mean: int = MEAN_LINES) -> DataFram
 def own_chunks(docs: DataFrame, mean: int, *more: str) -> DataFrame:
     """The multi-line chunks of documents (__h, __id, text) with their hash."""
     parts = with_chunks(docs, F.col("text"), mean).select("__h", "__id", *more, F.inline("chunks"))
-    return parts.filter((F.col("n_lines") > 1) & F.col("chunk").rlike(r"[^\x20\x09-\x0D]")).withColumn("hash", F.xxhash64("chunk"))
+    return parts.filter((F.col("n_lines") > 1) & F.col("chunk").rlike(NOT_BLANK)).withColumn("hash", F.xxhash64("chunk"))
 
 
-def repeated_chunks(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
-    """__h, __id, __removed: for each document that loses chunks their numbers. docs: clustered by __h; __h, __id, text.
+def own_pairs(docs: DataFrame) -> DataFrame:
+    """__h, __id, no, hash of each pair of lines no and no + 1 that is not blank."""
+
+    def pairs(lines: Column) -> Column:
+        def pair(x: Column, k: Column) -> Column:
+            after = F.get(lines, k + 1)
+            return F.when((k + 1 < F.size(lines)) & (x.rlike(NOT_BLANK) | after.rlike(NOT_BLANK)), F.struct(k.alias("no"), F.xxhash64(x, after).alias("hash")))
+
+        return F.filter(F.transform(lines, pair), lambda p: p.isNotNull())
+
+    return docs.select("__h", "__id", F.inline(let(F.split("text", "\n", -1), pairs)))
+
+
+def wanted_pairs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """__h, __id, no, hash, chunk of the pairs whose numbers are in __wanted."""
+
+    def pairs(lines: Column) -> Column:
+        return F.transform("__wanted", lambda k: F.struct(k.alias("no"), F.xxhash64(F.get(lines, k), F.get(lines, k + 1)).alias("hash"), F.concat(F.get(lines, k), F.lit("\n"), F.get(lines, k + 1)).alias("chunk")))
+
+    return docs.join(wanted, ["__h", "__id"]).select("__h", "__id", F.inline(let(F.split("text", "\n", -1), pairs)))
+
+
+def later_places(hashes: DataFrame, name: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored table __h, __id, no, first of the chunks that have an earlier occurrence, by byte comparison. fetch: the chunks in __wanted.
 
     Texts stay where they are: hashes alone find the chunks that may repeat, and only those are brought together.
     """
-    hashes = stored(own_chunks(docs, mean).select("__h", "__id", "no", "hash"), "chunk-hashes")
+    hashes = stored(hashes, f"{name}-hashes")
     total = hashes.count()
     counts = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     wanted = join_skewed(hashes, counts, ["hash"], "n", total).groupBy("__h", "__id").agg(F.collect_set("no").alias("__wanted"))
-    again = own_chunks(docs.join(wanted, ["__h", "__id"]), mean, "__wanted").filter(F.array_contains("__wanted", F.col("no")))
-    again = stored(again.select("__h", "__id", "no", "hash", "chunk"), "chunks-again")
+    again = stored(fetch(wanted).select("__h", "__id", "no", "hash", "chunk"), f"{name}-again")
     # byte comparison: equal hash and equal chunk
     place = F.struct("__id", "__h", "no")
     first = again.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", F.sha2("chunk", 256).alias("digest"), "first", "n")
     seen = again.select("__h", "__id", "no", "hash", F.sha2("chunk", 256).alias("digest"))
-    found = join_skewed(seen, first, ["hash", "digest"], "n", total).filter(place != F.col("first"))
-    removed = stored(found.groupBy("__h", "__id").agg(F.collect_set("no").alias("__removed")), "removed-chunks")
+    found = stored(join_skewed(seen, first, ["hash", "digest"], "n", total).filter(place != F.col("first")).select("__h", "__id", "no", "first"), f"{name}-later")
     dropped(hashes)
     dropped(again)
-    return removed
+    return found
+
+
+def repeated_chunks(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
+    """__h, __id, no: the chunks that go. docs: clustered by __h and __id; __h, __id, text."""
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return own_chunks(docs.join(wanted, ["__h", "__id"]), mean, "__wanted").filter(F.array_contains("__wanted", F.col("no")))
+
+    return later_places(own_chunks(docs, mean).select("__h", "__id", "no", "hash"), "chunk", fetch).select("__h", "__id", "no")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """__h, __id, line: the lines (from 0) of pairs that have an earlier occurrence, with repeats."""
+    later = later_places(own_pairs(docs), "pair", lambda wanted: wanted_pairs(docs, wanted))
+    overlaps = (F.col("first.__id") == F.col("__id")) & (F.col("first.__h") == F.col("__h")) & (F.col("first.no") == F.col("no") - 1)
+    return later.select("__h", "__id", F.explode(F.when(overlaps, F.array(F.col("no") + 1)).otherwise(F.array(F.col("no"), F.col("no") + 1))).alias("line"))
+
+
+def keyed(plain: DataFrame) -> DataFrame:
+    """plain with whole texts and the keys __id and __h, clustered by them."""
+    whole = plain.withColumn("text", whole_text()).withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long")).withColumn("__h", F.xxhash64("__id", "text"))
+    return clustered(whole, "line_documents", "__h", "__id")
+
+
+def dedup_blocks(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
+    """docs with text less its repeated chunks and blocks, and n_lines, n_removed_lines, n_removed_chunks (content-defined chunks that repeat)."""
+    plain = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks", "chunks")
+    table = keyed(plain)
+    texts = table.select("__h", "__id", "text")
+    chunks = repeated_chunks(texts, mean).groupBy("__h", "__id").agg(F.collect_set("no").alias("__removed"))
+    lines = repeated_lines(texts).groupBy("__h", "__id").agg(F.collect_set("line").alias("__lines"))
+    gone = stored(lines.join(chunks, ["__h", "__id"], "full"), "removed-lines")
+    joined = table.join(gone, ["__h", "__id"], "left").withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    touched = F.coalesce("__removed", "__lines").isNotNull()
+    none = F.array().cast("array<int>")
+    out = with_chunks(joined, F.when(F.col("__removed").isNotNull(), F.col("text")), mean)
+    of_chunks = F.flatten(F.transform(F.filter("chunks", lambda c: F.array_contains("__removed", c["no"])), lambda c: F.sequence(c["at"], c["at"] + c["n_lines"] - 1)))
+    out = out.withColumn("__lines", F.when(touched, F.array_union(F.coalesce("__lines", none), F.coalesce(of_chunks, none))))
+    rest = let(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__lines")), lambda k: F.get(x, k)), "\n"))
+    out = out.withColumns({"n_removed_chunks": F.coalesce(F.array_size("__removed"), F.lit(0)).cast("long"), "n_removed_lines": F.coalesce(F.array_size("__lines"), F.lit(0)).cast("long"), "__new": F.when(touched, rest).otherwise(F.col("text"))})
+    return out.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in plain.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def dedup_lines(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks."""
     plain = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks", "chunks")
-    keyed = plain.withColumn("text", whole_text()).withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long")).withColumn("__h", F.xxhash64("__id", "text"))
-    keyed = clustered(keyed, "line_documents", "__h")
-    joined = keyed.join(repeated_chunks(keyed.select("__h", "__id", "text"), mean), ["__h", "__id"], "left")
+    table = keyed(plain)
+    removed = stored(repeated_chunks(table.select("__h", "__id", "text"), mean).groupBy("__h", "__id").agg(F.collect_set("no").alias("__removed")), "removed-chunks")
+    joined = table.join(removed, ["__h", "__id"], "left")
     lost = F.coalesce("__removed", F.array().cast("array<int>"))
     touched = F.col("__removed").isNotNull()
     lines = F.size(F.split("text", "\n", -1)).cast("long")
@@ -100,5 +167,5 @@ def dedup_lines(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    done = dedup_lines(docs.select("doc_id", "text"))
+    done = dedup_blocks(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
