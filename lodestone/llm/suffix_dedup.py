@@ -219,7 +219,7 @@ class Pack:
         for places, texts in texts_of(self.row, self.copies):
             heads = Heads(texts)
             new = np.ones(len(heads.mark), bool)
-            new[1:] = heads.mark[1:] != heads.mark[:-1]
+            new[1:] = (heads.mark[1:] != heads.mark[:-1]) | (heads.at[1:] != heads.at[:-1] + 1)  # heads of two documents never adjoin
             seen.append(mix(heads.mark[new] + C4))
             docs.append(places[heads.docs(heads.at[new])] if new.any() else np.zeros(0, np.int64))
         mark, doc = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (seen, docs))
