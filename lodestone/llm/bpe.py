@@ -157,15 +157,14 @@ class WordBpe:
         return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_LOADED: dict[int, WordBpe] = {}
+_LOADED: dict[str, WordBpe] = {}
 
 
 def loaded(content: str) -> WordBpe:
     """One encoder per worker and file."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED[key] = WordBpe(content)
-    return _LOADED[key]
+    if content not in _LOADED:
+        _LOADED[content] = WordBpe(content)
+    return _LOADED[content]
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:

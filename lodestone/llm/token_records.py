@@ -12,7 +12,9 @@ doc_ids keep one record each, ordered by text; an empty table gives an empty ind
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -21,16 +23,19 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import CACHED_WORDS, WordCache, byte_alphabet
+from lodestone.llm.bpe import CACHED_WORDS, WordCache
 from lodestone.llm.common import scratch_path, slices, stored
 
 MASK_ADD = 0xA282EAD8  # fixed value: the public record format's mask
 SHARD_BYTES = 24 << 20
+#: Latin-1 letters: one pre-token that normalizing changes in case alone.
+LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
 
 
 def masked(data: bytes) -> int:
@@ -53,10 +58,17 @@ def unframed(data: bytes) -> np.ndarray:
     return np.frombuffer(payload, "<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+def as_bytes(words: pa.Array) -> list[bytes]:
+    """Much faster than to_pylist() for many short values."""
+    return words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct run without ASCII white space that a worker's cache lacks.
+    """The tokenizers library, asked once for each distinct core of a word that a worker's cache lacks.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs in a row.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs without white space in
+    a row. A run of Latin-1 letters with ASCII punctuation behind it is two pre-tokens, which are looked up apart. Cores
+    of letters are one pre-token each, so many go to the library in one call and the word ends in its answer part them.
     """
 
     def __init__(self, content: str):
@@ -66,62 +78,73 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.words = WordCache(self.fresh)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values(), default=0) < 1 << 16 else 4
+        end = json.loads(content)["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
+        self.words = WordCache(self.fresh)  # by word; and by core or tail
         self.cores = WordCache(self.fresh)
-        self.alphabet = dict(enumerate(byte_alphabet()))
 
-    def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2" if self.width == 2 else "<u4")
 
     def fresh(self, word: bytes) -> bytes:
-        return self.packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-
-    @staticmethod
-    def plain(core: bytes) -> bool:
-        """One pre-token that needs no normalizing: lower-case Latin-1 letters. The library's model takes it as it is."""
-        if core.isalpha():
-            return core.islower()
-        text = core.decode("utf-8", "replace")
-        return text.isalpha() and max(text) < "\u0100" and text.islower()
-
-    @staticmethod
-    def parted(word: bytes) -> tuple[bytes, bytes]:
-        """Latin-1 letters in lower case and the stops behind them: the tokenizer lowers letters and parts them from stops itself."""
-        core = word.rstrip(b".,")
-        if core.isalpha():
-            return core.lower(), word[len(core) :]
-        text = core.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "\u0100":
-            return text.lower().encode(), word[len(core) :]
-        return word, b""
-
-    def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        words, cores = self.words, self.cores
-        seen: set[bytes] = set()
-        for ws in split:
-            seen.update(ws)
-        parts = {w: self.parted(w) for w in seen - words.keys() if w not in words.old}
-        new = {core for core, _ in parts.values()} - cores.keys()
-        if len(new) < CACHED_WORDS:
-            model, alphabet = self.tokenizer.model, self.alphabet
-            for core in new:
-                if core not in cores.old and self.plain(core):
-                    cores.put(core, self.packed([x.id for x in model.tokenize(core.decode("latin-1").translate(alphabet))]))
-        for w, (core, tail) in parts.items():
-            words.put(w, cores[core] + cores[tail] if tail else cores[core])
-        return [np.frombuffer(b"".join(map(words.__getitem__, ws)), "<u2" if self.width == 2 else "<u4") for ws in split]
-
-
-_LOADED: dict[int, LibraryEncoder] = {}
+        return self.ids(word.decode("utf-8", "replace")).tobytes()
+
+    def learn(self, cores: list[bytes]) -> None:
+        """Puts the ids of plain cores into the cache, a thousand to a call."""
+        for at in range(0, len(cores), 1000):
+            some = cores[at : at + 1000]
+            ids = self.ids(b" ".join(some).decode())
+            upto = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(upto) != len(some):
+                raise ValueError("a word without an end, or with several")
+            data, begin = ids.tobytes(), 0
+            for core, end in zip(some, upto):
+                self.cores.put(core, data[begin:end])
+                begin = end
+
+    def encode_words(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words. Latin-1 letters with punctuation behind them are looked up by their lower-case core and tail."""
+        core = pc.utf8_rtrim(words, characters=string.punctuation)
+        plain = pc.match_substring_regex(core, LETTERS)
+        keys = as_bytes(pc.if_else(plain, pc.utf8_lower(core), words))
+        cut = pc.if_else(plain, pc.binary_length(core.cast(pa.large_binary())), pc.binary_length(words.cast(pa.large_binary()))).to_numpy().tolist()
+        cores, easy = self.cores, plain.to_numpy(zero_copy_only=False).tolist()
+        fresh = {k for k, p in zip(keys, easy) if p and len(k) <= 64 and k not in cores and k not in cores.old}
+        if len(fresh) < CACHED_WORDS:
+            self.learn(list(fresh))
+        return [cores[k] if len(w) == n else cores[k] + cores[w[n:]] for w, k, n in zip(as_bytes(words), keys, cut)]
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text: words are parted and told apart by Arrow, so only distinct ones become Python objects."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        distinct, cache = as_bytes(coded.dictionary), self.words
+        found = [cache.get(w) or cache.old.get(w) for w in distinct]
+        new = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(new, self.encode_words(coded.dictionary.take(pa.array(new, pa.int64())))):
+            found[i] = ids
+            cache.put(distinct[i], ids)
+        ids = np.frombuffer(b"".join(found), "<u2" if self.width == 2 else "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        upto = np.append(0, np.cumsum(n))
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[word] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = upto[lists.offsets.to_numpy()]
+        return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+_LOADED: dict[str, LibraryEncoder] = {}
 
 
 def encoder(content: str) -> LibraryEncoder:
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED[key] = LibraryEncoder(content)
-    return _LOADED[key]
+    """One encoder per worker and file."""
+    if content not in _LOADED:
+        _LOADED[content] = LibraryEncoder(content)
+    return _LOADED[content]
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -150,7 +173,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 store.create_dir(os.path.dirname(place), recursive=True)
                 out = store.open_output_stream(place)
             index = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), codec.encode_many(part.column("text").cast(pa.binary()).to_pylist())):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), codec.encode_many(part.column("text"))):
                 data = frame(np.concatenate((ids, end)), codec.width)
                 out.write(data)
                 index.append((shard, path, doc, at, len(data), first, len(ids) + 1))
