@@ -10,8 +10,9 @@ No source is ordered as a whole: keys fall into ranges, the sizes of the ranges
 the one range in which the remainder ends, and only that range is ordered.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times their words; a null source is a source of its own,
-after all others; repeated rows are documents of their own; an empty table gives an empty result; other columns are
-ignored. The table of sources (one row each) is what is ordered globally.
+after all others; repeated rows are documents of their own, and each counts alone (equal keys are parted by doc_id, text
+and row number); an empty table gives an empty result; other columns are kept, those named like the results are replaced.
+The table of sources (one row each) is what is ordered globally.
 """
 
 from __future__ import annotations
@@ -59,37 +60,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return told.withColumn("final", level).select("source", "source_size", F.when(F.col("open"), F.coalesce(F.col("final"), F.col("level")) * F.col("w")).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 3) -> DataFrame:
-    """One row per document: doc_id, text_key, source, size, source_size, target, times (how often the mix has it)."""
+def mixed_rows(docs: DataFrame, columns: list[str], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 3) -> DataFrame:
+    """d (the row's columns, as a struct), size, source_size, target, times (how often the mix has the row).
+
+    Rows stay where they are: they are stored with a number each, and a plan of one row per source says up to which row,
+    in key order, an extra copy is taken and which row closes the gap.
+    """
     text = whole_text()
-    drawn = docs.select("doc_id", F.xxhash64(text).alias("text_key"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (exponential_key(seed, F.col("doc_id"), text) / quality_weight(text)).alias("key"))
-    drawn = drawn.withColumn("range", F.floor(F.col("key") / (F.col("key") + 1) * RANGES).cast("int"))
-    rows = stored(drawn, "mix-keys")
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
+    key = (exponential_key(seed, F.col("doc_id"), text) / quality_weight(text)).alias("key")
+    place = F.struct(key, F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row"))
+    range_ = F.floor(F.col("m.place.key") / (F.col("m.place.key") + 1) * RANGES).cast("int")
+    drawn = docs.select(F.struct(*columns).alias("d"), F.struct(F.col("source").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), place.alias("place")).alias("m"))
+    stored_rows = stored(drawn, "mix-rows")
+    rows = stored_rows.select("m.source", "m.size", "m.place", range_.alias("range"))
+    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     named = targets.withColumnRenamed("source", "s")
     placed = ranges.join(named, F.col("source").eqNullSafe(F.col("s"))).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     placed = placed.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("end", F.sum("n").over(upto))
-    plan = stored(placed.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.min(F.when(F.col("end") > F.col("rest"), F.struct("range", (F.col("end") - F.col("n")).alias("done")))).alias("cut")), "mix-plan")
-    p = plan.withColumnRenamed("source", "s")
-    joined = rows.join(p, rows["source"].eqNullSafe(p["s"])).drop("s")
-    past = F.coalesce(F.col("range") > F.col("cut.range"), F.lit(False))
-    at = F.coalesce(F.col("range") == F.col("cut.range"), F.lit(False))
-    in_cut = joined.filter(at)
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
-    sized = in_cut.withColumn("sum", F.sum("size").over(order) + F.col("cut.done")).withColumn("extra", (F.col("sum") <= F.col("rest")).cast("long"))
-    settled = joined.filter(~at).withColumn("extra", F.when(past, 0).otherwise(1).cast("long"))
-    columns = ["doc_id", "text_key", "source", "size", "source_size", "target", "epochs", "extra", "rest", "key"]
-    marked = settled.select(*columns).unionByName(sized.select(*columns))
-    # What is still missing in each source goes to the one left-out document that comes nearest to it.
-    done = marked.groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("missing")).withColumnRenamed("source", "s")
-    spare = marked.filter((F.col("extra") == 0) & (F.col("size") > 0)).join(done, F.col("source").eqNullSafe(F.col("s"))).filter(F.abs(F.col("size") - F.col("missing")) < F.col("missing"))
-    best = spare.groupBy("s").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("off"), "key", "doc_id", "text_key")).alias("best")).select(F.col("s"), F.col("best.doc_id").alias("b_doc"), F.col("best.text_key").alias("b_text"))
-    final = marked.join(best, F.col("source").eqNullSafe(F.col("s")), "left")
-    chosen = F.coalesce(F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("text_key") == F.col("b_text")), F.lit(False)) & (F.col("extra") == 0)
-    return final.select("doc_id", "text_key", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra") + chosen.cast("long")).alias("times"))
+    plan = stored(placed.groupBy(F.col("source").alias("s")).agg(*[F.first(c).alias(c) for c in ("source_size", "target", "epochs", "rest")], F.min(F.when(F.col("end") > F.col("rest"), F.struct("range", (F.col("end") - F.col("n")).alias("done")))).alias("cut")), "mix-plan")
+    same_source = F.col("source").eqNullSafe(F.col("s"))
+    # the rows of the range in which the remainder ends, in key order: the last one that fits
+    in_cut = rows.join(plan.select("s", "cut", "rest"), same_source & (F.col("range") == F.col("cut.range")))
+    order = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = in_cut.withColumn("sum", F.sum("size").over(order) + F.col("cut.done")).filter(F.col("sum") <= F.col("rest"))
+    last = summed.groupBy(F.col("source").alias("l")).agg(F.max("place").alias("last"), F.max("sum").alias("filled"))
+    settled = plan.join(last, F.col("s").eqNullSafe(F.col("l")), "left").drop("l").withColumn("missing", F.col("rest") - F.coalesce("filled", "cut.done", F.lit(0)))
+    settled = stored(settled, "mix-settled")
+    # a row behind the cut is left out; where no range is cut, the remainder takes every row
+    extra = F.when(F.col("cut").isNull() | (F.col("range") < F.col("cut.range")), True).when(F.col("range") > F.col("cut.range"), False).otherwise(F.coalesce(F.col("place") <= F.col("last"), F.lit(False)))
+    # What is still missing in each source goes to the one left-out row that comes nearest to it.
+    off = F.abs(F.col("size") - F.col("missing"))
+    spare = rows.join(settled, same_source).filter(~extra & (F.col("size") > 0) & (off < F.col("missing")))
+    best = spare.groupBy(F.col("source").alias("b")).agg(F.min(F.struct(off.alias("off"), F.col("place").alias("place")))["place"]["row"].alias("closing"))
+    final = settled.join(best, F.col("s").eqNullSafe(F.col("b")), "left").drop("b")
+    told = stored_rows.withColumns({"source": F.col("m.source"), "size": F.col("m.size"), "place": F.col("m.place"), "range": range_}).join(final, same_source)
+    times = F.col("epochs") + extra.cast("long") + F.coalesce(F.col("place.row") == F.col("closing"), F.lit(False)).cast("long")
+    return told.select("d", "size", F.col("source_size").cast("long").alias("source_size"), "target", times.alias("times"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """docs (doc_id, text, source and any others) with size, source_size, target and times."""
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "times")]
+    return mixed_rows(docs, kept, **settings).select("d.*", "size", "source_size", "target", "times")
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
+    return mixed_rows(docs, ["doc_id"]).select("d.doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
