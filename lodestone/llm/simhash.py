@@ -6,7 +6,8 @@ task the fingerprints of its groups are sorted by group and Gray rank, which kee
 together. The tree over that order has one node for each shared 8-bit segment after the segments above it; pairs of nodes
 are compared by that segment only, differences are accumulated on the way down, and a pair of whole subtrees is dropped
 as soon as they exceed r, or when all their leaves are already in one component. Leaves that match are joined in a
-disjoint-set forest, and a task emits that forest (one link per fingerprint at most), never all pairs.
+disjoint-set forest, and a task emits that forest (one link per fingerprint at most), never all pairs. A group that is too
+large for a task is split into parts, and pairs of parts are groups of their own.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero and link like any other; a null
 doc_id can't be a component id unless all its component has none; repeated rows share a fingerprint; an empty table gives
@@ -29,20 +30,22 @@ from lodestone.plans.components import connected_components
 
 SEED = 42
 PAIRS = 1 << 20  # node pairs expanded at once
+PART = 1 << 16  # fingerprints of one group in one part
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    words = text.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of each shingle of that many words; of the whole sequence where it is shorter."""
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[:-width] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-width] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -50,6 +53,10 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    return majority(shingle_hashes(text.lower().split(), width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
@@ -78,10 +85,11 @@ def expand(a: np.ndarray, b: np.ndarray, first: np.ndarray, count: np.ndarray) -
 
 
 class Forest:
-    """Disjoint sets over 0..n-1 joined by arrays of pairs; a root is the smallest member."""
+    """Disjoint sets over 0..n-1 joined by arrays of pairs; a root is the smallest member. links: the pairs that joined two sets."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
 
     def root(self, x: np.ndarray) -> np.ndarray:
         p = self.parent
@@ -93,28 +101,38 @@ class Forest:
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            a, b = self.root(a), self.root(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            x, y = self.root(a), self.root(b)
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            self.parent[high] = np.minimum(x, y)[first]
+            if len(first):
+                self.links.append((a[first], b[first]))
 
     def flat(self) -> np.ndarray:
         return self.root(np.arange(len(self.parent)))
 
 
 def near_forest(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """For each item the smallest item linked to it through pairs of one group within radius differing bits.
+    """For each item the smallest item linked to it through pairs of one group within radius differing bits."""
+    return linked_forest(group, fp, (radius,)).flat()
+
 
-    Items come sorted by group and Gray rank, without repeats in a group.
+def linked_forest(group: np.ndarray, fp: np.ndarray, radii: tuple[int, ...]) -> Forest:
+    """Spanning forest of the pairs of one group within the last radius; pairs within the earlier radii are joined first.
+
+    fp: one or several 64-bit lanes (columns) for each item. Items come sorted by group and Gray rank, without repeats in a
+    group.
     """
     n = len(fp)
     forest = Forest(n)
-    segments = fp.astype(">u8").view(np.uint8).reshape(-1, 8)
-    # starts[l]: first item of each node of level l, where level 0 has one node per group and level 8 one per item
+    segments = np.ascontiguousarray(fp).astype(">u8").view(np.uint8).reshape(n, -1)
+    depth = segments.shape[1]
+    # starts[l]: first item of each node of level l, where level 0 has one node per group and the last level one per item
     new = np.ones(n, dtype=bool)
     new[1:] = group[1:] != group[:-1]
     starts = [np.flatnonzero(new)]
-    for k in range(8):
+    for k in range(depth):
         new = new.copy()
         new[1:] |= segments[1:, k] != segments[:-1, k]
         starts.append(np.flatnonzero(new))
@@ -125,11 +143,11 @@ def near_forest(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         count.append(np.diff(np.append(at, len(down))))
     ends = [np.append(s[1:], n) for s in starts]
     several = np.flatnonzero(ends[0] - starts[0] > 1)
-    stack = [(0, several, several, np.zeros(len(several), dtype=np.int64))]
+    stack = [(radius, 0, several, several, np.zeros(len(several), dtype=np.int64)) for radius in reversed(radii)]
     while stack:
-        level, a, b, diff = stack.pop()
-        if level == 8:
-            forest.join(starts[8][a], starts[8][b])
+        radius, level, a, b, diff = stack.pop()
+        if level == depth:
+            forest.join(starts[depth][a], starts[depth][b])
             continue
         if level:  # whole subtrees that are in one component already
             flat = forest.flat()
@@ -139,17 +157,17 @@ def near_forest(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         weight = np.cumsum(count[level][a] * count[level][b])
         if len(a) > 1 and weight[-1] > PAIRS:
             half = min(max(1, int(np.searchsorted(weight, weight[-1] // 2))), len(a) - 1)
-            stack += [(level, a[half:], b[half:], diff[half:]), (level, a[:half], b[:half], diff[:half])]
+            stack += [(radius, level, a[half:], b[half:], diff[half:]), (radius, level, a[:half], b[:half], diff[:half])]
             continue
         i, x, y = expand(a, b, first[level], count[level])
-        keep = x <= y if level == 8 - 1 else (a[i] != b[i]) | (x <= y)
+        keep = x <= y if level == depth - 1 else (a[i] != b[i]) | (x <= y)
         i, x, y = i[keep], x[keep], y[keep]
         at = starts[level + 1]
         total = diff[i] + np.bitwise_count(segments[at[x], level] ^ segments[at[y], level])
         near = (total <= radius) & ((x != y) | (ends[level + 1][x] - at[x] > 1))
         if near.any():
-            stack.append((level + 1, x[near], y[near], total[near]))
-    return forest.flat()
+            stack.append((radius, level + 1, x[near], y[near], total[near]))
+    return forest
 
 
 def blocks_for(n: int, radius: int, group: int = 2048) -> tuple[int, int]:
@@ -160,42 +178,64 @@ def blocks_for(n: int, radius: int, group: int = 2048) -> tuple[int, int]:
     return radius + c, c
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """a, b: links between distinct fingerprints fp whose components are those of all pairs within radius bits."""
-    blocks, agree = blocks_for(fps.count(), radius)
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(blocks), agree)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "value"))
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def grouped_links(keyed: DataFrame, lanes: list[str], radii: tuple[int, ...]) -> DataFrame:
+    """Links of a spanning forest of each group (t, value): a0.., b0.. (the lanes of both ends) and distance.
+
+    A group of more than PART fingerprints is split into parts by hash; each pair of parts is a group of its own, so no
+    task holds more than two parts and no pair is lost.
+    """
     counted = keyed.groupBy("t", "value").agg(F.count("*").alias("n")).filter("n > 1")  # most fingerprints are alone
-    paired = keyed.join(counted.drop("n"), ["t", "value"])
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), *lanes), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, own).alias("lo"), F.greatest(o, own).alias("hi")))
+    paired = keyed.join(counted, ["t", "value"]).select("t", "value", *lanes, F.inline(pairs))
+    group_by = ["t", "value", "lo", "hi"]
+
+    def edges(rows: pa.Table) -> np.ndarray:
+        """Places behind the last row of each group but the last."""
+        columns = [rows.column(c).to_numpy() for c in group_by]
+        return np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        group = np.zeros(rows.num_rows, np.int64)
+        group[edges(rows)] = 1
+        group, fp = np.cumsum(group), np.stack([rows.column(c).to_numpy().view(np.uint64) for c in lanes], axis=1)
+        order = np.lexsort((*[gray_rank(fp[:, k]) for k in reversed(range(len(lanes)))], group))
+        group, fp = group[order], fp[order]
+        links = linked_forest(group, fp, radii).links
+        a, b = (np.concatenate(x) if links else np.zeros(0, np.int64) for x in (zip(*links) if links else ((), ())))
+        distance = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int32)
+        ends = [pa.array(np.ascontiguousarray(fp[x, k]).view(np.int64)) for x in (a, b) for k in range(len(lanes))]
+        return pa.RecordBatch.from_arrays([*ends, pa.array(distance)], names=[f"{x}{k}" for x in "ab" for k in range(len(lanes))] + ["distance"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: pa.Table) -> pa.RecordBatch:
-            t, value, fp = (rows.column(c).to_numpy() for c in ("t", "value", "fp"))
-            new = np.ones(len(t), dtype=np.int64)
-            new[1:] = (t[1:] != t[:-1]) | (value[1:] != value[:-1])
-            group, bits = np.cumsum(new), fp.view(np.uint64)
-            order = np.lexsort((gray_rank(bits), group))
-            group, bits = group[order], bits[order]
-            root = near_forest(group, bits, radius)
-            linked = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(bits[linked].view(np.int64)), pa.array(bits[root[linked]].view(np.int64))], names=["a", "b"])
-
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
             if sum(x.num_rows for x in held) >= 1 << 17:
                 rows = pa.Table.from_batches(held).combine_chunks()
-                t, value = rows.column("t").to_numpy(), rows.column("value").to_numpy()
-                at = np.flatnonzero((t[1:] != t[:-1]) | (value[1:] != value[:-1]))
+                at = edges(rows)
                 if len(at):  # whole groups only; the last may go on
-                    yield solve(rows.slice(0, at[-1] + 1))
-                    held = rows.slice(at[-1] + 1).to_batches()
+                    yield solve(rows.slice(0, at[-1]))
+                    held = rows.slice(at[-1]).to_batches()
         if held and sum(x.num_rows for x in held):
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    return paired.repartition("t", "value").sortWithinPartitions("t", "value").mapInArrow(run, "a long, b long")
+    schema = ", ".join(f"{x}{k} long" for x in "ab" for k in range(len(lanes))) + ", distance int"
+    return paired.repartition(*group_by).sortWithinPartitions(*group_by).mapInArrow(run, schema)
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """a, b: links between distinct fingerprints fp whose components are those of all pairs within radius bits."""
+    blocks, agree = blocks_for(fps.count(), radius)
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(blocks), agree)]
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "value"))
+    return grouped_links(keyed, ["fp"], (radius,)).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
 
 
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
