@@ -16,6 +16,8 @@ an empty result; other columns are kept out of the work.
 
 from __future__ import annotations
 
+import math
+import string
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,11 +26,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import join_skewed, slices, stored
 from lodestone.plans.components import connected_components
 
 SEED = 42
+UPPER = string.ascii_uppercase
 PAIRS = 1 << 20  # node pairs expanded at once
 PART = 1 << 16  # fingerprints of one group in one part
 
@@ -250,5 +254,106 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return join_skewed(marks, by_fp.select("fp", "n", "component_id"), ["fp"], "n", marks.count()).select("doc_id", "fp", "component_id")
 
 
+LANES = ["f0", "f1"]
+
+
+def lanes_of(hashes: np.ndarray) -> list[int]:
+    """Two fingerprints, the second from remixed hashes: 128 bits."""
+    with np.errstate(over="ignore"):
+        other = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return [majority(hashes), majority(other ^ (other >> np.uint64(32)))]
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits between two sets of equal size with that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def random_masks(n: int, share: float, missed: float = 0.05, group: int = 16) -> list[list[int]]:
+    """Masks of k of the 128 bits each: k for groups of about that size, and so many that all but the missed part of the
+    pairs with that share of differing bits agree on one of them."""
+    k = min(48, max(8, math.ceil(math.log2(max(n, 2) / group))))
+    tables = math.ceil(math.log(missed) / math.log1p(-((1 - share) ** k)))
+    rnd = np.random.Generator(np.random.PCG64(17))
+    return [[signed(sum(1 << int(b) - 64 * lane for b in chosen if b // 64 == lane)) for lane in (0, 1)] for chosen in (rnd.choice(128, k, replace=False) for _ in range(tables))]
+
+
+def texts_with_marks(docs: DataFrame, width: int) -> DataFrame:
+    """Stored table d (the row), row (a number), digest of the words, f0, f1."""
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.column("d")
+            for part in slices(iter([pa.RecordBatch.from_arrays([d, pa.compute.struct_field(d, "text").cast(pa.binary())], names=["d", "text"])]), "text"):
+                words = [(t or b"").lower().split() for t in part.column("text").to_pylist()]
+                prints = np.array([lanes_of(shingle_hashes(w, width)) for w in words], np.uint64).view(np.int64)
+                digest = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(digest, pa.binary()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["d", "digest", *LANES])
+
+    schema = T.StructType([*row.schema.fields, T.StructField("digest", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in LANES]])
+    return stored(row.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+
+
+def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Stored table a, b, distance: pairs of nodes whose fingerprints are as near as the similarity asks for (spanning forests of them)."""
+    prints = stored(nodes.groupBy(*LANES).agg(F.min("node").alias("least")), "near-prints")
+    share = differing_share(similarity)
+    radius = math.ceil(128 * share + 2 * math.sqrt(128 * share * (1 - share)))
+    masks = random_masks(prints.count(), share)
+    value = F.array(*[F.xxhash64(*[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(LANES, mask)]) for mask in masks])
+    links = grouped_links(prints.select(*LANES, F.posexplode(value).alias("t", "value")), LANES, (radius // 4, radius // 2, radius)).distinct()
+    for end in "ab":
+        links = links.join(prints.select(F.col("f0").alias(f"{end}0"), F.col("f1").alias(f"{end}1"), F.col("least").alias(end)), [f"{end}0", f"{end}1"])
+    same = nodes.join(prints, LANES).filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.lit(0).alias("distance"))
+    return stored(links.select("a", "b", "distance").unionByName(same), "near-links")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs less near copies: of each group linked by Jaccard similarity of the word shingles, the row with the smallest doc_id stays.
+
+    Texts with the same words are one node. Fingerprints of 128 bits meet in tables of random masks, whose groups the
+    Gray-order tree searches; candidate links are verified on the shingles' 64-bit hashes. Links are verified nearest first:
+    the best link of each node, then of each part joined so far, then all links that still lead from one part to another.
+    A pair at the very similarity is a candidate in 9 of 10 cases, one 0.05 above it in 99 of 100.
+
+    Defined cases: null and empty texts, and texts without words, have equal words; of rows with the same doc_id one stays;
+    a null doc_id sorts after all others; an empty table gives an empty result; all columns are kept as they are.
+    """
+    rows = texts_with_marks(docs, width)
+    place = F.struct(F.col("d.doc_id").isNull().alias("no_id"), F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("row").alias("row"))
+    nodes = stored(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(place).alias("least"), *[F.first(c).alias(c) for c in LANES]), "near-nodes")
+    links = candidate_links(nodes.select("node", *LANES), similarity)
+    asked = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    words = F.split(F.trim(F.regexp_replace(F.translate(F.coalesce("d.text", F.lit("")), UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+", " ")), " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))
+    sets = stored(rows.select("row", "d").join(asked, "row").select("row", words.alias("w")).select(F.col("row").alias("node"), grams.alias("grams")), "near-sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return stored(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-verified")
+
+    sure, part, left = None, None, links.withColumns({"pa": F.col("a"), "pb": F.col("b")})
+    for step in range(3):
+        if step < 2:  # the best link of each part
+            best = F.min(F.struct("distance", "a", "b")).alias("best")
+            some = left.select("distance", "a", "b", F.explode(F.array("pa", "pb")).alias("p")).groupBy("p").agg(best).select("best.a", "best.b").distinct()
+        else:
+            some = left
+        found = verified(some)
+        sure = found if sure is None else sure.unionByName(found)
+        part = connected_components(sure)
+        if step < 2:
+            for end in "ab":
+                named = part.select(F.col("node").alias(end), F.col("component").alias(f"p{end}"))
+                left = left.drop(f"p{end}").join(named, end, "left").withColumn(f"p{end}", F.coalesce(f"p{end}", end))
+            left = stored(left.filter("pa <> pb").join(some, ["a", "b"], "left_anti"), "near-left")
+    named = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = stored(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "near-kept")
+    return rows.join(kept, "row", "left_semi").select("d.*")
+
+
 def op8(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
