@@ -1,8 +1,9 @@
 """Operator 6 [native]: removal of repeated multi-line chunks with content-defined boundaries.
 
-Lines are hashed; a rolling hash over each pair of neighbouring line hashes decides where a chunk may end, so boundaries
+Lines are hashed; a rolling hash over each window of three line hashes decides where a chunk may end, so boundaries
 depend on nearby lines alone and resist shifts. Two boundaries in a row are not allowed, and neither is one that would cut
-off a single line at either end: every chunk of a text with two lines or more has two lines or more. Chunks are counted
+off a single line at either end: every chunk of a text with two lines or more has two lines or more. A stretch without a
+boundary, such as a run of equal lines, is cut every MAX_LINES lines from its start. Chunks are counted
 by hash; those with a hash seen again are compared byte by byte (grouped by their text), and every occurrence but the
 first in (doc_id, chunk) order is removed. Counts are merged map-side, and hot chunks are looked up by broadcast of at
 most 1024 entries.
@@ -14,7 +15,7 @@ occurrence loses its second line only. dedup_lines() removes chunks alone, dedup
 
 Defined cases: a null text counts as empty (one empty line); texts with one line have no multi-line chunk and stay as
 they are; pairs of blank lines are no blocks; a null doc_id sorts after all others; rows with the same doc_id and text are treated alike; an empty table gives
-an empty result; other columns are kept; those named like the results (or `chunks`) are dropped. Whole texts are used.
+an empty result; other columns are kept whatever their names; those named like the results are replaced. Whole texts are used.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import clustered, dropped, join_skewed, stored, whole_text
 
-#: One pair of lines in so many allows a boundary.
+#: One window of three lines in so many allows a boundary.
 MEAN_LINES = 3
+MAX_LINES = 64
 LAST_ID = (1 << 63) - 1
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -41,13 +43,21 @@ def with_chunks(df: DataFrame, text: Column, mean: int = MEAN_LINES) -> DataFram
     """Adds chunks: array<struct<no, at, n_lines, chunk>>, at: the first line from 0; joined by newlines they give the text. Null texts give null."""
 
     def cut(lines: Column) -> Column:
-        pairs = F.greatest(F.size(lines) - 1, F.lit(0))
-        # rolled[k]: the hash of lines k and k + 1 (from 0) allows a boundary behind line k
-        rolled = let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.zip_with(F.slice(h, 1, pairs), F.slice(h, 2, pairs), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(mean)) == 0))
+        windows = F.greatest(F.size(lines) - 2, F.lit(0))
+
+        def roll(h: Column) -> Column:
+            """For each window of three line hashes whether it allows a boundary behind its second line."""
+            two = F.zip_with(F.slice(h, 1, windows), F.slice(h, 2, windows), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+            return F.zip_with(two, F.slice(h, 3, windows), lambda p, z: F.pmod(F.xxhash64(p["x"], p["y"], z), F.lit(mean)) == 0)
+
+        rolled = let(F.transform(lines, lambda x: F.xxhash64(x)), roll)
 
         def starts(ok: Column) -> Column:
-            marked = F.transform(ok, lambda yes, k: F.when(yes & (k >= 1) & (k + 1 <= F.size(lines) - 2) & ~F.coalesce(F.get(ok, k - 1), F.lit(False)), k + 1))
-            return F.concat(F.array(F.lit(0)), F.filter(marked, lambda i: i.isNotNull()))
+            marked = F.transform(ok, lambda yes, k: F.when(yes & (k + 2 <= F.size(lines) - 2) & ~F.coalesce(F.get(ok, k - 1), F.lit(False)), k + 2))
+            begin = F.concat(F.array(F.lit(0)), F.filter(marked, lambda i: i.isNotNull()))
+            ends = F.concat(F.slice(begin, 2, F.size(begin)), F.array(F.size(lines)))
+            # no chunk is longer than MAX_LINES + 1, and none has one line because of that
+            return F.flatten(F.zip_with(begin, ends, lambda s, e: F.sequence(s, F.greatest(s, e - 2), F.lit(MAX_LINES))))
 
         def pieces(begin: Column) -> Column:
             ends = F.concat(F.slice(begin, 2, F.size(begin)), F.array(F.size(lines)))
@@ -123,47 +133,58 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.select("__h", "__id", F.explode(F.when(overlaps, F.array(F.col("no") + 1)).otherwise(F.array(F.col("no"), F.col("no") + 1))).alias("line"))
 
 
-def keyed(plain: DataFrame) -> DataFrame:
-    """plain with whole texts and the keys __id and __h, clustered by them."""
-    whole = plain.withColumn("text", whole_text()).withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long")).withColumn("__h", F.xxhash64("__id", "text"))
-    return clustered(whole, "line_documents", "__h", "__id")
+RESULTS = ("n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """d (the row) and the keys __id and __h of its doc_id and whole text, clustered by them."""
+    kept = [F.col(c) for c in docs.columns if c not in RESULTS]
+    id_ = F.coalesce("doc_id", F.lit(LAST_ID)).cast("long")
+    return clustered(docs.select(F.struct(*kept).alias("d"), id_.alias("__id"), F.xxhash64(id_, whole_text()).alias("__h")), "line_documents", "__h", "__id")
+
+
+def with_results(joined: DataFrame, lost: Column, n_chunks: Column) -> DataFrame:
+    """Rows with the lines whose numbers are in lost (null: none) removed. joined: d, text."""
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+
+    done = joined.select("d", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.array_size(lost), F.lit(0)).cast("long").alias("n_removed_lines"), n_chunks.alias("n_removed_chunks"), F.when(lost.isNotNull(), let(F.split("text", "\n", -1), rest)).otherwise(F.col("text")).alias("text"))
+    columns = [F.col("text") if c == "text" else F.col("d")[c].alias(c) for c in done.schema["d"].dataType.names]
+    return done.select(*columns, *RESULTS)
+
+
+def removed_chunks(texts: DataFrame, mean: int) -> DataFrame:
+    return repeated_chunks(texts, mean).groupBy("__h", "__id").agg(F.collect_set("no").alias("__chunks"))
+
+
+def lines_of_chunks(joined: DataFrame, mean: int) -> DataFrame:
+    """Replaces __chunks by __of_chunks, the lines of those chunks, and n_chunks, their number."""
+    cut = with_chunks(joined, F.when(F.col("__chunks").isNotNull(), F.col("text")), mean)
+    gone = F.filter("chunks", lambda c: F.array_contains("__chunks", c["no"]))
+    return cut.withColumns({"__of_chunks": F.flatten(F.transform(gone, lambda c: F.sequence(c["at"], c["at"] + c["n_lines"] - 1))), "n_chunks": F.coalesce(F.array_size("__chunks"), F.lit(0)).cast("long")})
 
 
 def dedup_blocks(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     """docs with text less its repeated chunks and blocks, and n_lines, n_removed_lines, n_removed_chunks (content-defined chunks that repeat)."""
-    plain = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks", "chunks")
-    table = keyed(plain)
-    texts = table.select("__h", "__id", "text")
-    chunks = repeated_chunks(texts, mean).groupBy("__h", "__id").agg(F.collect_set("no").alias("__removed"))
+    table = keyed(docs)
+    texts = table.select("__h", "__id", whole_text("d.text").alias("text"))
     lines = repeated_lines(texts).groupBy("__h", "__id").agg(F.collect_set("line").alias("__lines"))
-    gone = stored(lines.join(chunks, ["__h", "__id"], "full"), "removed-lines")
-    joined = table.join(gone, ["__h", "__id"], "left").withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
-    touched = F.coalesce("__removed", "__lines").isNotNull()
+    gone = stored(lines.join(removed_chunks(texts, mean), ["__h", "__id"], "full"), "removed-lines")
+    joined = table.withColumn("text", whole_text("d.text")).join(gone, ["__h", "__id"], "left")
     none = F.array().cast("array<int>")
-    out = with_chunks(joined, F.when(F.col("__removed").isNotNull(), F.col("text")), mean)
-    of_chunks = F.flatten(F.transform(F.filter("chunks", lambda c: F.array_contains("__removed", c["no"])), lambda c: F.sequence(c["at"], c["at"] + c["n_lines"] - 1)))
-    out = out.withColumn("__lines", F.when(touched, F.array_union(F.coalesce("__lines", none), F.coalesce(of_chunks, none))))
-    rest = let(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__lines")), lambda k: F.get(x, k)), "\n"))
-    out = out.withColumns({"n_removed_chunks": F.coalesce(F.array_size("__removed"), F.lit(0)).cast("long"), "n_removed_lines": F.coalesce(F.array_size("__lines"), F.lit(0)).cast("long"), "__new": F.when(touched, rest).otherwise(F.col("text"))})
-    return out.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in plain.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+    lost = F.when(F.coalesce("__chunks", "__lines").isNotNull(), F.array_union(F.coalesce("__lines", none), F.coalesce("__of_chunks", none)))
+    return with_results(lines_of_chunks(joined, mean).withColumn("__lost", lost), F.col("__lost"), F.col("n_chunks"))
 
 
 def dedup_lines(docs: DataFrame, mean: int = MEAN_LINES) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks."""
-    plain = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks", "chunks")
-    table = keyed(plain)
-    removed = stored(repeated_chunks(table.select("__h", "__id", "text"), mean).groupBy("__h", "__id").agg(F.collect_set("no").alias("__removed")), "removed-chunks")
-    joined = table.join(removed, ["__h", "__id"], "left")
-    lost = F.coalesce("__removed", F.array().cast("array<int>"))
-    touched = F.col("__removed").isNotNull()
-    lines = F.size(F.split("text", "\n", -1)).cast("long")
-    out = with_chunks(joined.withColumn("n_lines", lines), F.when(touched, F.col("text")), mean)
-    gone = F.filter("chunks", lambda c: F.array_contains(lost, c["no"]))
-    kept = F.filter("chunks", lambda c: ~F.array_contains(lost, c["no"]))
-    n_gone = F.aggregate(gone, F.lit(0), lambda s, c: s + c["n_lines"])
-    rest = F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n")
-    out = out.withColumns({"n_removed_chunks": F.coalesce(F.array_size("__removed"), F.lit(0)).cast("long"), "n_removed_lines": F.when(touched, n_gone).otherwise(0).cast("long"), "__new": F.when(touched, rest).otherwise(F.col("text"))})
-    return out.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in plain.columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+    table = keyed(docs)
+    texts = table.select("__h", "__id", whole_text("d.text").alias("text"))
+    removed = stored(removed_chunks(texts, mean), "removed-chunks")
+    joined = table.withColumn("text", whole_text("d.text")).join(removed, ["__h", "__id"], "left")
+    return with_results(lines_of_chunks(joined, mean), F.col("__of_chunks"), F.col("n_chunks"))
 
 
 def op6(docs: DataFrame) -> DataFrame:

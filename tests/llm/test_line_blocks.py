@@ -34,3 +34,14 @@ def test_blocks_match_brute_force(spark):
         assert r["n_removed_lines"] == len(texts[i].split("\n")) - left
     assert sum(r["n_removed_lines"] for r in line_dedup.op6(docs).collect()) == sum(r["n_removed_lines"] for r in found.values())
     assert sum(r["n_removed_lines"] for r in line_dedup.dedup_lines(docs).collect()) < sum(r["n_removed_lines"] for r in found.values())
+
+
+def test_clashing_columns_and_long_runs(spark):
+    rows = [(1, "a\nb\nc", 7, 8, 9, "x", 5), (2, "z\na\nb\nc", 7, 8, 9, "y", 5), (3, "\n".join(["same"] * 1000), 7, 8, 9, "w", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __h int, __id int, __removed int, chunks string, d int")
+    for done in (line_dedup.dedup_blocks(docs), line_dedup.dedup_lines(docs)):
+        assert done.columns == [*docs.columns, "n_lines", "n_removed_lines", "n_removed_chunks"]
+        assert {r["doc_id"]: tuple(r)[2:7] for r in done.collect()} == {r[0]: r[2:] for r in rows}
+    chunks = line_dedup.with_chunks(docs.select("doc_id", "text"), docs["text"]).filter("doc_id = 3").first()["chunks"]
+    assert [c["n_lines"] for c in chunks] == [64] * 15 + [40] or all(2 <= c["n_lines"] <= 65 for c in chunks)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_blocks(docs).collect()} == brute_force({r[0]: r[1] for r in rows})
