@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import CACHED_WORDS, WordCache
-from lodestone.llm.common import scratch_path, slices, stored
+from lodestone.llm.common import as_bytes, scratch_path, slices, stored
 
 MASK_ADD = 0xA282EAD8  # fixed value: the public record format's mask
 SHARD_BYTES = 24 << 20
@@ -58,11 +58,6 @@ def unframed(data: bytes) -> np.ndarray:
     return np.frombuffer(payload, "<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def as_bytes(words: pa.Array) -> list[bytes]:
-    """Much faster than to_pylist() for many short values."""
-    return words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-
-
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct core of a word that a worker's cache lacks.
 
