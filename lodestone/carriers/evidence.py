@@ -34,6 +34,16 @@ def prefs(s, d):
     return table(s, d, "events").selectExpr("CONCAT('u', user_id % 20) AS user_id", "CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'save' WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'wrong_location' END AS action", "CASE event_id % 3 WHEN 0 THEN 'Generative AI Engineer' WHEN 1 THEN 'Sales Executive' END AS title", "concat('Customer#', lpad(CAST(event_id % 40 AS STRING), 9, '0')) AS company", "CASE event_id % 2 WHEN 0 THEN 'Dubai, UAE' ELSE 'Remote' END AS location", "CASE event_id % 4 WHEN 0 THEN 'Retail' END AS industry", "array(CASE event_id % 3 WHEN 0 THEN 'Docker' WHEN 1 THEN 'k8s' END) AS skills")
 
 
+def seekers(s, d):
+    named = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.selectExpr("s_suppkey AS cand", "s_nationkey % 5 AS segment", "CASE s_suppkey % 3 WHEN 0 THEN array('SQL', 'python') ELSE array(' sql') END AS explicit_skills", "array('spark') AS inferred_skills", "s_suppkey % 9 AS max_years", "array(n_name) AS want_places")
+
+
+def openings(s, d):
+    named = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.selectExpr("c_custkey AS opp", "c_nationkey % 5 AS segment", "CASE c_custkey % 4 WHEN 0 THEN array('sql') WHEN 1 THEN array('SQL') WHEN 2 THEN array('go') ELSE array('python', 'spark') END AS has_skills", "CASE c_custkey % 4 WHEN 1 THEN 'Python developer' WHEN 3 THEN 'SQL analyst' ELSE 'Engineer' END AS title", "c_mktsegment AS description", "n_name AS location", "c_custkey % 12 AS years")
+
+
 def evidence_of(s, d):
     return table(s, d, "lineitem").filter("l_orderkey % 50 = 0").selectExpr("concat('E', l_suppkey) AS entity_id", "CASE WHEN l_quantity > 48 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS relationship", "CASE WHEN l_linenumber = 7 THEN 'a risk' ELSE 'a claim' END AS claim", "concat('src', l_partkey % 9) AS source")
 
@@ -42,7 +52,7 @@ QUERIES = {
     "j1_extract_facts": lambda s, d: m.extract_facts(fact_texts(s, d), "doc_id"),
     "j3_contradictions": lambda s, d: m.contradictions(carrier(s, d, "facts")).select("entity_id", "field", "seq_a", "seq_b"),
     "j4_scan_risks": lambda s, d: m.scan_risks(docs(s, d), "doc_id", signatures=RISK_WORDS).select("doc_id", "risk", "severity", "sentence"),
-    "j2_claim_support": lambda s, d: m.claim_support(table(s, d, "benchmark"), docs(s, d), "item_id", "doc_id").select("item_id", "doc_id", "n", "total", "relationship"),
+    "j2_claim_support": lambda s, d: m.claim_support(table(s, d, "benchmark"), docs(s, d), "item_id", "doc_id").select("item_id", "doc_id", "n", "total", "relationship", "passage", "confidence"),
     "d7_entity_mentions": lambda s, d: m.entity_mentions(table(s, d, "benchmark").select(F.substring_index("text", " ", 4).alias("name")).distinct(), docs(s, d), "name", "doc_id"),
     "j5_claim_passages": lambda s, d: m.claim_passages(docs(s, d), "doc_id"),
     "j6_evidence_split": lambda s, d: m.bibliography(m.claim_passages(docs(s, d), "doc_id").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 20).cast("string"))), "source", "doc_id"),
@@ -61,7 +71,7 @@ QUERIES = {
     "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings").filter("seq % 10 = 0"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").filter("seq % 10 = 0").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings").filter("seq % 10 = 0")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings").filter("seq % 10 = 0"), m.preference_signals(prefs(s, d)))).filter("place <= 20").select("user_id", "place", F.round("final", 6).alias("final")),
-    "c22_opportunity_match": lambda s, d: m.match_opportunities(table(s, d, "supplier").selectExpr("s_suppkey AS cand", "s_nationkey % 5 AS segment", "array('sql', CASE s_suppkey % 3 WHEN 0 THEN 'python' ELSE 'java' END) AS want_skills", "s_suppkey % 9 AS years", "s_nationkey AS want_place"), table(s, d, "customer").selectExpr("c_custkey AS opp", "c_nationkey % 5 AS segment", "array(CASE c_custkey % 4 WHEN 0 THEN 'sql' WHEN 1 THEN 'python' ELSE 'go' END) AS has_skills", "CAST(c_custkey % 7 AS INT) AS min_years", "c_nationkey AS place", "c_custkey % 2 = 0 AS remote")).select("cand", "opp", "gate", F.round("match", 6).alias("match")),
+    "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "gate", "match"),
 }
 
 WORDS = "SELECT DISTINCT {0}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {1}"
@@ -89,7 +99,7 @@ ORACLES = {
     "j4_scan_risks": """WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), '.'))) AS s, generate_subscripts(string_split(replace(coalesce(text, ''), chr(10), ' '), '.'), 1) AS pos FROM documents),
  h AS (SELECT doc_id, 'warm' AS risk, 'HIGH' AS severity, arg_min(substr(s, 1, 200), pos) AS sentence FROM l WHERE regexp_matches(lower(s), '{W}') GROUP BY 1 UNION ALL SELECT doc_id, 'cold', 'MEDIUM', arg_min(substr(s, 1, 200), pos) FROM l WHERE regexp_matches(lower(s), '{C}') GROUP BY 1 UNION ALL SELECT doc_id, 'odd', 'MEDIUM', arg_min(substr(s, 1, 200), pos) FROM l WHERE regexp_matches(lower(s), '{O}') GROUP BY 1)
  SELECT * FROM h UNION ALL SELECT doc_id, 'clean_disclosures', 'LOW', NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)""".replace("{W}", whole("onst|wher")).replace("{C}", whole("und|los")).replace("{O}", whole("layoffs|password")),
-    "j2_claim_support": f"WITH a AS (SELECT * FROM ({WORDS.format('item_id', 'benchmark')}) WHERE length(w) > 3), b AS ({WORDS.format('doc_id', 'documents')}), t AS (SELECT item_id, count(*) AS total FROM a GROUP BY 1), n AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b ON b.w = a.w GROUP BY 1, 2), r AS (SELECT n.*, total, regexp_matches(lower(d.text), '{'|'.join(m.NEGATIONS)}') AS neg FROM n JOIN t ON t.item_id = n.item_id JOIN documents d ON d.doc_id = n.doc_id WHERE n / total >= 0.3) SELECT item_id, doc_id, n, total, CASE WHEN neg AND n / total >= 0.5 THEN 'CONTRADICTS' WHEN n / total < 0.6 THEN 'MENTIONS' ELSE 'SUPPORTS' END AS relationship FROM r",
+    "j2_claim_support": f"WITH a AS (SELECT * FROM ({WORDS.format('item_id', 'benchmark')}) WHERE length(w) > 3), b AS ({WORDS.format('doc_id', 'documents')}), t AS (SELECT item_id, count(*) AS total, list(w) AS tokens FROM a GROUP BY 1), n AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b ON b.w = a.w GROUP BY 1, 2), r AS (SELECT n.*, total, tokens, d.text, list_filter(list_transform(string_split(replace(d.text, chr(10), ' '), '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM n JOIN t ON t.item_id = n.item_id JOIN documents d ON d.doc_id = n.doc_id WHERE n / total >= 0.3), k AS (SELECT *, list_transform(ss, lambda x: len(list_filter(tokens, lambda y: contains(lower(x), y)))) AS sc FROM r), v AS (SELECT *, CASE WHEN coalesce(list_max(sc), 0) > 0 THEN ss[list_position(sc, list_max(sc))] ELSE '' END AS best FROM k) SELECT item_id, doc_id, n, total, CASE WHEN regexp_matches(lower(text), '{'|'.join(m.NEGATIONS)}') AND n / total >= 0.5 THEN CASE WHEN regexp_matches(lower(best), '{'|'.join(m.NEGATIONS)}') THEN 'CONTRADICTS' ELSE 'SUPPORTS' END WHEN n / total < 0.6 THEN 'MENTIONS' ELSE 'SUPPORTS' END AS relationship, CASE WHEN best <> '' THEN best ELSE substr(text, 1, 250) END AS passage, CASE WHEN n / total > 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM v",
     "d7_entity_mentions": "WITH e AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS name FROM benchmark) SELECT doc_id, name FROM documents JOIN e ON regexp_matches(' ' || lower(text), '[ ]' || regexp_escape(array_to_string(string_split(lower(name), ' ')[1:2], ' ')) || '([ ]|$)') AND contains(lower(text), lower(name))",
     "j5_claim_passages": "WITH " + PASSAGES + " SELECT * FROM c WHERE place <= 6",
     "j6_evidence_split": "WITH " + PASSAGES + ", b AS (SELECT 's' || (doc_id % 20) AS source, min(doc_id) AS first, count(*) FILTER (NOT is_counter) AS primary_rows, count(*) FILTER (is_counter) AS counter_rows FROM c WHERE place <= 6 GROUP BY 1) SELECT *, dense_rank() OVER (ORDER BY first, source) AS number FROM b",
@@ -108,5 +118,5 @@ ORACLES = {
     "k3_preference_boost": oracle("WITH " + SIGNALS + "," + BOOST + " SELECT user_id, record_id, round(boost, 6) AS boost FROM bst", "postings"),
     "k4_soft_boost": oracle("WITH " + SIGNALS + """, att AS (SELECT record_id, 'comp' AS type, lower(trim(company)) AS value FROM postings WHERE seq % 10 = 0 UNION SELECT record_id, 'ind', CASE seq % 3 WHEN 0 THEN 'retail' ELSE 'banking' END FROM postings WHERE seq % 10 = 0 UNION SELECT record_id, 'skill', lower(trim(unnest(string_split(skills, ',')))) FROM postings WHERE seq % 10 = 0)
  SELECT user_id, record_id, round(greatest(least(sum(weight * CASE polarity || att.type WHEN 'poscomp' THEN 0.02 WHEN 'negcomp' THEN -0.03 WHEN 'posind' THEN 0.01 WHEN 'negind' THEN -0.02 WHEN 'posskill' THEN 0.01 ELSE 0 END), 0.05), -0.05), 6) AS boost FROM att JOIN sig ON sig.type = att.type AND sig.value = att.value GROUP BY 1, 2""", "postings"),
-    "c22_opportunity_match": "WITH s AS (SELECT s_suppkey AS cand, s_nationkey % 5 AS g, s_suppkey % 3 = 0 AS py, s_suppkey % 9 AS y, s_nationkey AS pl FROM supplier), c AS (SELECT c_custkey AS opp, c_nationkey % 5 AS g, c_custkey % 4 AS m, c_custkey % 7 AS mn, c_nationkey AS pl, c_custkey % 2 = 0 AS r FROM customer), j AS (SELECT cand, opp, CASE WHEN m = 0 OR m = 1 AND py THEN 0.5::DOUBLE ELSE 0 END AS sh, mn <= y AS ok, s.pl = c.pl AS same, r FROM s JOIN c ON s.g = c.g) SELECT cand, opp, sh > 0 AND ok AS gate, round(CASE WHEN sh > 0 AND ok THEN 0.5 + 0.2 * sh + CASE WHEN same THEN 0.1 ELSE 0 END + CASE WHEN r THEN 0.05 ELSE 0 END ELSE least(0.4, 0.5 + 0.2 * sh) END, 6) AS match FROM j",
+    "c22_opportunity_match": "WITH s AS (SELECT s_suppkey AS cand, s_nationkey % 5 AS g, s_suppkey % 3 = 0 AS py, s_suppkey % 9 AS y, n_name AS pl FROM supplier JOIN nation ON n_nationkey = s_nationkey), c AS (SELECT c_custkey AS opp, c_nationkey % 5 AS g, c_custkey % 4 AS m, c_custkey % 12 AS mn, n_name AS pl FROM customer JOIN nation ON n_nationkey = c_nationkey), j AS (SELECT cand, opp, m IN (1, 3) OR NOT py AS skilled, mn <= y + 1 AS ok, contains(c.pl, s.pl) OR contains(s.pl, c.pl) AS same, CASE WHEN same THEN 20 ELSE 0 END + 10 + CASE WHEN py AND m IN (1, 3) THEN 10 ELSE 0 END + CASE WHEN m = 3 THEN 5 ELSE 0 END AS pts FROM s JOIN c ON s.g = c.g AND m <> 2) SELECT cand, opp, skilled AND ok AND same AS gate, CASE WHEN skilled AND ok AND same THEN (50 + pts) / 100 ELSE 0.4::DOUBLE END AS match FROM j",
 }

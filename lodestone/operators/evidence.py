@@ -80,16 +80,23 @@ NEGATIONS = ["not", "denied", "refuted", "false", "disputed", "rejected", "contr
 def claim_support(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str) -> DataFrame:
     """SUPPORTS, CONTRADICTS or MENTIONS for each claim and document that share 30 % or more of the claim's longer words.
 
-    Words meet by an equi-join on distinct tokens, so no claim is compared with a document that shares nothing.
+    Words meet by an equi-join on distinct tokens, so no claim is compared with a document that shares nothing. The best
+    sentence is the first that has the most of the claim's words; a denial counts as contradiction only within it.
     """
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("w")).filter(F.length("w") > 3)
     wanted = words(claims, claim_id)
-    size = wanted.groupBy(claim_id).agg(F.count("*").alias("total"))
+    size = wanted.groupBy(claim_id).agg(F.count("*").alias("total"), F.collect_set("w").alias("tokens"))
     shared = wanted.join(words(docs, doc_id), "w").groupBy(claim_id, doc_id).agg(F.count("*").alias("n"))
     near = shared.join(size, claim_id).withColumn("ratio", F.col("n") / F.col("total")).filter("ratio >= 0.3")
-    denied = docs.select(doc_id, c.contains_any(F.lower("text"), NEGATIONS).alias("denied"))
-    out = near.join(denied, doc_id)
-    return out.withColumn("relationship", F.when(F.col("denied") & (F.col("ratio") >= 0.5), "CONTRADICTS").when(F.col("ratio") < 0.6, "MENTIONS").otherwise("SUPPORTS"))
+    out = near.join(docs.select(doc_id, "text"), doc_id)
+    sentences = F.filter(F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    scored = F.transform(sentences, lambda s: F.struct(F.size(F.filter("tokens", lambda t: F.contains(F.lower(s), t))).alias("score"), s.alias("s")))
+    best = F.aggregate(scored, F.struct(F.lit(0).alias("score"), F.lit("").alias("s")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))["s"]
+    out = out.withColumn("best", best)
+    denied, here = c.contains_any(F.lower("text"), NEGATIONS), c.contains_any(F.lower("best"), NEGATIONS)
+    relation = F.when(denied & (F.col("ratio") >= 0.5), F.when(here, "CONTRADICTS").otherwise("SUPPORTS")).when(F.col("ratio") < 0.6, "MENTIONS").otherwise("SUPPORTS")
+    passage = F.when(F.col("best") != "", F.col("best")).otherwise(F.substring("text", 1, 250))
+    return out.withColumns({"relationship": relation, "passage": passage, "confidence": F.when(F.col("ratio") > 0.7, "HIGH").otherwise("MEDIUM")}).drop("text", "tokens", "best")
 
 
 def entity_mentions(entities: DataFrame, docs: DataFrame, name: str, key: str) -> DataFrame:
@@ -274,9 +281,25 @@ def boosted_rank(ranked: DataFrame, boosts: DataFrame) -> DataFrame:
 
 
 def match_opportunities(prefs: DataFrame, opportunities: DataFrame) -> DataFrame:
-    """Score of each candidate and opportunity of one segment; a failed gate on skill or experience caps it at 0.40."""
-    j = prefs.join(opportunities, "segment")
-    share = F.size(F.array_intersect("want_skills", "has_skills")) / F.greatest(F.size("want_skills"), F.lit(1))
-    gate = (share > 0) & (F.coalesce("min_years", F.lit(0)) <= F.col("years"))
-    score = 0.5 + 0.2 * share + F.when(F.col("place") == F.col("want_place"), 0.1).otherwise(0.0) + F.when(F.col("remote"), 0.05).otherwise(0.0)
-    return j.withColumns({"gate": gate, "match": F.when(gate, score).otherwise(F.least(score, F.lit(0.40)))})
+    """Score of candidates and opportunities of one segment: 0.5, 0.2 for the place, 0.1 for each explicit and 0.05 for each inferred skill.
+
+    Place (any of want_places by name or cluster; none: everywhere), all explicit skills and experience (at most a year over
+    max_years) are gates; a failed one caps the score at 0.40. Pairs meet on the candidate's first explicit skill, as a word of
+    the skills, title or description; an opportunity without it fails the gate and gets no row.
+    """
+    low = lambda x: F.lower(F.trim(x))
+    plain = lambda name: F.filter(F.transform(F.coalesce(name, F.array().cast("array<string>")), low), lambda s: s != "")
+    wish = prefs.withColumns({"explicit": plain("explicit_skills"), "inferred": plain("inferred_skills"), "places": plain("want_places")})
+    wish = wish.withColumns({"meet": F.coalesce(F.get("explicit", F.lit(0)), F.lit("")), "clusters": F.transform("places", lambda p: c.geo_cluster(p))})
+    blob = F.lower(F.concat_ws(" ", "title", "description"))
+    offer = opportunities.withColumns({"skills": plain("has_skills"), "blob": blob, "here": low(F.coalesce("location", F.lit("")))}).withColumn("cluster", c.geo_cluster(F.col("here")))
+    words = F.array_distinct(F.concat(F.array(F.lit("")), "skills", F.split("blob", r"[^a-z0-9+#.]+")))
+    j = wish.join(offer.withColumn("meet", F.explode(words)), ["segment", "meet"])
+    has = lambda s: F.array_contains(F.col("skills"), s) | F.contains(F.col("blob"), s)
+    named = F.exists("places", lambda p: F.contains(F.col("here"), p) | ((F.col("here") != "") & F.contains(p, F.col("here"))))
+    there = named | F.coalesce(F.array_contains("clusters", F.col("cluster")), F.lit(False))
+    anywhere = F.size("places") == 0
+    fit = F.coalesce(F.col("years") <= F.col("max_years") + 1, F.lit(True))
+    score = 0.5 + F.when(~anywhere & there, 0.2).otherwise(0.0) + 0.1 * F.size(F.filter("explicit", has)) + 0.05 * F.size(F.filter("inferred", has))
+    out = j.withColumns({"gate": (anywhere | there) & F.forall("explicit", has) & fit, "match": F.least(F.lit(1.0), F.round(score, 2))})
+    return out.withColumn("match", F.when(F.col("gate"), F.col("match")).otherwise(F.least("match", F.lit(0.40)))).drop("meet", "clusters", "cluster", "blob", "here", "explicit", "inferred", "places", "skills")

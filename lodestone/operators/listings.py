@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import columns as c
+from lodestone.plans.components import cut
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str], order: str) -> DataFrame:
@@ -127,18 +128,26 @@ def merge_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def cascade_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ids and their clones by title and company, by posting URL and by identity key."""
-    chosen = records.join(ids.select("record_id").distinct(), "record_id", "left_semi")
-    name = lambda: F.concat_ws("|", F.lower(F.trim("title")), F.lower(F.trim("company")))
-    link = lambda: F.when((F.length("url") > 12) & ~c.is_board_url(F.col("url")), c.canonical_url(F.col("url")))
-    by_name = records.withColumn("k", name()).join(chosen.select(name().alias("k")).distinct(), "k", "left_semi")
-    by_link = records.withColumn("k", link()).join(chosen.select(link().alias("k")).filter("k is not null").distinct(), "k", "left_semi")
-    return by_name.select("record_id").unionByName(by_link.select("record_id")).unionByName(chosen.select("record_id")).distinct()
+    """The ids and their clones: same title (3 characters or more) and company, same posting URL, or same identity key.
+
+    Every record has up to three keys; keys and records meet once. Blank titles, companies, URLs and keys never match.
+    """
+    title, company = F.lower(F.trim("title")), F.lower(F.trim("company"))
+    keys = [
+        F.when((F.length(title) >= 3) & (company != ""), F.concat_ws("|", F.lit("name"), title, company)),
+        F.when((F.length("url") > 12) & ~c.is_board_url(F.col("url")), F.concat_ws("|", F.lit("url"), c.canonical_url(F.col("url")))),
+    ]
+    if "identity_key" in records.columns:
+        keys.append(F.when(F.col("identity_key") != "", F.concat_ws("|", F.lit("identity"), "identity_key")))
+    chosen = ids.select("record_id").distinct()
+    keyed = records.select("record_id", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    wanted = keyed.join(chosen, "record_id", "left_semi").select("key").distinct()
+    return keyed.join(wanted, "key", "left_semi").select("record_id").unionByName(records.select("record_id").join(chosen, "record_id", "left_semi")).distinct()
 
 
 def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the rows of the ids' closure."""
-    gone = cascade_ids(tables["records"], ids)
+    """All tables without the rows of the ids' closure, which is computed once and kept in the shared folder."""
+    gone = cut(cascade_ids(tables["records"], ids), "closure")
     return {name: df.join(gone, "record_id", "left_anti") for name, df in tables.items()}
 
 

@@ -139,41 +139,58 @@ def crawl_telemetry(events: DataFrame, minutes: int = 60) -> DataFrame:
 
 
 def snapshot_changes(rows: DataFrame, target: str, ts: str, state: str, price: str, least: float = 0.001) -> DataFrame:
-    """Rows whose state or price differs from the snapshot before."""
+    """Rows whose state differs from the snapshot before, or whose price differs by more than least (an amount, not a share)."""
     w = Window.partitionBy(target).orderBy(ts)
     told = rows.withColumns({"old_state": F.lag(state).over(w), "old_price": F.lag(price).over(w)}).filter("old_state is not null")
-    change = F.when(F.col(state) != F.col("old_state"), "status").when(F.abs(F.col(price) - F.col("old_price")) > least * F.abs("old_price"), "price")
+    change = F.when(F.col(state) != F.col("old_state"), "status").when(F.abs(F.col(price) - F.col("old_price")) > least, "price")
     return told.withColumn("change", change).filter("change is not null")
 
 
+def new_headlines(rows: DataFrame, target: str, order: str, news: str) -> DataFrame:
+    """target, order, headline: the headlines (array column news) that the snapshot before did not have."""
+    before = F.coalesce(F.lag(news).over(Window.partitionBy(target).orderBy(order)), F.array().cast("array<string>"))
+    first = F.row_number().over(Window.partitionBy(target).orderBy(order)) == 1
+    told = rows.withColumns({"__before": before, "__first": first}).filter(~F.col("__first"))
+    return told.select(target, order, F.explode(F.array_except(news, "__before")).alias("headline"))
+
+
 def score_candidates(cands: DataFrame, evidence: DataFrame) -> DataFrame:
     """Eight components, total, confidence and direction. Evidence is aggregated per symbol before the join.
 
-    cands: symbol, sector, change_1w, volume_ratio, rsi, price, sma20, histogram, revenue_growth, profit_growth, pe_ratio.
-    evidence: symbol, tier, sentiment, claim_type, is_counter, source, is_placeholder (placeholders don't count as risk).
+    cands: symbol, sector, change_1w, volume_ratio, rsi, price, sma20, histogram, revenue_growth, profit_growth, pe_ratio and,
+    where there are any, the arrays risk_factors, conflicts, corporate_actions and news_events.
+    evidence: symbol, tier, sentiment, claim_type, claim, is_counter, source, is_placeholder (placeholders don't count as risk).
     """
+    said = lambda *words: F.bool_or(F.lower("claim").rlike("|".join(words)))
     real = ~F.col("is_placeholder")
     told = evidence.groupBy("symbol").agg(
         F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.count_if(F.col("tier") == 1).alias("t1"), F.count_if(F.col("tier") == 2).alias("t2"),
         F.count_if((F.col("sentiment") == "bullish") & F.col("claim_type").isin("COMPANY_FACT", "NEWS")).alias("good"), F.count_if(((F.col("sentiment") == "bearish") | F.col("is_counter")) & real).alias("bad"),
+        said("momentum", "gain").alias("of_momentum"), said("volume", "breakout").alias("of_volume"), said("breakout", "support").alias("of_level"), said("sector").alias("of_sector"),
     )
     j = cands.join(told, "symbol", "left").fillna(0, ["n", "sources", "t1", "t2", "good", "bad"])
     c = F.col
+    claimed = lambda flag, value, other=0.0: F.when(c(flag), value).otherwise(other)
+    length = lambda name: F.coalesce(F.array_size(name), F.lit(0)) if name in cands.columns else F.lit(0)
     move, vol, r = c("change_1w"), c("volume_ratio"), c("rsi")
-    momentum = F.when(move.isNull(), 0.0).when(move.between(1, 8), 16 + F.least(F.lit(4.0), (move - 1) / 7 * 4)).when((move > 8) & (move <= 15), 15.0).when(move > 15, 10.0).when(move >= 0, 8.0).when(move >= -3, 4.0).otherwise(0.0)
-    volume = F.when(vol.isNull(), 0.0).when(vol >= 2, 15.0).when(vol >= 1.5, 12.0).when(vol >= 1.1, 8.0).when(vol >= 0.8, 5.0).otherwise(2.0)
+    momentum = F.when(move.isNull(), claimed("of_momentum", 10.0)).when(move.between(1, 8), 16 + F.least(F.lit(4.0), (move - 1) / 7 * 4)).when((move > 8) & (move <= 15), 15.0).when(move > 15, 10.0).when(move >= 0, 8.0).when(move >= -3, 4.0).otherwise(0.0)
+    volume = F.when(vol.isNull(), claimed("of_volume", 7.0)).when(vol >= 2, 15.0).when(vol >= 1.5, 12.0).when(vol >= 1.1, 8.0).when(vol >= 0.8, 5.0).otherwise(2.0)
     strength = F.when(r.isNull(), 0.0).when(r.between(50, 68), 10.0).when((r >= 40) & (r < 50), 6.0).when((r > 68) & (r <= 75), 5.0).otherwise(2.0)
-    technical = F.least(F.lit(20.0), strength + F.when(c("price").isNull() | c("sma20").isNull(), 0.0).when(c("price") > c("sma20"), 7.0).otherwise(1.0) + F.when(c("histogram") > 0, 3.0).otherwise(0.0))
-    sector = F.when(F.coalesce(c("sector"), F.lit("")) == "", 4.0).when(F.lower("sector").rlike("it|bank|auto|metal|energy|pharma"), 12.0).otherwise(8.0)
+    known = F.coalesce(c("price") != 0, F.lit(False)) & F.coalesce(c("sma20") != 0, F.lit(False))
+    technical = F.least(F.lit(20.0), strength + F.when(~known, claimed("of_level", 6.0)).when(c("price") > c("sma20"), 7.0).otherwise(1.0) + F.when(c("histogram") > 0, 3.0).otherwise(0.0))
+    sector = F.when(F.coalesce(c("sector"), F.lit("")) == "", claimed("of_sector", 8.0, 4.0)).when(F.lower("sector").rlike("it|bank|auto|metal|energy|pharma"), 12.0).otherwise(8.0)
     growth = lambda x, up: F.when(c(x) > 15, up).when(c(x) < 0, -2.0).otherwise(0.0)
     fundamentals = F.greatest(F.lit(0.0), F.least(F.lit(10.0), 5 + growth("revenue_growth", 3.0) + growth("profit_growth", 2.0) + F.when(c("pe_ratio").between(10, 40), 1.0).otherwise(0.0)))
-    risk = F.least(F.lit(20.0), c("bad") * 3.0)
+    events = length("corporate_actions") * 5.0 + length("news_events") * 3.0
+    catalyst = F.least(F.lit(15.0), F.when(events > 0, events).otherwise(c("good") * 4.0))
+    risk = F.least(F.lit(20.0), length("risk_factors") * 4.0 + c("bad") * 3.0 + length("conflicts") * 5.0)
     quality = F.least(F.lit(5.0), F.when(c("t1") > 0, 2.5).otherwise(0.0) + F.when(c("t2") >= 2, 2.0).when(c("t2") == 1, 1.0).otherwise(0.0) + F.when(c("sources") >= 3, 0.5).otherwise(0.0))
-    out = j.withColumns({"momentum": momentum, "volume_score": volume, "technical": technical, "sector_strength": sector, "catalyst": F.least(F.lit(15.0), c("good") * 4.0), "fundamentals": fundamentals, "risk": risk, "evidence_quality": quality})
-    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("momentum") + c("volume_score") + c("technical") + c("sector_strength") + c("catalyst") + c("fundamentals") - c("risk") + c("evidence_quality")))
-    out = out.withColumns({"score": total, "confidence": F.when(((c("t1") > 0) | (c("t2") >= 2)) & (c("sources") >= 3) & (c("n") >= 3), "HIGH").when((c("sources") >= 2) & (c("n") >= 2), "MEDIUM").otherwise("LOW")})
-    direction = F.when(c("n") < 2, "INSUFFICIENT_EVIDENCE").when(c("risk") >= 16, "HIGH_RISK").when(c("risk") >= 12, "MIXED").when((c("score") >= 65) & c("confidence").isin("HIGH", "MEDIUM"), "POSITIVE").when(c("score") < 40, "NEGATIVE").otherwise("MIXED")
-    return out.withColumn("direction", direction)
+    out = j.withColumns({"momentum": momentum, "volume_score": volume, "technical": technical, "sector_strength": sector, "catalyst": catalyst, "fundamentals": fundamentals, "risk": risk, "evidence_quality": quality, "in_conflict": length("conflicts") > 0})
+    total = c("momentum") + c("volume_score") + c("technical") + c("sector_strength") + c("catalyst") + c("fundamentals") - c("risk") + c("evidence_quality")
+    out = out.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(total, 1))), "confidence": F.when(((c("t1") > 0) | (c("t2") >= 2)) & (c("sources") >= 3) & (c("n") >= 3), "HIGH").when((c("sources") >= 2) & (c("n") >= 2), "MEDIUM").otherwise("LOW")})
+    direction = F.when(c("n") < 2, "INSUFFICIENT_EVIDENCE").when(c("risk") >= 16, "HIGH_RISK").when((c("risk") >= 12) | c("in_conflict"), "MIXED").when((c("score") >= 65) & c("confidence").isin("HIGH", "MEDIUM"), "POSITIVE").when(c("score") < 40, "NEGATIVE").otherwise("MIXED")
+    out = out.withColumn("direction", direction)
+    return out.withColumns({x: F.bround(x, 1) for x in ("momentum", "volume_score", "technical", "sector_strength", "catalyst", "fundamentals", "evidence_quality")})
 
 
 def rank_candidates(scored: DataFrame) -> DataFrame:
@@ -189,8 +206,11 @@ def watchlist_split(scored: DataFrame, n: int) -> DataFrame:
     return scored.crossJoin(F.broadcast(any_fit)).join(F.broadcast(best), "symbol", "left").withColumn("watch", F.when(F.col("any_fit") == 1, fit).otherwise(F.coalesce("best", F.lit(False)))).drop("any_fit", "best")
 
 
-def coverage_verdict(scored: DataFrame, target: int) -> DataFrame:
-    """Whether the scan may stop: enough well-supported candidates over enough sectors."""
-    out = scored.agg(F.count_if(F.col("confidence") == "HIGH").alias("high"), F.count_if(F.col("confidence") == "MEDIUM").alias("medium"), F.count_distinct("sector").alias("sectors"))
-    return out.withColumn("verdict", F.when((F.col("high") + F.col("medium") >= target) & (F.col("sectors") >= 2), "sufficient").when(F.col("high") + F.col("medium") > 0, "partial").otherwise("insufficient"))
-
+def coverage_verdict(scored: DataFrame, requested: int) -> DataFrame:
+    """Why a scan may stop: counts of candidates, by confidence, and of sectors, and the verdict."""
+    of = lambda level: F.count_if(F.col("confidence") == level)
+    out = scored.agg(F.count("*").alias("candidates"), of("HIGH").alias("high"), of("MEDIUM").alias("medium"), F.count_distinct("sector").alias("sectors"))
+    c = F.col
+    fit, enough = c("high") + c("medium"), c("candidates") >= requested
+    verdict = F.when((fit >= requested) & (c("sectors") >= 3), "REQUEST_SATISFIED").when(enough & (c("high") >= max(1, requested // 3)), "SUFFICIENT_EVIDENCE").when(enough & (fit > 0), "DIMINISHING_EVIDENCE_YIELD").when((c("candidates") > 0) & (c("sectors") >= 4), "DIMINISHING_CANDIDATE_YIELD")
+    return out.withColumn("verdict", verdict.otherwise("SUFFICIENT_EVIDENCE"))

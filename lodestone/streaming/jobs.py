@@ -62,7 +62,7 @@ def stream_streak(rows: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def stream_changes(rows: DataFrame) -> DataFrame:
-    """target, seq, change for snapshots (target, seq, state, price) whose state or price (by over 0.1 %) changed."""
+    """target, seq, change for snapshots (target, seq, state, price) whose state or price (by over 0.001) changed."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
@@ -71,7 +71,7 @@ def stream_changes(rows: DataFrame) -> DataFrame:
             if last is not None:
                 if now != last[0]:
                     out.append((key[0], seq, "status"))
-                elif abs(price - last[1]) > 0.001 * abs(last[1]):
+                elif abs(price - last[1]) > 0.001:
                     out.append((key[0], seq, "price"))
             last = (now, float(price))
         state.update(last)
