@@ -43,6 +43,13 @@ SELECT o_orderpriority AS symbol, o_orderdate AS ts, max(o_totalprice) AS high,
 SELECT page_id AS seq, url, 'wave' || CAST(page_id % 4 AS STRING) AS wave, CASE page_id % 5 WHEN 0 THEN 'https://boards.greenhouse.io/x/jobs/' || CAST(page_id AS STRING)
   WHEN 1 THEN 'https://www.bayt.com/en/uae/jobs/role-' || CAST(page_id AS STRING) || '/' WHEN 2 THEN 'https://www.linkedin.com/jobs/view/' || CAST(page_id AS STRING)
   WHEN 3 THEN 'https://www.googleadservices.com/pagead/aclk?x=1' ELSE url END AS link FROM {pages}""",
+    "found": """
+SELECT page_id AS seq, CASE page_id % 12 WHEN 0 THEN 'https://boards.greenhouse.io/co' || CAST(page_id % 40 AS STRING) || '/jobs/1' WHEN 1 THEN 'https://jobs.lever.co/Co' || CAST(page_id % 50 AS STRING) WHEN 2 THEN 'https://w' || CAST(page_id % 30 AS STRING) || '.workable.com/j/A'
+    WHEN 3 THEN 'https://apply.workable.com/jobs/j/' WHEN 4 THEN 'https://b' || CAST(page_id % 20 AS STRING) || '.breezy.hr/p/1' WHEN 5 THEN 'https://m' || CAST(page_id % 20 AS STRING) || '.myworkdayjobs.com/x' WHEN 6 THEN 'https://www.linkedin.com/posts/' || CAST(page_id AS STRING)
+    WHEN 7 THEN 'https://eg.linkedin.com/jobs/view/' || CAST(page_id AS STRING) WHEN 8 THEN 'https://www.site' || CAST(page_id % 60 AS STRING) || '.example.org/careers/' WHEN 9 THEN url || '/jobs' WHEN 10 THEN 'https://site' || CAST(page_id % 9 AS STRING) || '.de/vacancies' ELSE url || '/people/1' END AS url,
+  CASE page_id % 11 WHEN 0 THEN 'GenAI Engineer at Acme Labs in Dubai' WHEN 1 THEN 'Beta Corp is hiring AI engineers' WHEN 2 THEN 'Full Stack Developer - Gamma Works' WHEN 3 THEN 'GenAI Full Stack Engineer' WHEN 4 THEN 'Sign in to continue' WHEN 5 THEN 'Delta & Co Careers'
+    WHEN 6 THEN 'LLM Engineer | Epsilon Systems | Riyadh' WHEN 7 THEN 'Data role - 62 Vacancies Sep 2026' WHEN 8 THEN 'AI Engineer at Remote' WHEN 9 THEN 'Analyst - Co' || CAST(page_id % 50 AS STRING) ELSE 'Role ' || CAST(page_id AS STRING) || ' - Zeta ' || CAST(page_id % 30 AS STRING) END AS title,
+  CASE page_id % 7 WHEN 0 THEN 'Posted 2 years ago' WHEN 1 THEN 'Based in Cairo, Egypt' WHEN 2 THEN 'Cairo or Dubai' WHEN 3 THEN 'Open to work and looking for a job' WHEN 4 THEN '5 months ago' WHEN 5 THEN 'Posted: March 3, 2023' ELSE 'Apply now, 12 days ago' END AS snippet FROM {pages}""",
     "facts": """
 SELECT 'E' || CAST(o_custkey AS STRING) AS entity_id, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'Revenue' WHEN 1 THEN 'revenue' ELSE 'headquarters' END AS field,
   CASE o_orderkey % 3 WHEN 2 THEN CASE o_orderkey % 4 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Riyadh, KSA' ELSE 'Dubai' END ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 60 AS STRING) || '%' END AS value_text,

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("web", "postings", "listings", "series", "evidence", "resolve", "sources")
+MODULES = ("web", "postings", "listings", "series", "evidence", "resolve", "sources", "discovery")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
