@@ -45,7 +45,7 @@ def openings(s, d):
 
 
 def evidence_of(s, d):
-    return table(s, d, "lineitem").filter("l_orderkey % 50 = 0").selectExpr("concat('E', l_suppkey) AS entity_id", "CASE WHEN l_quantity > 48 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS relationship", "CASE WHEN l_linenumber = 7 THEN 'a risk' ELSE 'a claim' END AS claim", "concat('src', l_partkey % 9) AS source")
+    return table(s, d, "lineitem").selectExpr("concat('E', l_partkey) AS entity_id", "CASE WHEN l_quantity > 48 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS relationship", "CASE WHEN l_linenumber = 7 THEN 'a risk' ELSE 'a claim' END AS claim", "concat('src', l_suppkey % 9) AS source")
 
 
 QUERIES = {
@@ -69,7 +69,7 @@ QUERIES = {
     "j19_request_intents": lambda s, d: m.request_intents(table(s, d, "conversations").filter("role = 'user'"), [("JOBS", whole("thereof|ofthe")), ("MARKET", whole("und")), ("COMPANY", whole("que"))]).groupBy("intent").agg(F.count("*").alias("n")),
     "k2_preference_signals": lambda s, d: m.preference_signals(prefs(s, d)).withColumn("weight", F.round("weight", 6)),
     "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings").filter("seq % 10 = 0"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
-    "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").filter("seq % 10 = 0").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
+    "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings").filter("seq % 10 = 0")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings").filter("seq % 10 = 0"), m.preference_signals(prefs(s, d)))).filter("place <= 20").select("user_id", "place", F.round("final", 6).alias("final")),
     "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "gate", "match"),
 }
@@ -88,7 +88,7 @@ bst AS (SELECT user_id, record_id, greatest(least(sum(CASE polarity || type WHEN
 PASSAGES = """r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
  q AS (SELECT doc_id, trim(p) AS p, pos FROM r WHERE length(trim(p)) >= 60 AND NOT regexp_matches(lower(p), 'cookie|subscribe|sign in|all rights reserved') AND length(trim(p)) - length(replace(trim(p), '|', '')) < 5),
  c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, substr(p, 1, 300) AS claim, regexp_matches(lower(p), '\\b(however|risk|limitation|drawback|criticism)\\b') AS is_counter FROM q)"""
-COVER = """f AS (SELECT entity_id, bool_or(lower(field) IN ('revenue', 'headquarters')) AS fu FROM facts GROUP BY 1), v AS (SELECT 'E' || l_suppkey AS entity_id, count(*) >= 2 AS news, bool_or(l_quantity > 48 OR l_linenumber = 7) AS counter FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1),
+COVER = """f AS (SELECT entity_id, bool_or(lower(field) IN ('revenue', 'headquarters')) AS fu FROM facts GROUP BY 1), v AS (SELECT 'E' || l_partkey AS entity_id, count(*) >= 2 AS news, bool_or(l_quantity > 48 OR l_linenumber = 7) AS counter FROM lineitem GROUP BY 1),
  g AS (SELECT 'E' || s_suppkey AS entity_id, coalesce(fu, false) AS fundamental, coalesce(news, false) AS news, coalesce(counter, false) AS counter FROM supplier LEFT JOIN f ON f.entity_id = 'E' || s_suppkey LEFT JOIN v ON v.entity_id = 'E' || s_suppkey)"""
 
 ORACLES = {
@@ -105,7 +105,7 @@ ORACLES = {
     "j6_evidence_split": "WITH " + PASSAGES + ", b AS (SELECT 's' || (doc_id % 20) AS source, min(doc_id) AS first, count(*) FILTER (NOT is_counter) AS primary_rows, count(*) FILTER (is_counter) AS counter_rows FROM c WHERE place <= 6 GROUP BY 1) SELECT *, dense_rank() OVER (ORDER BY first, source) AS number FROM b",
     "e8_entity_coverage": oracle("WITH " + COVER + " SELECT entity_id, array_to_string(list_filter(['technical', CASE WHEN NOT fundamental THEN 'fundamental' END, CASE WHEN NOT news THEN 'news' END, CASE WHEN NOT counter THEN 'counter' END], lambda x: x IS NOT NULL), ',') AS missing FROM g", "facts"),
     "e8_coverage_state": oracle("WITH " + COVER + ", z AS (SELECT count(*) AS validated, CAST(0 AS BIGINT) AS technical, count(*) FILTER (fundamental) AS fundamental, count(*) FILTER (news) AS news, count(*) FILTER (counter) AS counter FROM g) SELECT *, validated >= 50 AND fundamental >= 35 AND counter >= 25 AS sufficient, round_even(least(validated + fundamental + news + counter, 200) / 200, 2) AS completion FROM z", "facts"),
-    "e13_entity_sources": oracle("WITH b AS (SELECT entity_id, source FROM facts UNION ALL SELECT 'E' || l_suppkey, 'src' || (l_partkey % 9) FROM lineitem WHERE l_orderkey % 50 = 0) SELECT entity_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n FROM b GROUP BY 1", "facts"),
+    "e13_entity_sources": oracle("WITH b AS (SELECT entity_id, source FROM facts UNION ALL SELECT 'E' || l_partkey, 'src' || (l_suppkey % 9) FROM lineitem) SELECT entity_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n FROM b GROUP BY 1", "facts"),
     "j11_hiring_posts": f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '{whole('the|des')}') AND NOT regexp_matches(lower(text), '{whole('und|que')}')",
     "j13_contact_points": "WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')) AS a, regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}') AS raw FROM documents), u AS (SELECT doc_id, unnest(a) AS email, raw FROM m), p AS (SELECT doc_id, email, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(raw, email)) AS k FROM u) SELECT doc_id, email FROM p WHERE k <= 3",
     "j14_company_profiles": oracle("SELECT entity_id, arg_max(value_text, seq) FILTER (lower(field) = 'revenue') AS revenue, arg_max(value_text, seq) FILTER (lower(field) = 'headquarters') AS headquarters FROM facts GROUP BY 1", "facts"),
@@ -116,7 +116,7 @@ ORACLES = {
     "j19_request_intents": f"SELECT CASE WHEN regexp_matches(lower(text), '{whole('thereof|ofthe')}') THEN 'JOBS' WHEN regexp_matches(lower(text), '{whole('und')}') THEN 'MARKET' WHEN regexp_matches(lower(text), '{whole('que')}') THEN 'COMPANY' ELSE 'GENERAL' END AS intent, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
     "k2_preference_signals": "WITH " + SIGNALS + " SELECT user_id, polarity, type, value, round(weight, 6) AS weight FROM sig",
     "k3_preference_boost": oracle("WITH " + SIGNALS + "," + BOOST + " SELECT user_id, record_id, round(boost, 6) AS boost FROM bst", "postings"),
-    "k4_soft_boost": oracle("WITH " + SIGNALS + """, att AS (SELECT record_id, 'comp' AS type, lower(trim(company)) AS value FROM postings WHERE seq % 10 = 0 UNION SELECT record_id, 'ind', CASE seq % 3 WHEN 0 THEN 'retail' ELSE 'banking' END FROM postings WHERE seq % 10 = 0 UNION SELECT record_id, 'skill', lower(trim(unnest(string_split(skills, ',')))) FROM postings WHERE seq % 10 = 0)
+    "k4_soft_boost": oracle("WITH " + SIGNALS + """, att AS (SELECT record_id, 'comp' AS type, lower(trim(company)) AS value FROM postings UNION SELECT record_id, 'ind', CASE seq % 3 WHEN 0 THEN 'retail' ELSE 'banking' END FROM postings UNION SELECT record_id, 'skill', lower(trim(unnest(string_split(skills, ',')))) FROM postings)
  SELECT user_id, record_id, round(greatest(least(sum(weight * CASE polarity || att.type WHEN 'poscomp' THEN 0.02 WHEN 'negcomp' THEN -0.03 WHEN 'posind' THEN 0.01 WHEN 'negind' THEN -0.02 WHEN 'posskill' THEN 0.01 ELSE 0 END), 0.05), -0.05), 6) AS boost FROM att JOIN sig ON sig.type = att.type AND sig.value = att.value GROUP BY 1, 2""", "postings"),
     "c22_opportunity_match": "WITH s AS (SELECT s_suppkey AS cand, s_nationkey % 5 AS g, s_suppkey % 3 = 0 AS py, s_suppkey % 9 AS y, n_name AS pl FROM supplier JOIN nation ON n_nationkey = s_nationkey), c AS (SELECT c_custkey AS opp, c_nationkey % 5 AS g, c_custkey % 4 AS m, c_custkey % 12 AS mn, n_name AS pl FROM customer JOIN nation ON n_nationkey = c_nationkey), j AS (SELECT cand, opp, m IN (1, 3) OR NOT py AS skilled, mn <= y + 1 AS ok, contains(c.pl, s.pl) OR contains(s.pl, c.pl) AS same, CASE WHEN same THEN 20 ELSE 0 END + 10 + CASE WHEN py AND m IN (1, 3) THEN 10 ELSE 0 END + CASE WHEN m = 3 THEN 5 ELSE 0 END AS pts FROM s JOIN c ON s.g = c.g AND m <> 2) SELECT cand, opp, skilled AND ok AND same AS gate, CASE WHEN skilled AND ok AND same THEN (50 + pts) / 100 ELSE 0.4::DOUBLE END AS match FROM j",
 }

@@ -24,18 +24,18 @@ def single_key(s, d):
 
 
 def universe(s, d):
-    return table(s, d, "part").filter("p_partkey < 60").selectExpr("concat('SYM', p_partkey) AS symbol", "CASE WHEN p_partkey % 2 = 0 THEN concat('supplier#', lpad(CAST(p_partkey AS STRING), 9, '0')) END AS alias", "p_partkey AS ord")
+    return table(s, d, "part").selectExpr("concat('SYM', p_partkey) AS symbol", "CASE WHEN p_partkey % 2 = 0 THEN concat('supplier#', lpad(CAST(p_partkey AS STRING), 9, '0')) END AS alias", "p_partkey AS ord")
 
 
 def cands(s, d):
-    return table(s, d, "lineitem").filter("l_orderkey % 20 = 0").selectExpr("concat('SYM', l_suppkey) AS symbol", "CASE WHEN l_linenumber > 2 THEN l_extendedprice END AS current_price", "CASE WHEN l_linenumber > 3 THEN l_discount END AS change_1w", "CASE WHEN l_linenumber > 1 THEN l_quantity END AS volume", "CASE WHEN l_returnflag = 'A' THEN 'IT' END AS sector", "concat('s', l_partkey % 6) AS source", "concat(l_returnflag, l_linestatus) AS claim", "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq")
+    return table(s, d, "lineitem").selectExpr("concat('SYM', l_suppkey) AS symbol", "CASE WHEN l_linenumber > 2 THEN l_extendedprice END AS current_price", "CASE WHEN l_linenumber > 3 THEN l_discount END AS change_1w", "CASE WHEN l_linenumber > 1 THEN l_quantity END AS volume", "CASE WHEN l_returnflag = 'A' THEN 'IT' END AS sector", "concat('s', l_partkey % 6) AS source", "concat(l_returnflag, l_linestatus) AS claim", "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq")
 
 
 QUERIES = {
     "i1_dedupe_records": lambda s, d: m.dedupe_records(P(s, d).filter("seq % 3 = 0")),
     "i1_dedupe_single_key": lambda s, d: m.dedupe_records(single_key(s, d)),
     "i2_dedupe_postings": lambda s, d: m.dedupe_records(P(s, d).filter("seq % 4 = 1").withColumn("job_id", F.concat(F.lit("J"), (F.col("seq") % 700).cast("string")))),
-    "i3_compatible_titles": lambda s, d: table(s, d, "part").filter("p_partkey < 300").select(F.col("p_partkey").alias("a"), F.concat_ws(" ", "p_name", "p_type").alias("x"), "p_size").join(table(s, d, "part").filter("p_partkey < 300").select(F.col("p_partkey").alias("b"), F.concat_ws(" ", "p_name", "p_type").alias("y"), "p_size"), "p_size").filter(F.col("a") < F.col("b")).select("a", "b", m.compatible_titles(F.col("x"), F.col("y")).alias("ok")),
+    "i3_compatible_titles": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("a"), F.concat_ws(" ", "p_name", "p_type").alias("x"), "p_size", "p_brand").join(table(s, d, "part").select(F.col("p_partkey").alias("b"), F.concat_ws(" ", "p_name", "p_type").alias("y"), "p_size", "p_brand"), ["p_size", "p_brand"]).filter(F.col("a") < F.col("b")).select("a", "b", m.compatible_titles(F.col("x"), F.col("y")).alias("ok")),
     "i4_primary_url": lambda s, d: m.primary_url(clusters(s, d), P(s, d)),
     "i5_merge_evidence": lambda s, d: m.merge_evidence(clusters(s, d), carrier(s, d, "evidence")).groupBy("record_id").agg(F.count("*").alias("n")),
     "i6_resolve_stocks": lambda s, d: m.resolve_stocks(carrier(s, d, "mentions").withColumn("name", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("sym"), F.col("seq") % 80, F.lit(".NS"))).otherwise(F.col("name"))), universe(s, d), ["customer#000000001"]).select("seq", "symbol"),
@@ -56,15 +56,15 @@ STOP = ", ".join(f"'{w}'" for w in m.TITLE_NOISE)
 
 ORACLES = {
     "i1_dedupe_single_key": oracle("SELECT record_id, CAST(min(seq) OVER (PARTITION BY seq % 900) AS VARCHAR) AS primary_id FROM postings", "postings"),
-    "i3_compatible_titles": f"""WITH t AS (SELECT p_partkey AS k, p_size, p_name || ' ' || p_type AS x FROM part WHERE p_partkey < 300), u AS (SELECT *, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS c, list_filter(list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda w: w <> '')), lambda w: w NOT IN ({STOP})) AS w FROM t)
+    "i3_compatible_titles": f"""WITH t AS (SELECT p_partkey AS k, p_size || '/' || p_brand AS p_size, p_name || ' ' || p_type AS x FROM part), u AS (SELECT *, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS c, list_filter(list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda w: w <> '')), lambda w: w NOT IN ({STOP})) AS w FROM t)
  SELECT a.k AS a, b.k AS b, a.c = b.c OR (contains(a.c, b.c) OR contains(b.c, a.c)) AND least(length(a.c), length(b.c)) / greatest(length(a.c), length(b.c)) >= 0.75 OR len(a.w) = 0 OR len(b.w) = 0 OR len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5 AS ok FROM u a JOIN u b ON a.p_size = b.p_size AND a.k < b.k""",
     "i4_primary_url": oracle(f"WITH {CL} SELECT primary_id, arg_min(u, ({GOOD}) * 1000000000 + seq) AS primary_url, count(*) AS n FROM cl WHERE u IS NOT NULL GROUP BY 1", "postings"),
     "i5_merge_evidence": oracle(f"WITH {CL}, e AS (SELECT DISTINCT primary_id, field_name, document_id, evidence_text FROM cl JOIN evidence USING (record_id)) SELECT primary_id AS record_id, count(*) AS n FROM e GROUP BY 1", "postings", "evidence"),
-    "i6_resolve_stocks": oracle(f"WITH {NAMES}, u AS (SELECT 'SYM' || p_partkey AS symbol, CASE WHEN p_partkey % 2 = 0 THEN 'supplier#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS alias FROM part WHERE p_partkey < 60), r AS (SELECT seq, coalesce(a.symbol, b.symbol) AS symbol FROM (SELECT * FROM n WHERE NOT contains(lower(name), 'customer#000000001')) n LEFT JOIN (SELECT DISTINCT symbol FROM u) a ON a.symbol = trim(string_split(upper(name), '.')[1]) LEFT JOIN u b ON contains(lower(name), b.alias)) SELECT seq, symbol FROM r WHERE symbol IS NOT NULL", "mentions"),
+    "i6_resolve_stocks": oracle(f"WITH {NAMES}, u AS (SELECT 'SYM' || p_partkey AS symbol, CASE WHEN p_partkey % 2 = 0 THEN 'supplier#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS alias FROM part), r AS (SELECT seq, coalesce(a.symbol, b.symbol) AS symbol FROM (SELECT * FROM n WHERE NOT contains(lower(name), 'customer#000000001')) n LEFT JOIN (SELECT DISTINCT symbol FROM u) a ON a.symbol = trim(string_split(upper(name), '.')[1]) LEFT JOIN u b ON contains(lower(name), b.alias)) SELECT seq, symbol FROM r WHERE symbol IS NOT NULL", "mentions"),
     "i7_resolve_companies": oracle(f"WITH r AS (SELECT *, regexp_replace(lower(trim(domain)), '^(https?://)?(www\\.)?', '') AS d FROM mentions), k AS (SELECT *, CASE WHEN coalesce(d, '') <> '' THEN 'domain::' || d WHEN coalesce(symbol, '') <> '' THEN 'symbol::' || lower(symbol) ELSE 'name::' || lower({BARE}) END AS key FROM r) SELECT key, arg_min(name, seq) AS canonical, max(d) AS domain, count(*) AS n, array_to_string(list_sort(list(DISTINCT name)), '|') AS aliases FROM k GROUP BY 1", "mentions"),
     "i8_resolve_postings": oracle("WITH k AS (SELECT *, coalesce(regexp_replace(application_url, '\\?.*$', ''), regexp_replace(lower(company), '[^a-z0-9]', '', 'g') || '::' || regexp_replace(lower(title), '[^a-z0-9]', '', 'g') || '::' || regexp_replace(lower(coalesce(location, '')), '[^a-z0-9]', '', 'g')) AS key FROM postings) SELECT key, arg_min(title, seq) AS canonical, count(DISTINCT title) AS n_names, count(*) AS n FROM k GROUP BY 1", "postings"),
     "i9_resolve_people": "WITH p AS (SELECT c_custkey AS seq, 'P' || (c_custkey % 50) AS name, c_mktsegment AS company, CASE WHEN c_custkey % 9 = 0 THEN 'https://x/in/p' || (c_custkey % 30) END AS profile, 'role' || (c_nationkey % 3) AS role FROM customer), k AS (SELECT *, coalesce(profile, lower(name) || '@' || lower(company)) AS key FROM p) SELECT key, arg_min(name, seq) AS name, arg_min(company, seq) AS company, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM k GROUP BY 1",
-    "i10_validate_symbols": oracle(f"WITH {NAMES} SELECT seq, CASE WHEN contains(lower(name), 'customer') THEN 'source' WHEN contains(lower(name), '000005') THEN 'index' WHEN regexp_matches(lower(name), '^sym[0-9]+\\.ns$') AND CAST(regexp_extract(lower(name), '[0-9]+') AS INT) < 60 THEN 'stock' ELSE 'company' END AS kind FROM n", "mentions"),
-    "i11_merge_candidates": "WITH c AS (SELECT 'SYM' || l_suppkey AS symbol, *, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey % 20 = 0) SELECT symbol, arg_min(l_extendedprice, seq) FILTER (l_linenumber > 2) AS current_price, arg_min(l_discount, seq) FILTER (l_linenumber > 3) AS change_1w, arg_min(l_quantity, seq) FILTER (l_linenumber > 1) AS volume, CASE WHEN bool_or(l_returnflag = 'A') THEN 'IT' END AS sector, count(DISTINCT l_partkey % 6) AS sources, count(DISTINCT lower(l_returnflag || l_linestatus)) AS claims FROM c GROUP BY 1",
+    "i10_validate_symbols": oracle(f"WITH {NAMES} SELECT seq, CASE WHEN contains(lower(name), 'customer') THEN 'source' WHEN contains(lower(name), '000005') THEN 'index' WHEN regexp_matches(lower(name), '^sym[0-9]+\\.ns$') AND CAST(regexp_extract(lower(name), '[0-9]+') AS INT) <= (SELECT max(p_partkey) FROM part) THEN 'stock' ELSE 'company' END AS kind FROM n", "mentions"),
+    "i11_merge_candidates": "WITH c AS (SELECT 'SYM' || l_suppkey AS symbol, *, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem) SELECT symbol, arg_min(l_extendedprice, seq) FILTER (l_linenumber > 2) AS current_price, arg_min(l_discount, seq) FILTER (l_linenumber > 3) AS change_1w, arg_min(l_quantity, seq) FILTER (l_linenumber > 1) AS volume, CASE WHEN bool_or(l_returnflag = 'A') THEN 'IT' END AS sector, count(DISTINCT l_partkey % 6) AS sources, count(DISTINCT lower(l_returnflag || l_linestatus)) AS claims FROM c GROUP BY 1",
     "i12_news_pairs": "WITH t AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(' ' || regexp_replace(lower(string_split(text, chr(10))[1]), '([^a-z0-9_]+)', '  ', 'g') || ' ', '[ ][a-z]{4,}[ ]'), lambda x: trim(x))) AS w FROM documents), f AS (SELECT * FROM t WHERE length(w) > 12) SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM f x JOIN f y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 3",
 }

@@ -43,7 +43,7 @@ QUERIES = {
     "e2_source_productivity": lambda s, d: m.source_productivity(tele(s, d)).select("source", "unique", "qualified", *[F.round(c, 9).alias(c) for c in ("qualified_yield", "duplicate_rate", "rejection_rate", "productivity")]),
     "e11_search_yield": lambda s, d: m.search_yield(tele(s, d), ["run_id"], "n", "k").select("run_id", "hits", "new", "yield"),
     "e12_source_health": lambda s, d: m.source_health(calls(s, d)).select("source", "queries", "results", "errors", F.array_join("kinds", ",").alias("kinds"), F.round("latency", 6).alias("latency"), "state"),
-    "g5_prioritize_sources": lambda s, d: m.prioritize(tele(s, d).selectExpr("seq", "source", "k AS priority").filter("seq % 50 = 0"), m.source_productivity(tele(s, d).filter("source <> 'source3'"))).select("seq", "source", F.round("productivity", 9).alias("productivity")),
+    "g5_prioritize_sources": lambda s, d: m.prioritize(tele(s, d).selectExpr("seq", "source", "k AS priority"), m.source_productivity(tele(s, d).filter("source <> 'source3'"))).select("seq", "source", F.round("productivity", 9).alias("productivity")),
     "i13_dedupe_tasks": lambda s, d: m.dedupe_tasks(tele(s, d).select("source", "event_type", "k", "seq", "run_id"), ["source", "event_type", "k"], "seq"),
     "l6_crawl_telemetry": lambda s, d: m.crawl_telemetry(tele(s, d)),
     "l4_snapshot_changes": lambda s, d: m.snapshot_changes(table(s, d, "events"), "user_id", "ts", "event_type", "value").select("event_id", "change"),
@@ -88,7 +88,7 @@ ORACLES = {
     "e2_source_productivity": oracle("WITH " + PROD.format("") + ' SELECT source, "unique", qualified, round(qualified_yield, 9) AS qualified_yield, round(duplicate_rate, 9) AS duplicate_rate, round(rejection_rate, 9) AS rejection_rate, round(productivity, 9) AS productivity FROM x', "telemetry"),
     "e11_search_yield": oracle("SELECT run_id, CAST(sum(n) AS BIGINT) AS hits, CAST(sum(k) AS BIGINT) AS new, CASE WHEN sum(n) > 0 THEN round_even(sum(k) / sum(n), 3) ELSE 0 END AS \"yield\" FROM telemetry GROUP BY 1", "telemetry"),
     "e12_source_health": "WITH c AS (SELECT 'source' || (user_id % 15) AS source, CAST(floor(value) AS BIGINT) AS results, CASE WHEN event_type = 'error' AND user_id % 15 > 3 THEN CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'blocked' WHEN 2 THEN 'rate_limited' ELSE 'error' END END AS kind, event_id % 100 AS latency FROM events) SELECT source, count(*) AS queries, CAST(sum(results) AS BIGINT) AS results, count(kind) AS errors, coalesce(array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), ','), '') AS kinds, round(avg(latency), 6) AS latency, CASE WHEN count(kind) = 0 THEN 'healthy' WHEN count(kind) < count(*) THEN 'degraded' ELSE 'failing' END AS state FROM c GROUP BY 1",
-    "g5_prioritize_sources": oracle("WITH " + PROD.format("WHERE source <> 'source3'") + " SELECT t.seq, t.source, round(coalesce(productivity, 1.0), 9) AS productivity FROM telemetry t LEFT JOIN x ON x.source = t.source WHERE t.seq % 50 = 0", "telemetry"),
+    "g5_prioritize_sources": oracle("WITH " + PROD.format("WHERE source <> 'source3'") + " SELECT t.seq, t.source, round(coalesce(productivity, 1.0), 9) AS productivity FROM telemetry t LEFT JOIN x ON x.source = t.source", "telemetry"),
     "i13_dedupe_tasks": oracle("SELECT source, event_type, k, min(seq) AS seq, arg_min(run_id, seq) AS run_id FROM telemetry GROUP BY ALL", "telemetry"),
     "l6_crawl_telemetry": oracle("SELECT date_trunc('hour', ts) AS start, source, event_type, count(*) AS events FROM telemetry GROUP BY ALL", "telemetry"),
     "l4_snapshot_changes": "WITH a AS (SELECT *, lag(event_type) OVER w AS o, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT event_id, CASE WHEN event_type <> o THEN 'status' WHEN abs(value - p) > 0.001 THEN 'price' END AS change FROM a WHERE o IS NOT NULL) SELECT * FROM b WHERE change IS NOT NULL",

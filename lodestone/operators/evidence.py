@@ -248,13 +248,17 @@ BOOSTS = [("pos", "title", 0.03, 0.10), ("pos", "comp", 0.04, 0.10), ("pos", "lo
 
 
 def preference_boost(postings: DataFrame, signals: DataFrame) -> DataFrame:
-    """Boost per user and posting, within -0.25 and 0.25. Values of a user's signals are matched by containment; signals are
-    the smaller side, and the join runs per attribute type on the value's first three characters, not over all pairs."""
+    """Boost per user and posting, within -0.25 and 0.25. Values of a user's signals are matched by containment.
+
+    Texts repeat, so distinct texts meet distinct values first (on the first three characters of a value, then in full), and
+    rows and users come in by equal keys afterwards.
+    """
     attrs = postings.select("record_id", F.inline(F.concat(F.array(*[F.struct(F.lit(t).alias("type"), F.lower(F.trim(F.coalesce(col, F.lit("")))).alias("text")) for t, col in (("title", "title"), ("comp", "company"), ("loc", "location"))]), F.transform(F.split(F.lower(F.coalesce("skills", F.lit(""))), ","), lambda s: F.struct(F.lit("skill").alias("type"), F.trim(s).alias("text"))))))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring("text", i, F.lit(1)), F.substring("text", i, F.lit(2)), F.substring("text", i, F.lit(3)))))
-    tokens = attrs.withColumn("w", F.explode(F.array_distinct(grams)))
-    rated = signals.withColumn("w", F.substring("value", 1, 3))
-    met = tokens.join(rated, ["type", "w"]).filter(F.contains("text", "value")).select("record_id", "user_id", "polarity", "type", "value", "weight").distinct()
+    tokens = attrs.select("type", "text").distinct().withColumn("w", F.explode(F.array_distinct(grams)))
+    values = signals.select("type", "value").distinct().withColumn("w", F.substring("value", 1, 3))
+    found = tokens.join(values, ["type", "w"]).filter(F.contains("text", "value")).select("type", "text", "value")
+    met = attrs.join(found, ["type", "text"]).select("record_id", "type", "value").distinct().join(signals, ["type", "value"])
     amount = F.lit(0.0)
     for polarity, kind, factor, most in BOOSTS:
         signed = F.least(F.col("weight") * abs(factor), F.lit(most)) * (1 if factor > 0 else -1)
