@@ -350,6 +350,8 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                 named = part.select(F.col("node").alias(end), F.col("component").alias(f"p{end}"))
                 left = left.drop(f"p{end}").join(named, end, "left").withColumn(f"p{end}", F.coalesce(f"p{end}", end))
             left = stored(left.filter("pa <> pb").join(some, ["a", "b"], "left_anti"), "near-left")
+            if left.isEmpty():
+                break
     named = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = stored(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "near-kept")
     return rows.join(kept, "row", "left_semi").select("d.*")
