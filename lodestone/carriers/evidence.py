@@ -68,9 +68,9 @@ QUERIES = {
     "j18_market_regime": lambda s, d: m.market_regime(docs(s, d), [("BULLISH", r"\bthis\b"), ("BEARISH", r"\bich\b")], "doc_id"),
     "j19_request_intents": lambda s, d: m.request_intents(table(s, d, "conversations").filter("role = 'user'"), [("JOBS", whole("thereof|ofthe")), ("MARKET", whole("und")), ("COMPANY", whole("que"))]).groupBy("intent").agg(F.count("*").alias("n")),
     "k2_preference_signals": lambda s, d: m.preference_signals(prefs(s, d)).withColumn("weight", F.round("weight", 6)),
-    "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings").filter("seq % 10 = 0"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
+    "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
-    "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings").filter("seq % 10 = 0")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings").filter("seq % 10 = 0"), m.preference_signals(prefs(s, d)))).filter("place <= 20").select("user_id", "place", F.round("final", 6).alias("final")),
+    "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d)))).filter("place <= 20").select("user_id", "place", F.round("final", 6).alias("final")),
     "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "gate", "match"),
 }
 
@@ -82,7 +82,7 @@ u AS (SELECT user_id, action, 'title' AS type, title AS value FROM e UNION ALL S
 w(action, polarity, type, weight) AS (VALUES ('save', 'pos', 'title', 1.0::DOUBLE), ('save', 'pos', 'comp', 0.5), ('save', 'pos', 'loc', 0.5), ('save', 'pos', 'skill', 0.8), ('wrong_location', 'neg', 'loc', 2.0), ('accepted', 'pos', 'comp', 1.0), ('accepted', 'pos', 'ind', 1.0), ('accepted', 'pos', 'skill', 0.5), ('opened', 'pos', 'comp', 0.3), ('rejected', 'neg', 'comp', 1.5), ('rejected', 'neg', 'ind', 1.5)),
 sig AS (SELECT user_id, polarity, u.type AS type, value, sum(weight) AS weight FROM u JOIN w ON w.action = u.action AND w.type = u.type WHERE value IS NOT NULL GROUP BY ALL)"""
 BOOST = """
-att AS (SELECT record_id, 'title' AS type, lower(title) AS txt FROM postings WHERE seq % 10 = 0 UNION ALL SELECT record_id, 'comp', lower(company) FROM postings WHERE seq % 10 = 0 UNION ALL SELECT record_id, 'loc', lower(coalesce(location, '')) FROM postings WHERE seq % 10 = 0 UNION ALL SELECT record_id, 'skill', lower(skills) FROM postings WHERE seq % 10 = 0),
+att AS (SELECT record_id, 'title' AS type, lower(title) AS txt FROM postings UNION ALL SELECT record_id, 'comp', lower(company) FROM postings UNION ALL SELECT record_id, 'loc', lower(coalesce(location, '')) FROM postings UNION ALL SELECT record_id, 'skill', lower(skills) FROM postings),
 met AS (SELECT DISTINCT record_id, user_id, polarity, s.type AS type, value, weight FROM att a JOIN sig s ON s.type = a.type AND contains(a.txt, s.value)),
 bst AS (SELECT user_id, record_id, greatest(least(sum(CASE polarity || type WHEN 'postitle' THEN least(weight * 0.03, 0.10) WHEN 'poscomp' THEN least(weight * 0.04, 0.10) WHEN 'posloc' THEN least(weight * 0.02, 0.05) WHEN 'posskill' THEN least(weight * 0.02, 0.06) WHEN 'negtitle' THEN -least(weight * 0.05, 0.15) WHEN 'negcomp' THEN -least(weight * 0.08, 0.25) WHEN 'negloc' THEN -least(weight * 0.05, 0.15) ELSE 0 END), 0.25), -0.25) AS boost FROM met GROUP BY 1, 2)"""
 PASSAGES = """r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -115,7 +115,7 @@ ORACLES = {
     "j18_market_regime": "SELECT coalesce(arg_max(CASE WHEN regexp_matches(lower(text), '\\bthis\\b') THEN 'BULLISH' ELSE 'BEARISH' END, doc_id), 'SIDEWAYS') AS regime FROM documents WHERE regexp_matches(lower(text), '\\b(this|ich)\\b')",
     "j19_request_intents": f"SELECT CASE WHEN regexp_matches(lower(text), '{whole('thereof|ofthe')}') THEN 'JOBS' WHEN regexp_matches(lower(text), '{whole('und')}') THEN 'MARKET' WHEN regexp_matches(lower(text), '{whole('que')}') THEN 'COMPANY' ELSE 'GENERAL' END AS intent, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
     "k2_preference_signals": "WITH " + SIGNALS + " SELECT user_id, polarity, type, value, round(weight, 6) AS weight FROM sig",
-    "k3_preference_boost": oracle("WITH " + SIGNALS + "," + BOOST + " SELECT user_id, record_id, round(boost, 6) AS boost FROM bst", "postings"),
+    "k3_preference_boost": oracle("WITH " + SIGNALS + "," + BOOST + " SELECT user_id, record_id, round(boost, 6) + 0 AS boost FROM bst", "postings"),
     "k4_soft_boost": oracle("WITH " + SIGNALS + """, att AS (SELECT record_id, 'comp' AS type, lower(trim(company)) AS value FROM postings UNION SELECT record_id, 'ind', CASE seq % 3 WHEN 0 THEN 'retail' ELSE 'banking' END FROM postings UNION SELECT record_id, 'skill', lower(trim(unnest(string_split(skills, ',')))) FROM postings)
  SELECT user_id, record_id, round(greatest(least(sum(weight * CASE polarity || att.type WHEN 'poscomp' THEN 0.02 WHEN 'negcomp' THEN -0.03 WHEN 'posind' THEN 0.01 WHEN 'negind' THEN -0.02 WHEN 'posskill' THEN 0.01 ELSE 0 END), 0.05), -0.05), 6) AS boost FROM att JOIN sig ON sig.type = att.type AND sig.value = att.value GROUP BY 1, 2""", "postings"),
     "c22_opportunity_match": "WITH s AS (SELECT s_suppkey AS cand, s_nationkey % 5 AS g, s_suppkey % 3 = 0 AS py, s_suppkey % 9 AS y, n_name AS pl FROM supplier JOIN nation ON n_nationkey = s_nationkey), c AS (SELECT c_custkey AS opp, c_nationkey % 5 AS g, c_custkey % 4 AS m, c_custkey % 12 AS mn, n_name AS pl FROM customer JOIN nation ON n_nationkey = c_nationkey), j AS (SELECT cand, opp, m IN (1, 3) OR NOT py AS skilled, mn <= y + 1 AS ok, contains(c.pl, s.pl) OR contains(s.pl, c.pl) AS same, CASE WHEN same THEN 20 ELSE 0 END + 10 + CASE WHEN py AND m IN (1, 3) THEN 10 ELSE 0 END + CASE WHEN m = 3 THEN 5 ELSE 0 END AS pts FROM s JOIN c ON s.g = c.g AND m <> 2) SELECT cand, opp, skilled AND ok AND same AS gate, CASE WHEN skilled AND ok AND same THEN (50 + pts) / 100 ELSE 0.4::DOUBLE END AS match FROM j",

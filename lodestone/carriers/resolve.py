@@ -32,9 +32,9 @@ def cands(s, d):
 
 
 QUERIES = {
-    "i1_dedupe_records": lambda s, d: m.dedupe_records(P(s, d).filter("seq % 3 = 0")),
+    "i1_dedupe_records": lambda s, d: m.dedupe_records(P(s, d)),
     "i1_dedupe_single_key": lambda s, d: m.dedupe_records(single_key(s, d)),
-    "i2_dedupe_postings": lambda s, d: m.dedupe_records(P(s, d).filter("seq % 4 = 1").withColumn("job_id", F.concat(F.lit("J"), (F.col("seq") % 700).cast("string")))),
+    "i2_dedupe_postings": lambda s, d: m.dedupe_records(P(s, d).withColumn("job_id", F.concat(F.lit("J"), (F.col("seq") % 700).cast("string")))),
     "i3_compatible_titles": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("a"), F.concat_ws(" ", "p_name", "p_type").alias("x"), "p_size", "p_brand").join(table(s, d, "part").select(F.col("p_partkey").alias("b"), F.concat_ws(" ", "p_name", "p_type").alias("y"), "p_size", "p_brand"), ["p_size", "p_brand"]).filter(F.col("a") < F.col("b")).select("a", "b", m.compatible_titles(F.col("x"), F.col("y")).alias("ok")),
     "i4_primary_url": lambda s, d: m.primary_url(clusters(s, d), P(s, d)),
     "i5_merge_evidence": lambda s, d: m.merge_evidence(clusters(s, d), carrier(s, d, "evidence")).groupBy("record_id").agg(F.count("*").alias("n")),

@@ -14,6 +14,11 @@ from lodestone.sources import sinks
 from lodestone.streaming import jobs
 
 
+def headed(s, d):
+    """Every other document has its short lines as headings."""
+    return table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"(?md)^(.{1,40})$", "## $1")).alias("text"))
+
+
 def postings(s, d):
     return carrier(s, d, "postings").select("seq", "title", "location", "company", F.concat(F.lit("c"), F.col("seq") % 300).alias("board"), F.col("seq").cast("string").alias("id"), F.col("created_at").cast("string").alias("at"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "a10_heading_postings": lambda s, d: p.heading_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("# "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location"),
     "a13_sink_json": json_export,
     "a15_export_manifest": export,
+    "j9_answer_sections": lambda s, d: p.answer_sections(headed(s, d)).select("doc_id", "place", "section_title", "summary", F.array_join("key_points", "|").alias("key_points")),
     "j7_technical_sections": lambda s, d: p.technical_sections(table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n## ").alias("text")), "the").select("doc_id", "pos", "heading", "has_code"),
     "j12_people_roles": lambda s, d: p.people_roles(table(s, d, "customer").selectExpr("c_custkey AS seq", "concat('P', c_custkey % 90, ' - ', CASE c_custkey % 3 WHEN 0 THEN 'Senior Recruiter' WHEN 1 THEN 'CTO' ELSE 'Clerk' END, ' - X') AS title", "c_mktsegment AS company", "concat('https://x/', c_custkey) AS url"), [("recruiter", "recruit"), ("executive", r"cto|ceo")]).select("company", "name", "role", "seq", "place"),
     "l1_stream_unseen": lambda s, d: jobs.run_available(jobs.stream_unseen(stream(s, d, "pages").withColumn("ts", F.timestamp_seconds(F.col("page_id") + 1000000)), "ts"), place(s)).select("canonical_url"),
@@ -88,7 +94,17 @@ def flat(location: str, url: str, posted: str = "at_") -> str:
 
 
 
+NOISE = "|".join(p.NO_ANSWER)
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
 ORACLES = {
+    "j9_answer_sections": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '(?m)^(.{{1,40}})$', '## \\1', 'g') END AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM x),
+ k AS (SELECT doc_id, pos, {STRIP.format('line')} AS s FROM l), h AS (SELECT *, regexp_replace(s, '^#+\\s*', '') AS h, starts_with(s, '#') AND length(h) BETWEEN 1 AND 89 AS top FROM k), n AS (SELECT *, sum(CAST(top AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM h),
+ g AS (SELECT doc_id, sec, max(h) FILTER (top) AS heading, string_agg(s, chr(10) ORDER BY pos) FILTER (NOT top AND s <> '') AS body FROM n WHERE sec > 0 GROUP BY 1, 2 HAVING body IS NOT NULL), b AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS q, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS sec FROM x WHERE doc_id NOT IN (SELECT doc_id FROM g)),
+ a AS (SELECT doc_id, sec, heading, body FROM g UNION ALL SELECT doc_id, sec, string_split({STRIP.format('q')}, chr(10))[1][1:60], {STRIP.format('q')} FROM b WHERE length({STRIP.format('q')}) > 80), c AS (SELECT *, regexp_replace(heading, '^[0-9.\\-\\s]+', '') AS title FROM a WHERE NOT regexp_matches(lower(heading), '{NOISE}')),
+ d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(title) ORDER BY sec) AS k FROM c WHERE length(title) BETWEEN 3 AND 80 AND lower(title) NOT IN ('leo', 'xl', 'metadata') AND length(body) >= 30), e AS (SELECT *, list_filter(list_transform(regexp_split_to_array(body, '[.\\n]'), lambda x: {STRIP.format('x')}), lambda x: length(x) > 20) AS ss,
+ list_filter(list_transform(regexp_extract_all(body, '(?m)^[-*•]\\s*(.+)$', 1), lambda x: {STRIP.format('x')}), lambda x: length(x) BETWEEN 16 AND 179 AND NOT regexp_matches(lower(x), '{NOISE}')) AS pts FROM d WHERE k = 1), f AS (SELECT *, coalesce(ss[1], body[1:200]) AS w FROM e), z AS (SELECT *, CASE WHEN length(w) > 300 THEN w[1:297] || '...' ELSE w END AS summary FROM f)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS place, title AS section_title, summary, array_to_string(CASE WHEN len(pts) > 0 THEN pts[1:5] WHEN len(ss) > 1 THEN ss[2:4] ELSE [summary] END, '|') AS key_points FROM z""",
     "a1_greenhouse_postings": flat("location", "'https://boards.greenhouse.io/x/jobs/' || id"),
     "a2_lever_postings": flat("location", "'https://jobs.lever.co/x/' || id", "id"),
     "a3_ashby_postings": flat("location", "'https://jobs.ashbyhq.com/x/' || id"),

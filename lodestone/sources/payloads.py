@@ -148,6 +148,54 @@ def technical_sections(docs: DataFrame, topic: str, key: str = "doc_id", text: s
     return ranked.filter(F.col("place") <= most).drop("place")
 
 
+# Words that mark a section as no answer, and titles that are none.
+NO_ANSWER = [
+    "cookie", "privacy", "terms", "sign in", "login", "subscribe", "footer", "header", "navigation", "search", "table of contents", "faq", "frequently asked", "resources", "related posts", "about us", "contact us", "author", "categories", "user agreement", "disclaimer",
+    "structured page metadata", "end page metadata", "page metadata", "metadata", "advertisement", "share on", "share this", "comments", "leave a reply", "breadcrumb", "sidebar", "copyright", "back to top",
+]
+NO_TITLE = ["leo", "xl", "metadata"]
+
+
+def answer_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: str = "", most: int | None = None, paragraphs: int | None = None) -> DataFrame:
+    """Headed sections that answer something: key, place, topic, section_title, summary, key_points.
+
+    A heading is a line of one or more # and 1 to 89 characters. Texts without a headed section give their paragraphs of over
+    80 characters, named by their first 60. Sections with a noise word in the heading, a title outside 3 to 80 characters or a
+    body under 30 go, and so does a title seen before in the document. All work stays in the row: no shuffle. most: sections
+    kept of a document, paragraphs: those tried of one without headings (default: all). Null and empty texts give no row.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    noisy = lambda x: F.lower(x).rlike("|".join(NO_ANSWER))
+    of = lambda heading, body: F.struct(heading.alias("heading"), body.alias("body"))
+    head = r"[^\S\n]*#+[^\S\n]*[^\s#](?:[^\n]{0,87}\S)?[^\S\n]*(?:\n|$)"
+    parts = F.filter(F.split(text, rf"(?d)(?<![^\n])(?={head})"), lambda p: p.rlike(rf"(?d)\A{head}"))
+    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != "")
+    headed = F.transform(parts, lambda p: of(strip(F.regexp_extract(p, r"(?d)^\s*#+([^\n]*)", 1)), F.array_join(F.slice(lines(p), 2, F.size(lines(p))), "\n")))
+    headed = F.filter(headed, lambda s: s["body"] != "")
+    blocks = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: F.length(p) > 80)
+    blocks = blocks if paragraphs is None else F.slice(blocks, 1, paragraphs)
+    plain = F.transform(blocks, lambda p: of(F.substring(F.substring_index(p, "\n", 1), 1, 60), p))
+
+    def titled(s):
+        return F.struct(F.regexp_replace(s["heading"], r"^[0-9.\-\s]+", "").alias("title"), s["body"].alias("body"), noisy(s["heading"]).alias("noisy"))
+
+    def kept(s):
+        return ~s["noisy"] & F.length(s["title"]).between(3, 80) & ~F.lower(s["title"]).isin(NO_TITLE) & (F.length(s["body"]) >= 30)
+
+    found = docs.select(key, headed.alias("headed"), plain.alias("plain")).select(key, F.when(F.size("headed") > 0, F.col("headed")).otherwise(F.col("plain")).alias("s"))
+    found = found.select(key, F.filter(F.transform("s", titled), kept).alias("s")).withColumn("names", F.transform("s", lambda s: F.lower(s["title"])))
+    first = F.filter("s", lambda s, i: F.array_position(F.col("names"), F.lower(s["title"])) == i + 1)
+    rows = found.select(key, F.posexplode(first if most is None else F.slice(first, 1, most)).alias("at", "s"))
+    rows = rows.select(key, (F.col("at") + 1).alias("place"), F.col("s.title").alias("section_title"), F.col("s.body").alias("body"))
+    rows = rows.withColumn("sentences", F.filter(F.transform(F.split("body", r"[.\n]"), strip), lambda x: F.length(x) > 20))
+    whole = F.coalesce(F.get("sentences", F.lit(0)), F.substring("body", 1, 200))
+    rows = rows.withColumn("summary", F.when(F.length(whole) > 300, F.concat(F.substring(whole, 1, 297), F.lit("..."))).otherwise(whole))
+    points = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?md)^[-*\u2022]\s*(.+)$"), 1), strip), lambda p: F.length(p).between(16, 179) & ~noisy(p))
+    later = F.slice("sentences", 2, 3)
+    picked = F.when(F.size(points) > 0, F.slice(points, 1, 5)).when(F.size(later) > 0, later).otherwise(F.array("summary"))
+    return rows.select(key, "place", (F.lit(topic) if topic else F.col("section_title")).alias("topic"), "section_title", "summary", picked.alias("key_points"))
+
+
 def people_roles(hits: DataFrame, roles: list[tuple[str, str]], most: int = 5) -> DataFrame:
     """Name and role from profile titles (Name - Role - Company), distinct names per company."""
     parts = F.split("title", r"\s+[-–|]\s+")

@@ -141,3 +141,22 @@ def test_technical_sections(spark):
     text = "intro\n# Spark joins\nA join meets keys. More.\n- one\n- two\n# Pricing of joins\nmoney\n# Other\nnothing"
     rows = payloads.technical_sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), "joins").collect()
     assert [(r["heading"], r["definition"], r["points"]) for r in rows] == [("Spark joins", "A join meets keys", ["one", "two"])]
+
+
+def test_answer_sections(spark):
+    text = "dropped intro\n# 1. First steps\n- install the package from the archive\nThen you run the first command. It prints a very long line of output.\n## Cookie settings\nthis body is long enough to be kept otherwise\n# \n## First Steps\nthe same title again, with a body of some length\n# Short\ntiny"
+    block = "A paragraph without any heading. " * 4
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, f"small\n\n{block}\nsecond line"), (5, "# Only heading")], "doc_id long, text string")
+    rows = {(r["doc_id"], r["place"]): r for r in payloads.answer_sections(docs).collect()}
+    assert sorted(rows) == [(1, 1), (4, 1)]
+    assert rows[1, 1]["section_title"] == rows[1, 1]["topic"] == "First steps" and rows[1, 1]["key_points"] == ["install the package from the archive"]
+    assert rows[1, 1]["summary"] == "- install the package from the archive"
+    assert rows[4, 1]["section_title"] == block[:60] and rows[4, 1]["key_points"] == ["A paragraph without any heading"] * 3
+    assert payloads.answer_sections(docs, topic="t", most=0).count() == 0
+
+
+def test_boosted_rank(spark):
+    ranked = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.1), ("d", 0.5)], "record_id string, relevance_raw double")
+    boosts = spark.createDataFrame([("u", "a", 0.25), ("u", "b", 0.1), ("u", "c", -0.25), ("u", "d", 0.1), ("v", "b", 0.0)], "user_id string, record_id string, boost double")
+    rows = evidence.boosted_rank(ranked, boosts).collect()
+    assert {(r["user_id"], r["record_id"]): (r["place"], round(r["final"], 6)) for r in rows} == {("u", "a"): (1, 1.0), ("u", "b"): (2, 0.6), ("u", "d"): (3, 0.6), ("u", "c"): (4, 0.0), ("v", "b"): (1, 0.5)}
