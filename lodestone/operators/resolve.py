@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +30,21 @@ def compatible_titles(a: Column, b: Column) -> Column:
     return missing | (x == y) | ((F.contains(x, y) | F.contains(y, x)) & (ratio >= 0.75)) | (F.size(p) == 0) | (F.size(q) == 0) | (shared >= 0.5)
 
 
+@lru_cache(1 << 16)
+def title_parts(title: str) -> tuple[str, frozenset[str]]:
+    """Letters and digits of a title, and its words that tell titles apart."""
+    low = title.lower()
+    return re.sub("[^a-z0-9]", "", low), frozenset(re.findall("[a-z0-9]+", low)) - set(TITLE_NOISE)
+
+
+@lru_cache(1 << 16)
 def close_titles(a: str | None, b: str | None) -> bool:
-    """compatible_titles() for two strings, for the ordered replay of one component."""
+    """compatible_titles() for two strings, for the ordered replay of one component. Titles repeat, so verdicts are kept."""
     if not a or not b:
         return True
-    x, y = (re.sub("[^a-z0-9]", "", t.lower()) for t in (a, b))
+    (x, p), (y, q) = title_parts(a), title_parts(b)
     if x == y or ((x in y or y in x) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.75):
         return True
-    p, q = (set(re.findall("[a-z0-9]+", t.lower())) - set(TITLE_NOISE) for t in (a, b))
     return not p or not q or len(p & q) / len(p | q) >= 0.5
 
 
@@ -58,8 +68,8 @@ def dedupe_records(records: DataFrame, order: str = "seq") -> DataFrame:
     """record_id, primary_id: records that share keys, first match with a compatible title wins, in order.
 
     Records that share a key are in one component; components are independent, so the ordered pass over each of them gives
-    what one pass over all would. A holder whose keys are all taken over by a later record is kept. A component passes
-    through one task as ids, titles and keys only.
+    what one pass over all would. A holder whose keys are all taken over by a later record is kept. A component streams
+    through one task in order, as ids, titles and keys only; that task holds the component's keys, not its rows.
     """
     keyed = cut(record_keys(records).select("record_id", F.col(order).alias("ord"), "title", "keys"), "dedupe-keys")
     each = keyed.select("ord", F.explode("keys").alias("k"))
@@ -68,21 +78,24 @@ def dedupe_records(records: DataFrame, order: str = "seq") -> DataFrame:
     grouped = keyed.join(labels, keyed["ord"] == labels["node"], "left").withColumn("component", F.coalesce("component", "ord"))
     alone = grouped.filter("node is null").select("record_id", F.col("record_id").alias("primary_id"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        holder: dict[str, tuple[str, str]] = {}
-        out = []
-        for record, title, keys in pdf.sort_values("ord")[["record_id", "title", "keys"]].itertuples(index=False):
-            found = next((holder[k] for k in keys if k in holder and close_titles(title, holder[k][1])), None)
-            if found:
-                for k in keys:
-                    holder.setdefault(k, found)
-            else:
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, holder = None, {}
+        for batch in batches:
+            primary = []
+            for own, record, title, keys in zip(*[batch.column(c).to_pylist() for c in ("component", "record_id", "title", "keys")]):
+                if own != component:
+                    component, holder = own, {}
+                found = next((holder[k] for k in keys if k in holder and close_titles(title, holder[k][1])), None)
                 for k in keys:
-                    holder[k] = (record, title)
-            out.append((record, found[0] if found else record))
-        return pd.DataFrame(out, columns=["record_id", "primary_id"])
-
-    met = grouped.filter("node is not null").select("component", "record_id", "ord", "title", "keys").groupBy("component").applyInPandas(replay, "record_id string, primary_id string")
+                    if found:
+                        holder.setdefault(k, found)
+                    else:
+                        holder[k] = (record, title)
+                primary.append(found[0] if found else record)
+            yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(primary, pa.string())], names=["record_id", "primary_id"])
+
+    sorted_rows = grouped.filter("node is not null").select("component", "ord", "record_id", "title", "keys").repartition("component").sortWithinPartitions("component", "ord")
+    met = sorted_rows.mapInArrow(replay, "record_id string, primary_id string")
     return alone.unionByName(met)
 
 
