@@ -54,6 +54,15 @@ SELECT page_id AS seq, CASE page_id % 12 WHEN 0 THEN 'https://boards.greenhouse.
 SELECT 'E' || CAST(o_custkey AS STRING) AS entity_id, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'Revenue' WHEN 1 THEN 'revenue' ELSE 'headquarters' END AS field,
   CASE o_orderkey % 3 WHEN 2 THEN CASE o_orderkey % 4 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Riyadh, KSA' ELSE 'Dubai' END ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 60 AS STRING) || '%' END AS value_text,
   'src' || CAST(o_orderkey % 4 AS STRING) AS source, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'day' || CAST(o_orderkey % 6 AS STRING) END AS published_at FROM {orders}""",
+    "articles": """
+SELECT doc_id AS seq, CASE doc_id % 7 WHEN 0 THEN 'Daily report ' WHEN 1 THEN '' ELSE 'Market update ' END || regexp_extract(text, '^([^ ]* ?[^ ]* ?[^ ]* ?[^ ]* ?[^ ]* ?[^ ]* ?[^ ]*)', 1) AS title,
+  CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Record profit and growth for ' || substr(text, 20, 60) WHEN 2 THEN ' A probe after the loss of ' || substr(text, 40, 90) ELSE substr(text, 30, 120) END || CASE WHEN doc_id % 9 = 0 THEN ' before the merger' ELSE '' END AS summary,
+  CASE WHEN doc_id % 8 > 0 THEN 'https://n' || CAST(doc_id % 40 AS STRING) || '.example.org/' || CAST(doc_id % 300 AS STRING) END AS url, 'E' || CAST(doc_id % 6 AS STRING) || ',E' || CAST(doc_id % 10 AS STRING) AS names,
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2026-03-10' WHEN 2 THEN '05/03/2026' WHEN 3 THEN 'soon' ELSE '2026-03-11T08:00:00Z' END AS date FROM {documents}""",
+    "rivals": """
+SELECT CAST(o_orderkey AS STRING) AS record_id, o_orderkey AS seq, 'Company ' || CAST(o_custkey AS STRING) AS company, CASE o_orderkey % 5 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Senior Data Engineer' WHEN 2 THEN 'Data Platform Engineer' WHEN 3 THEN 'Chef' ELSE 'Data Engineer, Riyadh' END AS title,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Dubai' END AS location, CASE WHEN o_orderkey % 4 < 3 THEN 'k' || CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 2 AS STRING) END AS identity_key,
+  CASE o_orderkey % 6 WHEN 0 THEN 'Amman' WHEN 1 THEN 'Doha' END AS city, 'src' AS source, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_custkey AS STRING) END AS job_id, CAST(NULL AS STRING) AS url, CAST(NULL AS STRING) AS application_url FROM {orders}""",
     "telemetry": """
 SELECT event_id AS seq, 'source' || CAST(user_id % 12 AS STRING) AS source, 'run' || CAST(user_id AS STRING) AS run_id, ts, event_type,
   CAST(floor(value) AS BIGINT) AS n, event_id % 7 AS k FROM {events}""",

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import columns as c
-from lodestone.plans.components import connected_components, cut
+from lodestone.plans.components import cut
 
 # Words that don't tell titles apart, and companies that name none.
 TITLE_NOISE = ["and", "or", "in", "at", "the", "of", "for", "a", "an", "to", "with", "on", "by", "senior", "sr", "junior", "jr", "lead", "staff", "principal", "intern", "remote", "hybrid", "onsite", "fulltime", "parttime"]
@@ -22,81 +16,116 @@ NO_COMPANY = ["linkedin hiring post", "linkedin post", "hiring post", "job post"
 def compatible_titles(a: Column, b: Column) -> Column:
     """Same or close titles: equal, equal in letters, contained with a length ratio of 0.75, or half their words shared."""
     x, y = c.alnum(a), c.alnum(b)
-    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y), F.lit(1))
     words = lambda t: F.array_except(F.array_distinct(F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != "")), F.array(*map(F.lit, TITLE_NOISE)))
     p, q = words(a), words(b)
-    shared = F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q))
+    shared = F.size(F.array_intersect(p, q)) / F.greatest(F.size(F.array_union(p, q)), F.lit(1))
     missing = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
     return missing | (x == y) | ((F.contains(x, y) | F.contains(y, x)) & (ratio >= 0.75)) | (F.size(p) == 0) | (F.size(q) == 0) | (shared >= 0.5)
 
 
-@lru_cache(1 << 16)
-def title_parts(title: str) -> tuple[str, frozenset[str]]:
-    """Letters and digits of a title, and its words that tell titles apart."""
-    low = title.lower()
-    return re.sub("[^a-z0-9]", "", low), frozenset(re.findall("[a-z0-9]+", low)) - set(TITLE_NOISE)
+def said(tag: str, *values: Column) -> Column:
+    """A key of that kind, null where a value is missing or blank."""
+    filled = F.lit(True)
+    for v in values:
+        filled = filled & (F.coalesce(v, F.lit("")) != "")
+    return F.when(filled, F.concat_ws("::", F.lit(tag), *values))
 
 
-@lru_cache(1 << 16)
-def close_titles(a: str | None, b: str | None) -> bool:
-    """compatible_titles() for two strings, for the ordered replay of one component. Titles repeat, so verdicts are kept."""
-    if not a or not b:
-        return True
-    (x, p), (y, q) = title_parts(a), title_parts(b)
-    if x == y or ((x in y or y in x) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.75):
-        return True
-    return not p or not q or len(p & q) / len(p | q) >= 0.5
+def with_keys(records: DataFrame, keys: list[Column]) -> DataFrame:
+    """Adds the distinct keys in order; a record without any has its id as its key."""
+    found = F.array_distinct(F.array_compact(F.array(*keys)))
+    return records.withColumn("keys", F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(F.lit("id::"), F.col("record_id").cast("string")))))
 
 
-def record_keys(records: DataFrame) -> DataFrame:
-    """The keys of each record in order: identity, source id, posting URL, application URL, fingerprints; else its id."""
-    low = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+def key_parts(records: DataFrame):
+    low = lambda x: F.lower(F.trim(F.col(x))) if x in records.columns else F.lit(None).cast("string")
     link = lambda x: F.when(~c.is_board_url(F.col(x)), c.canonical_url(F.col(x)))
-    named = (low(F.col("company")) != "") & (low(F.col("title")) != "") & ~low(F.col("company")).isin(NO_COMPANY)
-    said = lambda tag, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(tag + "::"), value))
-    keys = F.array_compact(F.array(
-        said("ident", low(F.col("identity_key"))) if "identity_key" in records.columns else F.lit(None).cast("string"),
-        F.when((low(F.col("source")) != "") & (low(F.col("job_id")) != ""), F.concat(F.lit("sid::"), low(F.col("source")), F.lit("::"), low(F.col("job_id")))) if "job_id" in records.columns else F.lit(None).cast("string"),
-        said("link", link("url")), said("link", link("application_url")),
-        F.when(named, F.concat(F.lit("fp::"), c.fingerprint(F.col("company"), F.col("title"), F.col("location")))),
-        F.when(named, F.concat(F.lit("fpt::"), c.fingerprint(F.col("company"), F.col("title"), F.lit("")))),
-    ))
-    return records.withColumn("keys", F.array_distinct(F.when(F.size(keys) > 0, keys).otherwise(F.array(F.concat(F.lit("id::"), "record_id")))))
+    named = (F.coalesce(low("company"), F.lit("")) != "") & (F.coalesce(low("title"), F.lit("")) != "") & ~low("company").isin(NO_COMPANY)
+    mark = lambda tag, place: F.when(named, F.concat(F.lit(tag + "::"), c.fingerprint(F.col("company"), F.col("title"), place)))
+    return low, link, mark
 
 
-def dedupe_records(records: DataFrame, order: str = "seq") -> DataFrame:
-    """record_id, primary_id: records that share keys, first match with a compatible title wins, in order.
+def record_keys(records: DataFrame) -> DataFrame:
+    """Keys of records in order: identity, source id, page URL, application URL (each also as a link), fingerprints; else the id."""
+    low, link, mark = key_parts(records)
+    links = [said(tag, link(x)) for x, own in (("url", "url"), ("application_url", "app")) for tag in (own, "link")]
+    return with_keys(records, [said("ident", low("identity_key")), said("sid", low("source"), low("job_id")), *links, mark("fp", F.col("location")), mark("fpt", F.lit(""))])
+
+
+def posting_keys(postings: DataFrame) -> DataFrame:
+    """Keys of typed postings in order: source id, application URL, page URL, fingerprints with location, city and neither."""
+    low, link, mark = key_parts(postings)
+    city = F.when(F.coalesce(low("city"), F.lit("")) != "", mark("fp_city", F.col("city"))) if "city" in postings.columns else F.lit(None).cast("string")
+    return with_keys(postings, [said("sid", low("source"), low("job_id")), said("app", link("application_url")), said("url", link("url")), mark("fp", F.col("location")), city, mark("fpt", F.lit(""))])
+
+
+HOT = 4096  # rows of a key from which on it is read in slices
+SLICES = 64
+
+
+def dedupe_by_keys(keyed: DataFrame, order: str = "seq") -> DataFrame:
+    """record_id, primary_id from records with keys in order of priority; `order` tells records apart.
+
+    The rule, in order: a record belongs to the holder of its first key whose holder's title is compatible; else it is a
+    primary and takes all its keys over. Keys without a holder go to the primary of the first record that brings them.
+
+    Who holds a key thus follows from who is primary before. The statuses of all records are worked out anew from those of
+    the last round until none changes. That end is the ordered result, whatever the start: the first records in order are
+    right after one round, and each record as soon as all before it that share a key are. Most settle in a few rounds; long
+    chains of titles, each compatible with its neighbours only, take more.
 
-    Records that share a key are in one component; components are independent, so the ordered pass over each of them gives
-    what one pass over all would. A holder whose keys are all taken over by a later record is kept. A component streams
-    through one task in order, as ids, titles and keys only; that task holds the component's keys, not its rows.
+    Each round is a window per key and a grouping per record. Records that share no key take no part. A key of HOT records or
+    more is read in slices of order: every slice's last primary and first owner are carried to the slices behind it, so no
+    task holds a whole hot key. State is cut by tables in the shared folder.
     """
-    keyed = cut(record_keys(records).select("record_id", F.col(order).alias("ord"), "title", "keys"), "dedupe-keys")
-    each = keyed.select("ord", F.explode("keys").alias("k"))
-    star = each.join(each.groupBy("k").agg(F.min("ord").alias("hub")), "k").filter("ord <> hub")
-    labels = connected_components(star, "ord", "hub")
-    grouped = keyed.join(labels, keyed["ord"] == labels["node"], "left").withColumn("component", F.coalesce("component", "ord"))
-    alone = grouped.filter("node is null").select("record_id", F.col("record_id").alias("primary_id"))
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component, holder = None, {}
-        for batch in batches:
-            primary = []
-            for own, record, title, keys in zip(*[batch.column(c).to_pylist() for c in ("component", "record_id", "title", "keys")]):
-                if own != component:
-                    component, holder = own, {}
-                found = next((holder[k] for k in keys if k in holder and close_titles(title, holder[k][1])), None)
-                for k in keys:
-                    if found:
-                        holder.setdefault(k, found)
-                    else:
-                        holder[k] = (record, title)
-                primary.append(found[0] if found else record)
-            yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(primary, pa.string())], names=["record_id", "primary_id"])
-
-    sorted_rows = grouped.filter("node is not null").select("component", "ord", "record_id", "title", "keys").repartition("component").sortWithinPartitions("component", "ord")
-    met = sorted_rows.mapInArrow(replay, "record_id string, primary_id string")
-    return alone.unionByName(met)
+    base = cut(keyed.select("record_id", F.col(order).alias("ord"), F.coalesce("title", F.lit("")).alias("title"), "keys"), "dedupe-keys")
+    each = base.select("ord", F.posexplode("keys").alias("pos", "k"))
+    counts = cut(each.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "dedupe-counts")
+    bounds = [x for x in base.agg(F.percentile_approx("ord", [i / SLICES for i in range(1, SLICES)], 10000)).first()[0] or []]
+    slice_of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("ord")))
+    shared = each.join(counts, "k").select("ord", F.struct("pos", "k", F.when(F.col("n") >= HOT, slice_of).otherwise(F.lit(-1)).alias("slice")).alias("key"))
+    known = shared.groupBy("ord").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    start = F.struct(F.lit(True).alias("head"), F.col("ord").alias("primary"), F.col("title").alias("named"))
+    state = cut(base.select("ord", "title").join(known, "ord").select("ord", "title", "keys", start.alias("now")), "dedupe-state")
+    while True:
+        after = cut(dedupe_round(state), "dedupe-state")
+        moved = after.filter("moved").limit(1).count()
+        state = after
+        if not moved:
+            break
+    names = base.select(F.col("ord").alias("primary"), F.col("record_id").alias("primary_id"))
+    settled = state.select("ord", F.col("now.primary").alias("primary"))
+    owned = base.select("record_id", "ord").join(settled, "ord", "left").withColumn("primary", F.coalesce("primary", "ord"))
+    return owned.join(names, "primary").select("record_id", "primary_id")
+
+
+def dedupe_round(state: DataFrame) -> DataFrame:
+    """The state after working out every record from the state of those before it."""
+    rows = state.select("ord", "title", "now", F.inline("keys"))
+    own = F.when(F.col("now.head"), F.struct("ord", "title"))  # a primary holds its keys from its place on
+    owner = F.struct(F.col("now.primary").alias("ord"), F.col("now.named").alias("title"))
+    whole = rows.filter("slice >= 0").groupBy("k", "slice").agg(F.max_by(own, F.when(F.col("now.head"), F.col("ord"))).alias("last"), F.min_by(owner, "ord").alias("first"))
+    earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select("k", "slice", F.last("last", ignorenulls=True).over(earlier).alias("last_before"), F.first("first").over(earlier).alias("first_before"))
+    before = Window.partitionBy("k", "slice").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.join(carried, ["k", "slice"], "left")
+    last, first = F.coalesce(F.last(own, ignorenulls=True).over(before), "last_before"), F.coalesce("first_before", F.first(owner).over(before))
+    met = met.withColumn("holder", F.coalesce(last, first))
+    fits = F.col("holder").isNotNull() & compatible_titles(F.col("title"), F.col("holder.title"))
+    found = met.groupBy("ord").agg(F.first("title").alias("title"), F.sort_array(F.collect_list(F.struct("pos", "k", "slice"))).alias("keys"), F.first("now").alias("was"), F.min_by("holder", F.when(fits, F.col("pos"))).alias("holder"))
+    now = F.struct(F.col("holder").isNull().alias("head"), F.coalesce("holder.ord", "ord").alias("primary"), F.coalesce("holder.title", "title").alias("named"))
+    return found.select("ord", "title", "keys", now.alias("now"), F.col("was").alias("was")).withColumn("moved", (F.col("now.primary") != F.col("was.primary")) | (F.col("now.head") != F.col("was.head"))).drop("was")
+
+
+def dedupe_records(records: DataFrame, order: str = "seq") -> DataFrame:
+    """record_id, primary_id by the keys of record_keys()."""
+    return dedupe_by_keys(record_keys(records), order)
+
+
+def dedupe_postings(postings: DataFrame, order: str = "seq") -> DataFrame:
+    """record_id, primary_id by the keys of posting_keys(), which know the city."""
+    return dedupe_by_keys(posting_keys(postings), order)
 
 
 def primary_url(clusters: DataFrame, records: DataFrame, order: str = "seq") -> DataFrame:
@@ -163,39 +192,6 @@ def merge_candidates(cands: DataFrame, order: str = "seq") -> DataFrame:
     return cands.groupBy("symbol").agg(*[first(x) for x in ("current_price", "change_1w", "volume", "sector")], F.count_distinct("source").alias("sources"), F.count_distinct(F.lower("claim")).alias("claims"))
 
 
-def title_tokens(title: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"(?<![a-z0-9_])[a-z]{4,}(?![a-z0-9_])"), 0))
-
-
-def cluster_news(articles: DataFrame, most_common: int | None = None) -> DataFrame:
-    """seq, cluster: an article joins the earliest cluster whose first article shares 3 tokens or half of its own.
-
-    Articles that share a token set are linked by an inverted index; components are replayed in order. most_common drops
-    tokens in more titles than that from the index (off by default, as it changes results).
-    """
-    rows = cut(articles.select("seq", title_tokens(F.col("title")).alias("tokens")), "news-tokens")
-    index = rows.select("seq", F.explode("tokens").alias("t"))
-    if most_common:
-        index = index.join(index.groupBy("t").count().filter(F.col("count") <= most_common).select("t"), "t", "left_semi")
-    star = index.join(index.groupBy("t").agg(F.min("seq").alias("hub")), "t").filter("seq <> hub")
-    labels = connected_components(star, "seq", "hub")
-    grouped = rows.join(labels, rows["seq"] == labels["node"], "left").withColumn("component", F.coalesce("component", "seq"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, set]] = []
-        out = []
-        for seq, tokens in pdf.sort_values("seq")[["seq", "tokens"]].itertuples(index=False):
-            own = set(tokens)
-            hit = next((h for h, t in heads if len(own & t) >= 3 or (own and len(own & t) / len(own) >= 0.5)), None)
-            if hit is None:
-                heads.append((seq, own))
-                hit = seq
-            out.append((seq, hit))
-        return pd.DataFrame(out, columns=["seq", "cluster"])
-
-    return grouped.select("component", "seq", "tokens").groupBy("component").applyInPandas(replay, "seq long, cluster long")
-
-
 def validate_symbols(df: DataFrame, universe: DataFrame, sources: list[str], indexes: list[str]) -> DataFrame:
     """Kind of each name: source, index, IPO, listed stock or company."""
     bare = F.upper(F.regexp_replace(F.trim("name"), r"(?i)\.(ns|bo)$", ""))

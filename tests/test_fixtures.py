@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import columns as c
-from lodestone.operators import evidence, listings, postings, resolve, series
+from lodestone.operators import evidence, listings, news, postings, resolve, series
 from lodestone.plans.components import connected_components
 from lodestone.sources import payloads
 
@@ -109,7 +109,7 @@ def test_companies(spark):
 
 def test_news(spark):
     rows = [(1, "Acme completes acquisition of Beta"), (2, "Beta acquisition by Acme completes today"), (3, "Rain expected tomorrow")]
-    out = {r["seq"]: r["cluster"] for r in resolve.cluster_news(spark.createDataFrame(rows, "seq long, title string")).collect()}
+    out = {r["seq"]: r["cluster"] for r in news.cluster_news(spark.createDataFrame(rows, "seq long, title string")).collect()}
     assert out == {1: 1, 2: 1, 3: 3}
 
 
