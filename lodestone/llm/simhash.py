@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +35,7 @@ SEED = 42
 UPPER = string.ascii_uppercase
 PAIRS = 1 << 20  # node pairs expanded at once
 PART = 1 << 16  # fingerprints of one group in one part
+SHINGLES = 1 << 20  # shingle hashes of one component in one part: 8 MB
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -113,20 +114,47 @@ class Forest:
             if len(first):
                 self.links.append((a[first], b[first]))
 
+    def find(self, x: int) -> int:
+        p = self.parent
+        while (up := int(p[x])) != x:
+            p[x] = p[up]
+            x = up
+        return x
+
+    def join_checked(self, a: np.ndarray, b: np.ndarray, holds: Callable[[int, int], bool]) -> None:
+        """Joins the pairs that are in different sets and for which holds(a, b) is true, one by one."""
+        apart = self.root(a) != self.root(b)
+        p = self.parent
+        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+            i, j = self.find(x), self.find(y)
+            if i != j and holds(x, y):
+                p[max(i, j)] = min(i, j)
+                self.links.append((np.array([x]), np.array([y])))
+
     def flat(self) -> np.ndarray:
         return self.root(np.arange(len(self.parent)))
 
 
+def item_pairs(starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of an item of node a[i] and a later one of node b[i]."""
+    n, m = ends[a] - starts[a], ends[b] - starts[b]
+    i = np.repeat(np.arange(len(a)), n * m)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    x, y = starts[a[i]] + k // m[i], starts[b[i]] + k % m[i]
+    return x[x < y], y[x < y]
+
+
 def near_forest(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     """For each item the smallest item linked to it through pairs of one group within radius differing bits."""
     return linked_forest(group, fp, (radius,)).flat()
 
 
-def linked_forest(group: np.ndarray, fp: np.ndarray, radii: tuple[int, ...]) -> Forest:
+def linked_forest(group: np.ndarray, fp: np.ndarray, radii: tuple[int, ...], holds: Callable[[int, int], bool] | None = None) -> Forest:
     """Spanning forest of the pairs of one group within the last radius; pairs within the earlier radii are joined first.
 
     fp: one or several 64-bit lanes (columns) for each item. Items come sorted by group and Gray rank, without repeats in a
-    group.
+    group. holds: asked for each pair of items whose parts aren't joined yet; only pairs for which it is true are joined, and
+    items may repeat.
     """
     n = len(fp)
     forest = Forest(n)
@@ -151,7 +179,10 @@ def linked_forest(group: np.ndarray, fp: np.ndarray, radii: tuple[int, ...]) ->
     while stack:
         radius, level, a, b, diff = stack.pop()
         if level == depth:
-            forest.join(starts[depth][a], starts[depth][b])
+            if holds is None:
+                forest.join(starts[depth][a], starts[depth][b])
+            else:
+                forest.join_checked(*item_pairs(starts[depth], ends[depth], a, b), holds)
             continue
         if level:  # whole subtrees that are in one component already
             flat = forest.flat()
@@ -309,13 +340,85 @@ def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return stored(links.select("a", "b", "distance").unionByName(same), "near-links")
 
 
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """node, grams (the distinct shingle hashes, sorted, as bytes) and size (their number) for rows of node and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            grams = [np.unique(shingle_hashes((t or b"").lower().split(), width)) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([len(g) for g in grams], pa.int64())], names=["node", "grams", "size"])
+
+    return rows.mapInArrow(run, "node long, grams binary, size long")
+
+
+def verified_links(nodes: DataFrame, candidates: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """a, b: a spanning forest of the pairs whose shingle sets have that Jaccard similarity, within components of candidates.
+
+    A component of candidates is searched anew by the tree, with the sets at hand: a pair within the radius is joined only if
+    its sets are similar, so no pair hides behind a link that doesn't hold, and only pairs of parts that are joined already
+    are passed over. The radius is wider than that of the candidates, as a pair costs a comparison and no row. A component with
+    more than SHINGLES hashes is split into parts by hash; each part is searched by itself, and each pair of parts across.
+    """
+    labels = connected_components(candidates)
+    sets = shingle_sets(labels.select(F.col("node").alias("row")).join(rows.select("row", F.coalesce("d.text", F.lit("")).alias("text")), "row").select(F.col("row").alias("node"), "text"), width)
+    held = stored(sets.join(labels, "node").join(nodes.select("node", *LANES), "node"), "near-sets")
+    parts = F.ceil(F.sum("size") / SHINGLES).cast("int")
+    count = held.groupBy("component").agg(F.greatest(parts, F.lit(1)).alias("parts"))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, own).alias("lo"), F.greatest(o, own).alias("hi"), (own < o).alias("low_side")))
+    group_by = ["component", "lo", "hi"]
+    paired = held.join(count, "component").select("component", "node", "grams", *LANES, F.inline(pairs)).repartition(*group_by).sortWithinPartitions(*group_by)
+    share = differing_share(similarity)
+    radius = math.ceil(128 * share + 4 * math.sqrt(128 * share * (1 - share)))
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        fp = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in LANES], axis=1)
+        order = np.lexsort([gray_rank(fp[:, k]) for k in reversed(range(len(LANES)))])
+        node, grams = rows.column("node").to_numpy()[order], rows.column("grams").take(pa.array(order)).to_pylist()
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        side = rows.column("low_side").to_numpy()[order]
+        across = rows.column("lo")[0] != rows.column("hi")[0]
+
+        def holds(i: int, j: int) -> bool:
+            x, y = sets[i], sets[j]
+            if across and side[i] == side[j]:
+                return False  # each part has a group of its own
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                return False
+            common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            return common >= similarity * (len(x) + len(y) - common)
+
+        links = linked_forest(np.zeros(len(order), np.int64), fp[order], (radius // 6, radius // 3, radius // 2, radius), holds).links
+        a, b = (np.concatenate(x) if links else np.zeros(0, np.int64) for x in (zip(*links) if links else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in group_by]))
+            start = 0
+            for i, key in enumerate(keys):
+                if key != last:
+                    held.append(batch.slice(start, i - start))
+                    if sum(x.num_rows for x in held) > 1:
+                        yield solve(pa.Table.from_batches(held).combine_chunks())
+                    held, start, last = [], i, key
+            held.append(batch.slice(start))
+        if sum(x.num_rows for x in held) > 1:
+            yield solve(pa.Table.from_batches(held).combine_chunks())
+
+    return stored(paired.mapInArrow(run, "a long, b long"), "near-verified")
+
+
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs less near copies: of each group linked by Jaccard similarity of the word shingles, the row with the smallest doc_id stays.
 
     Texts with the same words are one node. Fingerprints of 128 bits meet in tables of random masks, whose groups the
-    Gray-order tree searches; candidate links are verified on the shingles' 64-bit hashes. Links are verified nearest first:
-    the best link of each node, then of each part joined so far, then all links that still lead from one part to another.
-    A pair at the very similarity is a candidate in 9 of 10 cases, one 0.05 above it in 99 of 100.
+    Gray-order tree searches for candidates. Within each component of candidates the tree is searched again and every pair is
+    verified on the shingles' 64-bit hashes before it joins anything.
+    The search for candidates is probabilistic: a lone pair at the very similarity meets in 9 of 10 cases, one 0.05 above it
+    in 99 of 100; members of a family of similar texts need to meet one of them only. No link is made below the similarity.
 
     Defined cases: null and empty texts, and texts without words, have equal words; of rows with the same doc_id one stays;
     a null doc_id sorts after all others; an empty table gives an empty result; all columns are kept as they are.
@@ -323,36 +426,8 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     rows = texts_with_marks(docs, width)
     place = F.struct(F.col("d.doc_id").isNull().alias("no_id"), F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("row").alias("row"))
     nodes = stored(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(place).alias("least"), *[F.first(c).alias(c) for c in LANES]), "near-nodes")
-    links = candidate_links(nodes.select("node", *LANES), similarity)
-    asked = links.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    words = F.split(F.trim(F.regexp_replace(F.translate(F.coalesce("d.text", F.lit("")), UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+", " ")), " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))
-    sets = stored(rows.select("row", "d").join(asked, "row").select("row", words.alias("w")).select(F.col("row").alias("node"), grams.alias("grams")), "near-sets")
-
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return stored(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-verified")
-
-    sure, part, left = None, None, links.withColumns({"pa": F.col("a"), "pb": F.col("b")})
-    for step in range(3):
-        if step < 2:  # the best link of each part
-            best = F.min(F.struct("distance", "a", "b")).alias("best")
-            some = left.select("distance", "a", "b", F.explode(F.array("pa", "pb")).alias("p")).groupBy("p").agg(best).select("best.a", "best.b").distinct()
-        else:
-            some = left
-        found = verified(some)
-        sure = found if sure is None else sure.unionByName(found)
-        part = connected_components(sure)
-        if step < 2:
-            for end in "ab":
-                named = part.select(F.col("node").alias(end), F.col("component").alias(f"p{end}"))
-                left = left.drop(f"p{end}").join(named, end, "left").withColumn(f"p{end}", F.coalesce(f"p{end}", end))
-            left = stored(left.filter("pa <> pb").join(some, ["a", "b"], "left_anti"), "near-left")
-            if left.isEmpty():
-                break
-    named = nodes.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sure = verified_links(nodes, candidate_links(nodes.select("node", *LANES), similarity), rows, width, similarity)
+    named = nodes.join(connected_components(sure), "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = stored(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "near-kept")
     return rows.join(kept, "row", "left_semi").select("d.*")
 
