@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,6 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from lodestone.llm.common import slices
 
@@ -86,7 +86,10 @@ class WordBpe:
         self.marks = tuple(s.encode()[:2] for s in self.special)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
-        self.pieces: dict[str, list[int]] = {}
+        library = Tokenizer.from_str(content)
+        self.normal, self.cut = library.normalizer, library.pre_tokenizer
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
+        self.pieces: dict[bytes, list[int]] = {}
         self.words = WordCache(self.fresh)
 
     def merged(self, data: bytes) -> list[int]:
@@ -126,6 +129,12 @@ class WordBpe:
                 push(heap, found[0] << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def pieces_of(self, part: str) -> list[bytes]:
+        """Pre-tokens. Beyond ASCII the file's own normalizer and splitter decide, so their Unicode tables hold, whatever Python's are."""
+        if part.isascii():
+            return [piece.encode() for piece in self.piece.findall(part.lower())]
+        return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part))]
+
     def fresh(self, word: bytes) -> bytes:
         """Ids of a run without ASCII white space, as little-endian unsigned 32-bit integers."""
         text = word.decode("utf-8", "replace")
@@ -135,12 +144,10 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for piece in self.piece.findall(part.lower()):
+            for piece in self.pieces_of(part):
                 ids = self.pieces.get(piece)
                 if ids is None:
-                    ids = self.merged(piece.encode())
+                    ids = self.merged(piece)
                     if len(self.pieces) >= CACHED_WORDS:
                         self.pieces.clear()
                     if len(piece) <= 64:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -290,3 +291,12 @@ def test_passages(docs):
     assert want and all(rows[i]["n_passages"] or rows[i]["whole_copy"] for i in want)
     clean = [i for i in range(60) if i not in want and i not in (3,)]
     assert not any(rows[i]["n_passages"] for i in clean)
+
+
+def test_bpe_of_rare_code_points():
+    """Code points that Unicode tables of different ages class differently, and every 61st of the others."""
+    own, t = bpe.WordBpe(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 61 == 0 or (c < 0x33480 and unicodedata.category(chr(c)) == "Cn"))]
+    made = [f"a{chr(c)}B {chr(c)}" for c in points]
+    assert len(made) > 20_000
+    assert [own.encode(x.encode()) for x in made] == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(made, add_special_tokens=False)]
