@@ -44,6 +44,17 @@ def openings(s, d):
     return named.selectExpr("c_custkey AS opp", "c_nationkey % 5 AS segment", "CASE c_custkey % 4 WHEN 0 THEN array('sql') WHEN 1 THEN array('SQL') WHEN 2 THEN array('go') ELSE array('python', 'spark') END AS has_skills", "CASE c_custkey % 4 WHEN 1 THEN 'Python developer' WHEN 3 THEN 'SQL analyst' ELSE 'Engineer' END AS title", "c_mktsegment AS description", "n_name AS location", "c_custkey % 12 AS years")
 
 
+def universe(s, d):
+    """Words of the benchmark items as aliases, in capitals as symbols, and the items' first two words as an alias of two."""
+    words = table(s, d, "benchmark").selectExpr("item_id", "regexp_extract_all(text, '[a-zA-Z]+', 0) AS w")
+    single = words.select(F.explode("w").alias("w")).filter("length(w) between 3 and 12").select(F.upper("w").alias("symbol"), F.lower("w").alias("alias"))
+    return single.unionByName(words.filter("size(w) > 1").selectExpr("concat('T', item_id) AS symbol", "lower(concat(w[0], ' ', w[1])) AS alias")).distinct()
+
+
+UNIVERSE = r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[a-zA-Z]+') AS w FROM benchmark),
+ u AS (SELECT upper(x) AS symbol, lower(x) AS alias FROM (SELECT unnest(w) AS x FROM w) WHERE length(x) BETWEEN 3 AND 12 UNION SELECT 'T' || item_id, lower(w[1] || ' ' || w[2]) FROM w WHERE len(w) > 1)"""
+
+
 def evidence_of(s, d):
     return table(s, d, "lineitem").selectExpr("concat('E', l_partkey) AS entity_id", "CASE WHEN l_quantity > 48 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS relationship", "CASE WHEN l_linenumber = 7 THEN 'a risk' ELSE 'a claim' END AS claim", "concat('src', l_suppkey % 9) AS source")
 
@@ -53,7 +64,7 @@ QUERIES = {
     "j3_contradictions": lambda s, d: m.contradictions(carrier(s, d, "facts")).select("entity_id", "field", "seq_a", "seq_b"),
     "j4_scan_risks": lambda s, d: m.scan_risks(docs(s, d), "doc_id", signatures=RISK_WORDS).select("doc_id", "risk", "severity", "sentence"),
     "j2_claim_support": lambda s, d: m.claim_support(table(s, d, "benchmark"), docs(s, d), "item_id", "doc_id").select("item_id", "doc_id", "n", "total", "relationship", "passage", "confidence"),
-    "d7_entity_mentions": lambda s, d: m.entity_mentions(table(s, d, "benchmark").select(F.substring_index("text", " ", 4).alias("name")).distinct(), docs(s, d), "name", "doc_id"),
+    "d7_entity_mentions": lambda s, d: m.entity_mentions(table(s, d, "benchmark"), docs(s, d), "item_id", "doc_id", alias="text"),
     "j5_claim_passages": lambda s, d: m.claim_passages(docs(s, d), "doc_id"),
     "j6_evidence_split": lambda s, d: m.bibliography(m.claim_passages(docs(s, d), "doc_id").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 20).cast("string"))), "source", "doc_id"),
     "e8_entity_coverage": lambda s, d: m.entity_coverage(table(s, d, "supplier").select(F.concat(F.lit("E"), "s_suppkey").alias("entity_id")), carrier(s, d, "facts"), evidence_of(s, d)).select("entity_id", F.array_join("missing", ",").alias("missing")),
@@ -63,18 +74,17 @@ QUERIES = {
     "j13_contact_points": lambda s, d: m.contact_points(docs(s, d), "doc_id"),
     "j14_company_profiles": lambda s, d: m.company_profiles(carrier(s, d, "facts"), "entity_id", "seq", ["revenue", "headquarters"]),
     "j15_price_mentions": lambda s, d: m.price_mentions(price_texts(s, d), "doc_id").groupBy("doc_id").agg(F.min_by("amount", F.when(~F.col("is_target"), F.col("pos"))).alias("current"), F.min_by("amount", F.when(F.col("is_target"), F.col("pos"))).alias("target")),
-    "j16_ticker_mentions": lambda s, d: m.ticker_mentions(docs(s, d), s.createDataFrame([("THE", "thent"), ("LAS", "losque"), ("OF", "onthe")], "symbol string, alias string"), "doc_id"),
+    "j16_ticker_mentions": lambda s, d: m.ticker_mentions(docs(s, d), universe(s, d), "doc_id"),
     "j17_sentiment_evidence": lambda s, d: m.sentiment_evidence(docs(s, d), r"\bthe\b", r"\bund\b").groupBy("sentiment", "is_counter", "source").agg(F.count("*").alias("n")),
     "j18_market_regime": lambda s, d: m.market_regime(docs(s, d), [("BULLISH", r"\bthis\b"), ("BEARISH", r"\bich\b")], "doc_id"),
     "j19_request_intents": lambda s, d: m.request_intents(table(s, d, "conversations").filter("role = 'user'"), [("JOBS", whole("thereof|ofthe")), ("MARKET", whole("und")), ("COMPANY", whole("que"))]).groupBy("intent").agg(F.count("*").alias("n")),
     "k2_preference_signals": lambda s, d: m.preference_signals(prefs(s, d)).withColumn("weight", F.round("weight", 6)),
     "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
-    "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d)))).filter("place <= 20").select("user_id", "place", F.round("final", 6).alias("final")),
+    "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d)))).select("user_id", "record_id", "place", F.round("final", 6).alias("final")),
     "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "gate", "match"),
 }
 
-WORDS = "SELECT DISTINCT {0}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {1}"
 SIGNALS = """
 e AS (SELECT 'u' || (user_id % 20) AS user_id, CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'save' WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'wrong_location' END AS action, CASE event_id % 3 WHEN 0 THEN 'generative ai engineer' WHEN 1 THEN 'sales executive' END AS title,
  'customer#' || lpad(CAST(event_id % 40 AS VARCHAR), 9, '0') AS comp, CASE event_id % 2 WHEN 0 THEN 'dubai, uae' ELSE 'remote' END AS loc, CASE event_id % 4 WHEN 0 THEN 'retail' END AS ind, CASE event_id % 3 WHEN 0 THEN 'docker' WHEN 1 THEN 'k8s' END AS skill FROM events),
@@ -99,8 +109,12 @@ ORACLES = {
     "j4_scan_risks": """WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), '.'))) AS s, generate_subscripts(string_split(replace(coalesce(text, ''), chr(10), ' '), '.'), 1) AS pos FROM documents),
  h AS (SELECT doc_id, 'warm' AS risk, 'HIGH' AS severity, arg_min(substr(s, 1, 200), pos) AS sentence FROM l WHERE regexp_matches(lower(s), '{W}') GROUP BY 1 UNION ALL SELECT doc_id, 'cold', 'MEDIUM', arg_min(substr(s, 1, 200), pos) FROM l WHERE regexp_matches(lower(s), '{C}') GROUP BY 1 UNION ALL SELECT doc_id, 'odd', 'MEDIUM', arg_min(substr(s, 1, 200), pos) FROM l WHERE regexp_matches(lower(s), '{O}') GROUP BY 1)
  SELECT * FROM h UNION ALL SELECT doc_id, 'clean_disclosures', 'LOW', NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)""".replace("{W}", whole("onst|wher")).replace("{C}", whole("und|los")).replace("{O}", whole("layoffs|password")),
-    "j2_claim_support": f"WITH a AS (SELECT * FROM ({WORDS.format('item_id', 'benchmark')}) WHERE length(w) > 3), b AS ({WORDS.format('doc_id', 'documents')}), t AS (SELECT item_id, count(*) AS total, list(w) AS tokens FROM a GROUP BY 1), n AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b ON b.w = a.w GROUP BY 1, 2), r AS (SELECT n.*, total, tokens, d.text, list_filter(list_transform(string_split(replace(d.text, chr(10), ' '), '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM n JOIN t ON t.item_id = n.item_id JOIN documents d ON d.doc_id = n.doc_id WHERE n / total >= 0.3), k AS (SELECT *, list_transform(ss, lambda x: len(list_filter(tokens, lambda y: contains(lower(x), y)))) AS sc FROM r), v AS (SELECT *, CASE WHEN coalesce(list_max(sc), 0) > 0 THEN ss[list_position(sc, list_max(sc))] ELSE '' END AS best FROM k) SELECT item_id, doc_id, n, total, CASE WHEN regexp_matches(lower(text), '{'|'.join(m.NEGATIONS)}') AND n / total >= 0.5 THEN CASE WHEN regexp_matches(lower(best), '{'|'.join(m.NEGATIONS)}') THEN 'CONTRADICTS' ELSE 'SUPPORTS' END WHEN n / total < 0.6 THEN 'MENTIONS' ELSE 'SUPPORTS' END AS relationship, CASE WHEN best <> '' THEN best ELSE substr(text, 1, 250) END AS passage, CASE WHEN n / total > 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM v",
-    "d7_entity_mentions": "WITH e AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:4], ' ') AS name FROM benchmark) SELECT doc_id, name FROM documents JOIN e ON regexp_matches(' ' || lower(text), '[ ]' || regexp_escape(array_to_string(string_split(lower(name), ' ')[1:2], ' ')) || '([ ]|$)') AND contains(lower(text), lower(name))",
+    "j2_claim_support": r"""WITH a AS (SELECT item_id, w, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark) WHERE length(w) > 3 GROUP BY 1, 2),
+ b AS (SELECT w, doc_id FROM (SELECT DISTINCT w FROM a) JOIN documents ON contains(lower(text), w)), t AS (SELECT item_id, sum(k) AS total, list({'w': w, 'k': k}) AS tokens FROM a GROUP BY 1),
+ n AS (SELECT item_id, doc_id, sum(k) AS n FROM a JOIN b ON b.w = a.w GROUP BY 1, 2), r AS (SELECT n.*, total, tokens, d.text, list_filter(list_transform(string_split(replace(d.text, chr(10), ' '), '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM n JOIN t ON t.item_id = n.item_id JOIN documents d ON d.doc_id = n.doc_id WHERE n / total >= 0.3),
+ k AS (SELECT *, list_transform(ss, lambda x: coalesce(list_sum(list_transform(list_filter(tokens, lambda y: contains(lower(x), y.w)), lambda y: y.k)), 0)) AS sc FROM r), v AS (SELECT *, ss[list_position(sc, list_max(sc))] AS best FROM k)
+ SELECT item_id, doc_id, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, CASE WHEN regexp_matches(lower(text), '<DENIED>') AND n / total >= 0.5 THEN CASE WHEN regexp_matches(lower(best), '<DENIED>') THEN 'CONTRADICTS' ELSE 'SUPPORTS' END WHEN n / total < 0.6 THEN 'MENTIONS' ELSE 'SUPPORTS' END AS relationship, best AS passage, CASE WHEN n / total > 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM v""".replace("<DENIED>", "|".join(m.NEGATIONS)),
+    "d7_entity_mentions": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) AND b.text <> ''",
     "j5_claim_passages": "WITH " + PASSAGES + " SELECT * FROM c WHERE place <= 6",
     "j6_evidence_split": "WITH " + PASSAGES + ", b AS (SELECT 's' || (doc_id % 20) AS source, min(doc_id) AS first, count(*) FILTER (NOT is_counter) AS primary_rows, count(*) FILTER (is_counter) AS counter_rows FROM c WHERE place <= 6 GROUP BY 1) SELECT *, dense_rank() OVER (ORDER BY first, source) AS number FROM b",
     "e8_entity_coverage": oracle("WITH " + COVER + " SELECT entity_id, array_to_string(list_filter(['technical', CASE WHEN NOT fundamental THEN 'fundamental' END, CASE WHEN NOT news THEN 'news' END, CASE WHEN NOT counter THEN 'counter' END], lambda x: x IS NOT NULL), ',') AS missing FROM g", "facts"),
@@ -110,7 +124,9 @@ ORACLES = {
     "j13_contact_points": "WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')) AS a, regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}') AS raw FROM documents), u AS (SELECT doc_id, unnest(a) AS email, raw FROM m), p AS (SELECT doc_id, email, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(raw, email)) AS k FROM u) SELECT doc_id, email FROM p WHERE k <= 3",
     "j14_company_profiles": oracle("SELECT entity_id, arg_max(value_text, seq) FILTER (lower(field) = 'revenue') AS revenue, arg_max(value_text, seq) FILTER (lower(field) = 'headquarters') AS headquarters FROM facts GROUP BY 1", "facts"),
     "j15_price_mentions": "SELECT o_orderkey AS doc_id, CAST(o_custkey AS DOUBLE) AS current, CASE o_orderkey % 3 WHEN 0 THEN o_custkey + 10 ELSE o_custkey + 0.5::DOUBLE END AS target FROM orders WHERE o_orderkey % 3 < 2",
-    "j16_ticker_mentions": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,12}')) AS t FROM documents), u(symbol, alias) AS (VALUES ('THE', 'thent'), ('LAS', 'losque'), ('OF', 'onthe')) SELECT DISTINCT doc_id, symbol FROM t JOIN u ON t.t = u.symbol OR lower(t.t) = u.alias",
+    "j16_ticker_mentions": UNIVERSE + r""", t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS t FROM documents)
+ SELECT DISTINCT doc_id, symbol FROM t JOIN u ON t.t = u.symbol AND regexp_full_match(u.symbol, '[A-Z]{3,12}') UNION SELECT DISTINCT doc_id, symbol FROM t JOIN u ON lower(t.t) = u.alias AND NOT contains(u.alias, ' ')
+ UNION SELECT doc_id, symbol FROM documents JOIN u ON contains(u.alias, ' ') AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || u.alias || '([^\p{L}\p{N}_]|$)')""",
     "j17_sentiment_evidence": "SELECT 'bullish' AS sentiment, false AS is_counter, source, count(*) AS n FROM documents WHERE regexp_matches(lower(text), '\\bthe\\b') GROUP BY ALL UNION ALL SELECT 'bearish', true, source, count(*) FROM documents WHERE regexp_matches(lower(text), '\\bund\\b') GROUP BY ALL",
     "j18_market_regime": "SELECT coalesce(arg_max(CASE WHEN regexp_matches(lower(text), '\\bthis\\b') THEN 'BULLISH' ELSE 'BEARISH' END, doc_id), 'SIDEWAYS') AS regime FROM documents WHERE regexp_matches(lower(text), '\\b(this|ich)\\b')",
     "j19_request_intents": f"SELECT CASE WHEN regexp_matches(lower(text), '{whole('thereof|ofthe')}') THEN 'JOBS' WHEN regexp_matches(lower(text), '{whole('und')}') THEN 'MARKET' WHEN regexp_matches(lower(text), '{whole('que')}') THEN 'COMPANY' ELSE 'GENERAL' END AS intent, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",

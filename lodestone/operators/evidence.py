@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import columns as c
 from lodestone.functions import rules
+from lodestone.plans import patterns
 
 MONEY = r"(?:[₹\$€]|usd|inr|eur|rs\.?)?\s*[\d,]+(?:\.\d+)?\s*(?:cr(?:ore)?|lakh|million|mn|billion|bn|usd|inr)?"
 # Fact patterns; the first group is the value.
@@ -78,35 +83,70 @@ NEGATIONS = ["not", "denied", "refuted", "false", "disputed", "rejected", "contr
 
 
 def claim_support(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str) -> DataFrame:
-    """SUPPORTS, CONTRADICTS or MENTIONS for each claim and document that share 30 % or more of the claim's longer words.
+    """SUPPORTS, CONTRADICTS or MENTIONS for each claim and document that has 30 % or more of the claim's longer words.
 
-    Words meet by an equi-join on distinct tokens, so no claim is compared with a document that shares nothing. The best
-    sentence is the first that has the most of the claim's words; a denial counts as contradiction only within it.
+    A word counts as often as the claim has it, and is had by a text that contains it anywhere, also inside a word. One
+    automaton over the distinct words of a block of claims reads each sentence once; counts per claim come from the words'
+    lists of claims, so only pairs that reach 30 % leave the task. The best sentence is the first that has the most of the
+    claim's words; a denial counts as contradiction only within it. Claims without a word of over 3 letters and null texts give no row.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("w")).filter(F.length("w") > 3)
-    wanted = words(claims, claim_id)
-    size = wanted.groupBy(claim_id).agg(F.count("*").alias("total"), F.collect_set("w").alias("tokens"))
-    shared = wanted.join(words(docs, doc_id), "w").groupBy(claim_id, doc_id).agg(F.count("*").alias("n"))
-    near = shared.join(size, claim_id).withColumn("ratio", F.col("n") / F.col("total")).filter("ratio >= 0.3")
-    out = near.join(docs.select(doc_id, "text"), doc_id)
-    sentences = F.filter(F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    scored = F.transform(sentences, lambda s: F.struct(F.size(F.filter("tokens", lambda t: F.contains(F.lower(s), t))).alias("score"), s.alias("s")))
-    best = F.aggregate(scored, F.struct(F.lit(0).alias("score"), F.lit("").alias("s")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))["s"]
-    out = out.withColumn("best", best)
-    denied, here = c.contains_any(F.lower("text"), NEGATIONS), c.contains_any(F.lower("best"), NEGATIONS)
-    relation = F.when(denied & (F.col("ratio") >= 0.5), F.when(here, "CONTRADICTS").otherwise("SUPPORTS")).when(F.col("ratio") < 0.6, "MENTIONS").otherwise("SUPPORTS")
-    passage = F.when(F.col("best") != "", F.col("best")).otherwise(F.substring("text", 1, 250))
-    return out.withColumns({"relationship": relation, "passage": passage, "confidence": F.when(F.col("ratio") > 0.7, "HIGH").otherwise("MEDIUM")}).drop("text", "tokens", "best")
-
-
-def entity_mentions(entities: DataFrame, docs: DataFrame, name: str, key: str) -> DataFrame:
-    """Documents that contain an entity's name: first two words meet by hash join, then the whole name is checked."""
-    named = entities.select(name, F.lower(name).alias("low")).withColumn("gram", F.concat_ws(" ", F.slice(F.split("low", " "), 1, 2)))
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
-    grams = F.array_distinct(F.concat(words, F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))))
-    texts = docs.select(key, F.explode(grams).alias("gram"))
-    found = texts.join(named, "gram").select(key, name, "low").distinct()
-    return found.join(docs.select(key, F.lower("text").alias("t")), key).filter(F.contains("t", "low")).select(key, name)
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: F.length(w) > 3)
+    wanted = claims.filter(F.col("text").isNotNull()).select(claim_id, words.alias("tokens")).filter(F.size("tokens") > 0)
+    wanted = wanted.withColumn("bytes", F.octet_length(F.array_join("tokens", " ")))
+    texts = docs.filter(F.col("text").isNotNull()).select(doc_id, "text")
+    claim, doc = wanted.schema[claim_id], texts.schema[doc_id]
+    more = "n long, total long, denied boolean, passage string, here boolean"
+    schema = T.StructType([claim, doc, *T.StructType.fromDDL(more)])
+
+    def matcher(block: pa.Table):
+        ids, listed = block.column(claim_id).combine_chunks(), block.column("tokens").to_pylist()
+        place = {w: i for i, w in enumerate(sorted(set().union(*listed)))}
+        machine = patterns.automaton(list(place))
+        total = np.array([len(t) for t in listed])
+        pairs = Counter((place[w], c) for c, t in enumerate(listed) for w in t)
+        word, owner, times = (np.array(x) for x in zip(*[(w, c, n) for (w, c), n in sorted(pairs.items())]))
+        first = np.searchsorted(word, np.arange(len(place) + 1))
+        own = [np.array(sorted(Counter(place[w] for w in t).items())).T for t in listed]  # word, times
+
+        def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                sentences = [s for s in (x.strip() for x in text.replace("\n", " ").split(".")) if s]
+                held = [sorted({w for _, w in machine.iter(s.lower())}) for s in sentences]
+                all_words = np.array(sorted(set().union(*held)), dtype=np.int64)
+                if not len(all_words):
+                    continue
+                at = np.concatenate([np.arange(first[w], first[w + 1]) for w in all_words])
+                had = np.bincount(owner[at], weights=times[at], minlength=len(listed)).astype(np.int64)
+                near = np.flatnonzero(had / total >= 0.3)
+                low = text.lower()
+                denied = any(x in low for x in NEGATIONS)
+                spread = np.concatenate([np.array(h, dtype=np.int64) for h in held])
+                ends = np.cumsum([len(h) for h in held])
+                weight = np.zeros(len(place), dtype=np.int64)
+                for c in near.tolist():
+                    weight[own[c][0]] = own[c][1]
+                    sums = np.concatenate(([0], np.cumsum(weight[spread])))
+                    best = sentences[int(np.argmax(np.diff(sums[np.concatenate(([0], ends))])))]
+                    weight[own[c][0]] = 0
+                    out.append((c, i, int(had[c]), int(total[c]), denied, best, any(x in best.lower() for x in NEGATIONS)))
+            c, i, *rest = zip(*out) if out else [()] * 7
+            made = [ids.take(pa.array(c, pa.int64())), batch.column(doc_id).take(pa.array(i, pa.int64())), *[pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_()))]]
+            return pa.RecordBatch.from_arrays(made, names=schema.fieldNames())
+
+        return find
+
+    near = patterns.matched(texts, "text", wanted, "bytes", matcher, schema).withColumn("ratio", F.col("n") / F.col("total"))
+    relation = F.when(F.col("denied") & (F.col("ratio") >= 0.5), F.when(F.col("here"), "CONTRADICTS").otherwise("SUPPORTS")).when(F.col("ratio") < 0.6, "MENTIONS").otherwise("SUPPORTS")
+    return near.withColumns({"relationship": relation, "confidence": F.when(F.col("ratio") > 0.7, "HIGH").otherwise("MEDIUM")}).drop("denied", "here")
+
+
+def entity_mentions(entities: DataFrame, docs: DataFrame, name: str, key: str, alias: str | None = None) -> DataFrame:
+    """Documents that contain an entity's name (or alias, a column of entities), whatever the case."""
+    pattern = F.lower(F.col(alias or name))
+    named = entities.select(name, pattern.alias("low")).distinct()
+    texts = docs.select(key, F.lower("text").alias("lower_text"))
+    return patterns.contained(texts, key, "lower_text", named, "low").join(named, "low").select(key, name).distinct()
 
 
 def claim_passages(docs: DataFrame, key: str, most: int = 6) -> DataFrame:
@@ -192,11 +232,15 @@ def price_mentions(docs: DataFrame, key: str, reach: int = 35) -> DataFrame:
 
 
 def ticker_mentions(docs: DataFrame, universe: DataFrame, key: str) -> DataFrame:
-    """Upper-case tokens and aliases that name a symbol of the universe (symbol, alias)."""
-    tokens = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,12}"), 0))).alias("t"))
-    by_symbol = tokens.join(universe.select("symbol").distinct(), F.col("t") == F.col("symbol")).select(key, "symbol")
-    by_alias = tokens.withColumn("alias", F.lower("t")).join(universe.select("alias", "symbol").distinct(), "alias").select(key, "symbol")
-    return by_symbol.unionByName(by_alias).distinct()
+    """key, symbol: symbols that stand in a text as words of 3 to 12 capitals, or by an alias as whole words in any case.
+
+    universe: symbol, alias (either may be null; a symbol may have several aliases).
+    """
+    capital = universe.filter(F.col("symbol").rlike("^[A-Z]{3,12}$")).select("symbol")
+    by_symbol = patterns.contained(docs.select(key, "text"), key, "text", capital, "symbol", whole_words=True)
+    named = universe.filter("alias is not null and symbol is not null").select(F.lower("alias").alias("alias"), "symbol").distinct()
+    by_alias = patterns.contained(docs.select(key, F.lower("text").alias("text")), key, "text", named, "alias", whole_words=True).join(named, "alias")
+    return by_symbol.select(key, "symbol").unionByName(by_alias.select(key, "symbol")).distinct()
 
 
 def sentiment_evidence(mentions: DataFrame, bullish: str, bearish: str, text: str = "text") -> DataFrame:
@@ -247,24 +291,25 @@ def preference_signals(events: DataFrame) -> DataFrame:
 BOOSTS = [("pos", "title", 0.03, 0.10), ("pos", "comp", 0.04, 0.10), ("pos", "loc", 0.02, 0.05), ("pos", "skill", 0.02, 0.06), ("neg", "title", -0.05, 0.15), ("neg", "comp", -0.08, 0.25), ("neg", "loc", -0.05, 0.15)]
 
 
-def preference_boost(postings: DataFrame, signals: DataFrame) -> DataFrame:
+def preference_boost(postings: DataFrame, signals: DataFrame, most: int | None = None) -> DataFrame:
     """Boost per user and posting, within -0.25 and 0.25. Values of a user's signals are matched by containment.
 
-    Texts repeat, so distinct texts meet distinct values first (on the first three characters of a value, then in full), and
-    rows and users come in by equal keys afterwards.
+    Texts repeat, so an automaton over the distinct values of each type reads the distinct texts, and rows and users come in by
+    equal keys afterwards. most: postings kept of a user, those with the largest boost (by default all that match, which
+    is a row for each user and posting).
     """
     attrs = postings.select("record_id", F.inline(F.concat(F.array(*[F.struct(F.lit(t).alias("type"), F.lower(F.trim(F.coalesce(col, F.lit("")))).alias("text")) for t, col in (("title", "title"), ("comp", "company"), ("loc", "location"))]), F.transform(F.split(F.lower(F.coalesce("skills", F.lit(""))), ","), lambda s: F.struct(F.lit("skill").alias("type"), F.trim(s).alias("text"))))))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.array(F.substring("text", i, F.lit(1)), F.substring("text", i, F.lit(2)), F.substring("text", i, F.lit(3)))))
-    tokens = attrs.select("type", "text").distinct().withColumn("w", F.explode(F.array_distinct(grams)))
-    values = signals.select("type", "value").distinct().withColumn("w", F.substring("value", 1, 3))
-    found = tokens.join(values, ["type", "w"]).filter(F.contains("text", "value")).select("type", "text", "value")
+    found = patterns.contained(attrs.select("type", "text").distinct(), "text", "text", signals.select("type", "value"), "value", group="type")
     met = attrs.join(found, ["type", "text"]).select("record_id", "type", "value").distinct().join(signals, ["type", "value"])
     amount = F.lit(0.0)
-    for polarity, kind, factor, most in BOOSTS:
-        signed = F.least(F.col("weight") * abs(factor), F.lit(most)) * (1 if factor > 0 else -1)
+    for polarity, kind, factor, cap in BOOSTS:
+        signed = F.least(F.col("weight") * abs(factor), F.lit(cap)) * (1 if factor > 0 else -1)
         amount = F.when((F.col("polarity") == polarity) & (F.col("type") == kind), signed).otherwise(amount)
     total = met.withColumn("amount", amount).groupBy("user_id", "record_id").agg(F.sum("amount").alias("b"))
-    return total.select("user_id", "record_id", F.greatest(F.least(F.col("b"), F.lit(0.25)), F.lit(-0.25)).alias("boost"))
+    out = total.select("user_id", "record_id", F.greatest(F.least(F.col("b"), F.lit(0.25)), F.lit(-0.25)).alias("boost"))
+    if most is None:
+        return out
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("boost"), "record_id"))).filter(F.col("place") <= most).drop("place")
 
 
 def soft_boost(items: DataFrame, signals: DataFrame) -> DataFrame:
