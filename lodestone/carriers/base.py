@@ -59,6 +59,13 @@ SELECT doc_id AS seq, CASE doc_id % 7 WHEN 0 THEN 'Daily report ' WHEN 1 THEN ''
   CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Record profit and growth for ' || substr(text, 20, 60) WHEN 2 THEN ' A probe after the loss of ' || substr(text, 40, 90) ELSE substr(text, 30, 120) END || CASE WHEN doc_id % 9 = 0 THEN ' before the merger' ELSE '' END AS summary,
   CASE WHEN doc_id % 8 > 0 THEN 'https://n' || CAST(doc_id % 40 AS STRING) || '.example.org/' || CAST(doc_id % 300 AS STRING) END AS url, 'E' || CAST(doc_id % 6 AS STRING) || ',E' || CAST(doc_id % 10 AS STRING) AS names,
   CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2026-03-10' WHEN 2 THEN '05/03/2026' WHEN 3 THEN 'soon' ELSE '2026-03-11T08:00:00Z' END AS date FROM {documents}""",
+    "job_pages": """
+SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'https://boards.greenhouse.io/acme-labs/jobs/' || CAST(page_id AS STRING) WHEN 1 THEN 'https://jobs.lever.co/beta/' || CAST(page_id AS STRING) WHEN 2 THEN 'https://careers.gammaworks.com/jobs/' || CAST(page_id AS STRING) || '?error=true&a=1'
+    WHEN 3 THEN 'https://www.linkedin.com/jobs/view/' || CAST(page_id AS STRING) WHEN 4 THEN 'https://apply.workable.com/zeta_group/j/A' || CAST(page_id AS STRING) WHEN 5 THEN 'https://boards.greenhouse.io/acme?error=true' WHEN 6 THEN 'https://www.site.org/login' WHEN 7 THEN '' ELSE 'https://delta.org/role/ai-' || CAST(page_id AS STRING) END AS url,
+  CASE page_id % 14 WHEN 0 THEN 'Acme Labs hiring Senior ML Engineer in Dubai | LinkedIn' WHEN 1 THEN 'Job Application for Data Scientist at Beta Corp' WHEN 2 THEN 'AI Engineer at Gamma Works' WHEN 3 THEN 'Forward Deployed Engineer - Delta' WHEN 4 THEN 'Beta - Research Intern'
+    WHEN 5 THEN 'Platform Architect | Zeta Group' WHEN 6 THEN 'Zeta Group | Sales Manager' WHEN 7 THEN 'Sign in' WHEN 8 THEN 'Acme Labs Careers' WHEN 9 THEN '12 AI engineer jobs in Riyadh' WHEN 10 THEN 'Careers at Beta' WHEN 11 THEN '[Lead Designer](https://x.org) openings' WHEN 12 THEN 'About our mission' ELSE 'LLM Developer - Careers' END AS title,
+  CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'A role based in Riyadh, SA for builders' WHEN 2 THEN NULL ELSE 'Join us' END AS description,
+  CASE page_id % 5 WHEN 0 THEN 'Location: Cairo, Egypt Overview of the team. Pay: $90,000 - $120,000 per year. Posted 3 days ago' WHEN 1 THEN 'Our London, UK office. 60k - 80k, contract, posted yesterday' WHEN 2 THEN '' WHEN 3 THEN '# Staff Analyst' || chr(10) || 'An internship; AED 9,000 / month' ELSE 'Open Positions. Part-time in Berlin' END || ' ' || substr(html, 120, 200) AS text FROM {pages}""",
     "rivals": """
 SELECT CAST(o_orderkey AS STRING) AS record_id, o_orderkey AS seq, 'Company ' || CAST(o_custkey AS STRING) AS company, CASE o_orderkey % 5 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Senior Data Engineer' WHEN 2 THEN 'Data Platform Engineer' WHEN 3 THEN 'Chef' ELSE 'Data Engineer, Riyadh' END AS title,
   CASE o_orderkey % 3 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Dubai' END AS location, CASE WHEN o_orderkey % 4 < 3 THEN 'k' || CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 2 AS STRING) END AS identity_key,

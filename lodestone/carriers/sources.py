@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.carriers.base import carrier, oracle, table
 from lodestone.carriers.web import CANON
+from lodestone.operators import pages as single
 from lodestone.plans.components import shared_folder
 from lodestone.sources import payloads as p
 from lodestone.sources import sinks
@@ -75,6 +76,7 @@ QUERIES = {
     "a10_heading_postings": lambda s, d: p.heading_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("# "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location"),
     "a13_sink_json": json_export,
     "a15_export_manifest": export,
+    "j10_posting_from_page": lambda s, d: single.posting_from_page(carrier(s, d, "job_pages"), "2026-03-12 00:00:00").drop("posted_age_seconds"),
     "j9_answer_sections": lambda s, d: p.answer_sections(headed(s, d)).select("doc_id", "place", "section_title", "summary", F.array_join("key_points", "|").alias("key_points")),
     "j7_technical_sections": lambda s, d: p.technical_sections(table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n## ").alias("text")), "the").select("doc_id", "pos", "heading", "has_code"),
     "j12_people_roles": lambda s, d: p.people_roles(table(s, d, "customer").selectExpr("c_custkey AS seq", "concat('P', c_custkey % 90, ' - ', CASE c_custkey % 3 WHEN 0 THEN 'Senior Recruiter' WHEN 1 THEN 'CTO' ELSE 'Clerk' END, ' - X') AS title", "c_mktsegment AS company", "concat('https://x/', c_custkey) AS url"), [("recruiter", "recruit"), ("executive", r"cto|ceo")]).select("company", "name", "role", "seq", "place"),
@@ -94,10 +96,41 @@ def flat(location: str, url: str, posted: str = "at_") -> str:
 
 
 
+def any_of(col: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+# The rules of a single page as one reads them down: readings in order, the first with a title, then the guards.
+GROUP = lambda pattern, k: f"trim(regexp_extract(shown, '{pattern.replace(chr(39), chr(39) * 2)}', {k}))"
+ENDS = lambda x, marks: f"regexp_replace({x}, '^[{marks}]+|[{marks}]+$', '', 'g')"
+FIRST = lambda x, pattern, k=1: f"trim(regexp_extract({x}, '{pattern.replace(chr(39), chr(39) * 2)}', {k}))"
+SLUG = lambda x: f"regexp_replace(lower({x}), '[ _]', '', 'g')"
+LETTERS = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+LISTED = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+NAMES = lambda x: f"(inf <> '' AND (contains({SLUG(x)}, {SLUG('inf')}) OR contains({SLUG('inf')}, {SLUG(x)})))"
+READING = lambda name, t, co, place="''": f"{{'n': '{name}', 't': {t}, 'c': {co}, 'l': {place}}}"
+TWO = lambda name, pattern, first: f"CASE WHEN {first} THEN {READING(name, GROUP(pattern, 2), GROUP(pattern, 1))} ELSE {READING(name, GROUP(pattern, 1), GROUP(pattern, 2))} END"
+SINGLE = oracle(
+    rf"""WITH b AS (SELECT page_id, url, trim(coalesce(title, '')) AS shown, trim(coalesce(description, '')) AS descr, text, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www\.', '') AS host FROM job_pages),
+i AS (SELECT *, string_split(host, '.') AS hp, regexp_extract(url, '(?:greenhouse\.io|lever\.co|ashbyhq\.com|workable\.com)/([^/?#]+)', 1) AS board FROM b WHERE NOT contains(url, '/login') OR descr <> '' OR contains(text, 'Open Positions')),
+n AS (SELECT *, CASE WHEN board <> '' THEN array_to_string(list_transform(string_split(regexp_replace(board, '[-_]', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') WHEN len(hp) >= 2 THEN upper(hp[-2][1]) || hp[-2][2:] ELSE host END AS inf FROM i),
+q AS (SELECT *, list_filter([{READING('company hiring role', GROUP(single.HIRING, 2), GROUP(single.HIRING, 1), GROUP(single.HIRING, 3))}, {READING('job application for role', GROUP(single.APPLICATION, 1), GROUP(single.APPLICATION, 2))}, {READING('role at company', GROUP(single.AT, 1), GROUP(single.AT, 2))},
+ {TWO('role - company', single.DASH, "contains(lower(url), 'lever.co') OR " + NAMES(GROUP(single.DASH, 1)))}, {TWO('role | company', single.PIPE, NAMES(GROUP(single.PIPE, 1)))}, {READING('whole title', 'shown', "''")}], lambda z: z.t <> '')[1] AS r FROM n),
+v AS (SELECT *, {ENDS(f"regexp_replace(regexp_replace(r.t, '{single.LINK}', '{chr(92)}1', 'g'), '{single.PHRASES}', '', 'g')", r" \-|:\[\]")} AS clean, CASE WHEN r.c = '' OR lower(r.c) IN {LISTED(single.PLATFORMS)} THEN CASE WHEN inf <> '' THEN inf ELSE 'Direct Employer' END ELSE r.c END AS company FROM q WHERE r IS NOT NULL),
+w AS (SELECT *, trim(lower(clean)) AS low, {ENDS(f"regexp_replace({FIRST('text', '(?m)^#' + chr(92) + 's+([^' + chr(92) + 'n' + chr(92) + 'r]+)')}, '{single.LINK}', '{chr(92)}1', 'g')", r" \-|:\[\]")} AS h1 FROM v),
+x AS (SELECT *, {any_of('low', single.ROLE_WORDS)} AS says, NOT {any_of('low', single.ROLE_WORDS)} AND {any_of('lower(h1)', single.ROLE_WORDS)} AS by_h FROM w WHERE low <> '' AND low NOT IN {LISTED(single.NO_TITLES + single.BRANDS)} AND NOT {any_of('low', single.PROFILE_WORDS + single.LOGIN_WORDS)}
+ AND NOT ({LETTERS('clean')} <> '' AND {LETTERS('company')} <> '' AND {LETTERS('clean')} IN ({LETTERS('company')}, {LETTERS('company')} || 'careers', {LETTERS('company')} || 'jobs'))),
+l AS (SELECT *, {ENDS("regexp_replace(" + ENDS("CASE WHEN contains(low, 'jobs in ') THEN regexp_replace(clean, '(?i)" + chr(92) + "s+jobs in" + chr(92) + "s+.*$', '') ELSE regexp_replace(clean, '(?i)^" + chr(92) + "d+" + chr(92) + "+?" + chr(92) + "s+([a-zA-Z" + chr(92) + "s]+?)" + chr(92) + "s+jobs.*$', '" + chr(92) + "1') END", r" \-|:") + ", '(?i)" + chr(92) + "s+jobs" + chr(92) + "s*$', '')", r" \-|:")} AS role FROM x),
+p AS (SELECT *, list_filter([{FIRST('descr', single.NAMED_PLACE)}, r.l, {FIRST('text', single.PLACE_LINE)}, {FIRST('text', single.CITIES)}], lambda z: z <> '')[1] AS place FROM l WHERE says OR by_h OR {any_of('lower(url)', single.SYSTEMS)})
+SELECT page_id, CASE WHEN by_h THEN h1 WHEN role = '' OR lower(role) IN ('jobs', 'careers') THEN 'Open Role' ELSE role END AS title, company, coalesce({ENDS(f"regexp_replace(place, '{single.PLACE_END}', '')", r" ,\-|:")}, 'Remote / Unspecified') AS location, nullif({FIRST('text', single.PAY)}, '') AS salary, nullif(regexp_extract(text, '{single.AGE}', 0), '') AS posted,
+ CASE WHEN contains(lower(clean), 'intern') OR contains(lower(text), 'internship') THEN 'Internship' WHEN contains(lower(text), 'contract') THEN 'Contract' WHEN contains(lower(text), 'part-time') THEN 'Part-time' ELSE 'Full-time' END AS employment_type,
+ CASE WHEN contains(url, 'acme?error') THEN NULL WHEN contains(url, 'error=true') THEN replace(url, 'error=true&', '') ELSE url END AS application_url, host AS source, CASE WHEN by_h THEN 'first heading' ELSE r.n END AS convention FROM p""", "job_pages",
+)
 NOISE = "|".join(p.NO_ANSWER)
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 ORACLES = {
+    "j10_posting_from_page": SINGLE,
     "j9_answer_sections": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '(?m)^(.{{1,40}})$', '## \\1', 'g') END AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM x),
  k AS (SELECT doc_id, pos, {STRIP.format('line')} AS s FROM l), h AS (SELECT *, regexp_replace(s, '^#+\\s*', '') AS h, starts_with(s, '#') AND length(h) BETWEEN 1 AND 89 AS top FROM k), n AS (SELECT *, sum(CAST(top AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM h),
  g AS (SELECT doc_id, sec, max(h) FILTER (top) AS heading, string_agg(s, chr(10) ORDER BY pos) FILTER (NOT top AND s <> '') AS body FROM n WHERE sec > 0 GROUP BY 1, 2 HAVING body IS NOT NULL), b AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS q, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS sec FROM x WHERE doc_id NOT IN (SELECT doc_id FROM g)),
