@@ -66,6 +66,11 @@ SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'https://boards.greenhouse.io/acme-
     WHEN 5 THEN 'Platform Architect | Zeta Group' WHEN 6 THEN 'Zeta Group | Sales Manager' WHEN 7 THEN 'Sign in' WHEN 8 THEN 'Acme Labs Careers' WHEN 9 THEN '12 AI engineer jobs in Riyadh' WHEN 10 THEN 'Careers at Beta' WHEN 11 THEN '[Lead Designer](https://x.org) openings' WHEN 12 THEN 'About our mission' ELSE 'LLM Developer - Careers' END AS title,
   CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'A role based in Riyadh, SA for builders' WHEN 2 THEN NULL ELSE 'Join us' END AS description,
   CASE page_id % 5 WHEN 0 THEN 'Location: Cairo, Egypt Overview of the team. Pay: $90,000 - $120,000 per year. Posted 3 days ago' WHEN 1 THEN 'Our London, UK office. 60k - 80k, contract, posted yesterday' WHEN 2 THEN '' WHEN 3 THEN '# Staff Analyst' || chr(10) || 'An internship; AED 9,000 / month' ELSE 'Open Positions. Part-time in Berlin' END || ' ' || substr(html, 120, 200) AS text FROM {pages}""",
+    "guides": """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://www.alpha.com/pricing' WHEN 1 THEN 'https://beta.io/x' WHEN 2 THEN '' ELSE 'https://docs.gamma.co.uk/y' END AS url, 'Delta Pricing - Plans | x' AS title, CASE WHEN doc_id % 5 = 4 THEN text ELSE
+  '# Alpha ' || CAST(doc_id AS STRING) || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'Free tier for developers, billed per seat' WHEN 1 THEN 'Open source under the MIT license' WHEN 2 THEN 'Usage-based at $19/month for enterprise teams' WHEN 3 THEN 'Contact sales for the compliance plan' WHEN 4 THEN 'Strengths: branches; $7 / user' ELSE 'Made for a small business' END
+  || chr(10) || '- Fast branches for every team' || chr(10) || '* short' || chr(10) || '  ## 2. ' || regexp_extract(text, '^([^ ]* ?[^ ]* ?[^ ]*)', 1) || chr(10) || substr(text, 1, 400) || chr(10) || 'PIPELINE STREAM NOTES' || chr(10) || substr(text, 50, 200) || chr(10) || 'Key components:' || chr(10) || '• Retry and caching in production'
+  || chr(10) || 'x = chain | step' || chr(10) || 'This and that for:' || chr(10) || '# Privacy' || chr(10) || 'words about the cookie' || chr(10) || '# docs / Key components' || chr(10) || 'Seen before, so this section is left out' || chr(10) || '# Empty' END AS text FROM {documents}""",
     "rivals": """
 SELECT CAST(o_orderkey AS STRING) AS record_id, o_orderkey AS seq, 'Company ' || CAST(o_custkey AS STRING) AS company, CASE o_orderkey % 5 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Senior Data Engineer' WHEN 2 THEN 'Data Platform Engineer' WHEN 3 THEN 'Chef' ELSE 'Data Engineer, Riyadh' END AS title,
   CASE o_orderkey % 3 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Dubai' END AS location, CASE WHEN o_orderkey % 4 < 3 THEN 'k' || CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 2 AS STRING) END AS identity_key,

@@ -11,7 +11,7 @@ from lodestone.carriers.web import CANON
 from lodestone.operators import pages as single
 from lodestone.plans.components import shared_folder
 from lodestone.sources import payloads as p
-from lodestone.sources import sinks
+from lodestone.sources import sections, sinks
 from lodestone.streaming import jobs
 
 
@@ -72,13 +72,14 @@ QUERIES = {
     **{f"a{i}_{kind}_postings": reader(kind) for i, kind in enumerate(ROWS, 1)},
     "a6_page_text": lambda s, d: p.page_text(table(s, d, "pages")).select("page_id", "title", F.length("text").alias("n_chars")),
     "a8_jsonld_postings": lambda s, d: p.jsonld_postings(postings(s, d).select(F.col("seq").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(F.expr("named_struct('@type', IF(seq % 3 = 0, 'Article', 'JobPosting'), 'title', title, 'datePosted', at, 'hiringOrganization', named_struct('name', company), 'jobLocation', array(named_struct('address', named_struct('addressLocality', location, 'addressCountry', 'X'))))")), F.lit("</script></html>")).alias("html"))).select("page_id", "title", "company", "location", "posted_at"),
-    "a9_section_postings": lambda s, d: p.section_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("## "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\nApply: https://x/"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location", "url"),
-    "a10_heading_postings": lambda s, d: p.heading_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("# "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location"),
+    "a9_section_postings": lambda s, d: sections.section_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("## "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\nApply: https://x/"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location", "url"),
+    "a10_heading_postings": lambda s, d: sections.heading_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("# "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location"),
     "a13_sink_json": json_export,
     "a15_export_manifest": export,
     "j10_posting_from_page": lambda s, d: single.posting_from_page(carrier(s, d, "job_pages"), "2026-03-12 00:00:00").drop("posted_age_seconds"),
     "j9_answer_sections": lambda s, d: p.answer_sections(headed(s, d)).select("doc_id", "place", "section_title", "summary", F.array_join("key_points", "|").alias("key_points")),
-    "j7_technical_sections": lambda s, d: p.technical_sections(table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n## ").alias("text")), "the").select("doc_id", "pos", "heading", "has_code"),
+    "j7_technical_sections": lambda s, d: sections.technical_sections(carrier(s, d, "guides"), "the architecture of stream chain words").withColumn("points", F.array_join("points", "|")),
+    "j8_competitor_profiles": lambda s, d: sections.competitor_profiles(carrier(s, d, "guides")).withColumn("key_features", F.array_join("key_features", "|")),
     "j12_people_roles": lambda s, d: p.people_roles(table(s, d, "customer").selectExpr("c_custkey AS seq", "concat('P', c_custkey % 90, ' - ', CASE c_custkey % 3 WHEN 0 THEN 'Senior Recruiter' WHEN 1 THEN 'CTO' ELSE 'Clerk' END, ' - X') AS title", "c_mktsegment AS company", "concat('https://x/', c_custkey) AS url"), [("recruiter", "recruit"), ("executive", r"cto|ceo")]).select("company", "name", "role", "seq", "place"),
     "l1_stream_unseen": lambda s, d: jobs.run_available(jobs.stream_unseen(stream(s, d, "pages").withColumn("ts", F.timestamp_seconds(F.col("page_id") + 1000000)), "ts"), place(s)).select("canonical_url"),
     "l2_stream_productivity": lambda s, d: jobs.scored(jobs.run_available(jobs.stream_productivity(stream(s, d, "events").withColumn("source", F.concat(F.lit("source"), F.col("user_id") % 12))), place(s), "complete")).select("source", "unique", "qualified", F.round("productivity", 9).alias("productivity")),
@@ -129,8 +130,37 @@ SELECT page_id, CASE WHEN by_h THEN h1 WHEN role = '' OR lower(role) IN ('jobs',
 NOISE = "|".join(p.NO_ANSWER)
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
+# Sections by a running count of headings over the lines, then the gates one after the other.
+LINES = f"""WITH l AS (SELECT *, {STRIP.format('unnest(string_split(text, chr(10)))')} AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM guides), """
+SECTIONS = """n AS (SELECT *, sum(CAST(h IS NOT NULL AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM m), g AS (SELECT doc_id, any_value(url) AS url, sec, max(h) AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h IS NULL), '') AS body, list(line ORDER BY pos) FILTER (h IS NULL) AS ls FROM n WHERE sec > 0 GROUP BY doc_id, sec)"""
+AFTER = lambda x, marks: f"regexp_replace({x}, '{marks}', '')"
+STEPS = lambda low, steps, default: "CASE " + " ".join(f"WHEN {any_of(low, words)} THEN '{label}'" for label, words in steps) + f" ELSE '{default}' END"
+CONCEPTS = oracle(
+    LINES + f"""m AS (SELECT *, CASE WHEN length(h0) > 2 THEN h0 END AS h FROM (SELECT *, CASE WHEN starts_with(line, '#') THEN regexp_replace(line, '^#+\\s*', '') WHEN line = upper(line) AND line <> lower(line) AND length(line) BETWEEN 5 AND 59 THEN line
+ WHEN ends_with(line, ':') AND length(line) BETWEEN 5 AND 49 AND regexp_matches(line, '^\\p{{Lu}}') AND len(string_split(line, ' ')) <= 6 AND NOT regexp_matches(lower(line), '^(?:{"|".join(sections.CLAUSE_STARTS)})') AND NOT regexp_matches(lower(line), '(?:{"|".join(sections.CLAUSE_ENDS)}):$') THEN rtrim(line, ':') END AS h0 FROM l WHERE line <> '')),
+{SECTIONS}, a AS (SELECT *, lower(heading || ' ' || body) AS low, regexp_replace(trim(string_split(heading, '/')[-1]), '^[0-9.\\-\\s]+', '') AS name FROM g WHERE length(body) >= 30),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY sec) AS again FROM a WHERE NOT {any_of('low', sections.EMPTY_TALK + sections.SELLING)} AND name <> '' AND length(name) <= 80 AND NOT regexp_matches(lower(name), '^(?:{"|".join(sections.NAME_STARTS + sections.LABELS)})') AND NOT regexp_matches(lower(name), '(?:{"|".join(sections.NAME_ENDS)})$')
+ AND lower(name) NOT IN ('leo', 'xl', 'metadata') AND {any_of("(lower(name) || chr(10) || lower(body))", ['chain', 'stream', 'words'])}),
+c AS (SELECT *, list_filter(list_transform(regexp_split_to_array(body, '[.\\n]'), lambda x: {STRIP.format('x')}), lambda x: length(x) > 20) AS ss, list_filter(list_transform(regexp_extract_all(body, '{sections.BULLETS}', 1)[1:4], lambda x: {STRIP.format('x')}), lambda x: length(x) BETWEEN 11 AND 139) AS bs,
+ list_filter(ls, lambda x: regexp_matches(x, 'import |from | = |\\||runnable|chain')) AS cs FROM b WHERE again = 1)
+SELECT doc_id, sec AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS place, name AS heading, {STEPS('low', sections.CATEGORIES, 'Architecture & Primitives')} AS category, CASE WHEN length(coalesce(ss[1], body[1:150])) > 240 THEN ss[1][1:237] || '...' ELSE coalesce(ss[1], body[1:150]) END AS definition,
+ array_to_string(CASE WHEN len(bs) > 0 THEN bs ELSE list_transform(ss[2:4], lambda x: x[1:120]) END, '|') AS points, CASE WHEN regexp_matches(body, 'def |import |from |class | = |\\|') AND len(cs) > 0 THEN array_to_string(cs[1:6], chr(10)) END AS code FROM c""", "guides",
+)
+RIVALS = oracle(
+    LINES + f"""m AS (SELECT *, CASE WHEN starts_with(line, '#') AND length(regexp_replace(line, '^#+\\s*', '')) BETWEEN 1 AND 59 THEN regexp_replace(line, '^#+\\s*', '') END AS h FROM l WHERE line <> ''), {SECTIONS},
+f AS (SELECT doc_id, sec, url, regexp_replace(heading, '^[0-9.\\-\\s]+', '') AS name, body FROM g WHERE body <> '' AND length(heading) BETWEEN 3 AND 50 AND NOT {any_of('lower(heading)', sections.NO_RIVALS)} AND name <> '' AND lower(name) NOT IN ('leo', 'xl', 'metadata')),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM f), e AS (SELECT doc_id, sec, url, name, body FROM k WHERE n > 1 UNION ALL SELECT doc_id, 1, url, CASE doc_id % 4 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'Beta' WHEN 2 THEN 'Delta' ELSE 'Docs' END, text FROM guides WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM k WHERE n > 1)),
+p AS (SELECT *, lower(body) AS low, {STEPS('lower(body)', sections.PRICING, 'Subscription / Tiered')} AS pricing_model, trim(regexp_extract(body, '{sections.PRICE_TAG}', 1)) AS tag, list_filter(list_transform(regexp_extract_all(body, '{sections.BULLETS}', 1), lambda x: {STRIP.format('x')}), lambda x: length(x) BETWEEN 11 AND 139 AND NOT {any_of('lower(x)', sections.NO_RIVALS)}) AS bs,
+ list_filter(list_transform(regexp_split_to_array(body, '[.\\n]'), lambda x: {STRIP.format('x')}), lambda x: length(x) BETWEEN 21 AND 149)[1:4] AS ss, trim(regexp_extract(body, '{sections.STRENGTH_LINE}', 1)) AS line FROM e), q AS (SELECT *, CASE WHEN len(bs) > 0 THEN bs ELSE ss END AS fs FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS place, name AS company_name, pricing_model, CASE WHEN lower(tag) = 'free' THEN 'Free / $0' WHEN tag <> '' THEN tag WHEN pricing_model = 'Open Source / Self-Hosted' THEN 'Free (Open Source)' ELSE 'Free Tier Available' END AS starting_price, {STEPS('low', sections.AUDIENCES, 'Startups & Engineering Teams')} AS target_audience,
+ CASE WHEN len(fs) > 0 THEN array_to_string(fs[1:5], '|') ELSE name || ' core capability|API access|Team collaboration' END AS key_features, CASE WHEN line <> '' THEN line WHEN len(fs) > 0 THEN 'Key capabilities include ' || fs[1] ELSE 'Authoritative architecture, transparent ' || lower(pricing_model) || ', and dedicated developer ergonomics.' END AS strengths, url AS website_url FROM q""", "guides",
+)
+
+
 ORACLES = {
     "j10_posting_from_page": SINGLE,
+    "j7_technical_sections": CONCEPTS,
+    "j8_competitor_profiles": RIVALS,
     "j9_answer_sections": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '(?m)^(.{{1,40}})$', '## \\1', 'g') END AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM x),
  k AS (SELECT doc_id, pos, {STRIP.format('line')} AS s FROM l), h AS (SELECT *, regexp_replace(s, '^#+\\s*', '') AS h, starts_with(s, '#') AND length(h) BETWEEN 1 AND 89 AS top FROM k), n AS (SELECT *, sum(CAST(top AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM h),
  g AS (SELECT doc_id, sec, max(h) FILTER (top) AS heading, string_agg(s, chr(10) ORDER BY pos) FILTER (NOT top AND s <> '') AS body FROM n WHERE sec > 0 GROUP BY 1, 2 HAVING body IS NOT NULL), b AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS q, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS sec FROM x WHERE doc_id NOT IN (SELECT doc_id FROM g)),
@@ -144,8 +174,8 @@ ORACLES = {
     "a4_workable_postings": flat("coalesce(CASE WHEN seq % 2 = 0 THEN location END, 'X')", "'https://apply.workable.com/' || company || '/j/' || id || '/'"),
     "a5_smartrecruiters_postings": flat("concat_ws(', ', location, 'X')", "'https://jobs.smartrecruiters.com/' || company || '/' || id"),
     "a8_jsonld_postings": oracle(f"WITH {BASE} SELECT seq AS page_id, title, firm AS company, concat_ws(', ', location, 'X') AS location, at_ AS posted_at FROM p WHERE seq % 3 <> 0", "postings"),
-    "a9_section_postings": oracle("WITH r AS (SELECT seq % 900 AS doc_id, row_number() OVER (PARTITION BY seq % 900 ORDER BY seq) AS pos, title, 'L' || seq AS location, 'https://x/' || seq AS url FROM postings) SELECT * FROM r WHERE pos <= 25", "postings"),
-    "a10_heading_postings": oracle("WITH r AS (SELECT seq % 900 AS doc_id, row_number() OVER (PARTITION BY seq % 900 ORDER BY seq) AS pos, title, 'L' || seq AS location FROM postings), h AS (SELECT * FROM r WHERE regexp_matches(lower(title), 'engineer|developer|manager|analyst|scientist|designer')) SELECT * FROM h WHERE pos <= 20 AND doc_id IN (SELECT doc_id FROM h GROUP BY 1 HAVING count(*) >= 2)", "postings"),
+    "a9_section_postings": oracle("WITH r AS (SELECT seq % 900 AS doc_id, row_number() OVER (PARTITION BY seq % 900 ORDER BY seq) AS pos, title, 'L' || seq AS location, 'https://x/' || seq AS url FROM postings) SELECT * FROM r", "postings"),
+    "a10_heading_postings": oracle(f"WITH r AS (SELECT seq % 900 AS doc_id, seq, {ENDS(FIRST('title', sections.ROLE_LINE), r' ' + chr(92) + '-—:|#')} AS title FROM postings), h AS (SELECT doc_id, title, 'L' || seq AS location, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM r WHERE length(title) BETWEEN 6 AND 80), g AS (SELECT doc_id, arg_min(title, pos) AS title, arg_min(location, pos) AS location, min(pos) AS first_at FROM h GROUP BY doc_id, lower(title)) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_at) AS pos, title, location FROM g QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2", "postings"),
     "a13_sink_json": oracle("SELECT p.record_id, coalesce(e.n, 0) AS n_evidence FROM postings p LEFT JOIN (SELECT record_id, count(*) AS n FROM evidence GROUP BY 1) e ON e.record_id = p.record_id WHERE status = 'verified'", "postings", "evidence"),
     "a15_export_manifest": oracle("SELECT count(*) AS rows, true AS written FROM postings WHERE status = 'verified'", "postings"),
     "j12_people_roles": "WITH r AS (SELECT c_mktsegment AS company, 'P' || (c_custkey % 90) AS name, CASE c_custkey % 3 WHEN 0 THEN 'recruiter' WHEN 1 THEN 'executive' END AS role, c_custkey AS seq FROM customer WHERE c_custkey % 3 < 2), f AS (SELECT company, name, min(seq) AS seq, arg_min(role, seq) AS role FROM r GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY seq) AS place FROM f) SELECT company, name, role, seq, place FROM p WHERE place <= 5",

@@ -123,31 +123,6 @@ def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     return pages.select(key, html).mapInPandas(run, f"{key} long, title string, description string, text string")
 
 
-def section_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 25) -> DataFrame:
-    """Roles of documents that list many: `## ` sections with Location, Apply and Posted lines."""
-    parts = docs.select(key, F.posexplode(F.split(text, r"(?m)^##\s+")).alias("pos", "s")).filter("pos > 0")
-    line = lambda name: F.nullif(F.trim(F.regexp_extract("s", rf"(?im)^\W*{name}\W*:\s*(.+)$", 1)), F.lit(""))
-    rows = parts.select(key, "pos", F.trim(F.substring_index("s", "\n", 1)).alias("title"), line("location").alias("location"), line("apply").alias("url"), line("posted").alias("posted_at"))
-    return rows.filter((F.col("title") != "") & (F.col("location").isNotNull() | F.col("url").isNotNull()) & (F.col("pos") <= most))
-
-
-def heading_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", role: str = r"engineer|developer|manager|analyst|scientist|designer", most: int = 20) -> DataFrame:
-    """One posting for each role-like heading of documents that have two or more."""
-    parts = docs.select(key, F.posexplode(F.split(text, r"(?m)^#{1,4}\s+")).alias("pos", "s")).filter("pos > 0")
-    rows = parts.select(key, "pos", F.trim(F.substring_index("s", "\n", 1)).alias("title"), F.nullif(F.regexp_extract("s", r"(?i)location\W+([^\n]+)", 1), F.lit("")).alias("location"), F.nullif(F.regexp_extract("s", r"(?i)salary\W+([^\n]+)", 1), F.lit("")).alias("salary")).filter(F.lower("title").rlike(role))
-    many = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n >= 2").select(key)
-    return rows.join(many, key, "left_semi").filter(F.col("pos") <= most)
-
-
-def technical_sections(docs: DataFrame, topic: str, key: str = "doc_id", text: str = "text", most: int = 6) -> DataFrame:
-    """Headed sections that name the topic: heading, first sentence, bullets, whether there is code."""
-    parts = docs.select(key, F.posexplode(F.split(text, r"(?m)^#{1,4}\s+")).alias("pos", "s")).filter((F.col("pos") > 0) & F.contains(F.lower("s"), F.lit(topic.lower())))
-    body = F.regexp_replace("s", r"^[^\n]*\n?", "")
-    rows = parts.select(key, "pos", F.trim(F.substring_index("s", "\n", 1)).alias("heading"), F.trim(F.substring_index(body, ".", 1)).alias("definition"), F.regexp_extract_all("s", F.lit(r"(?m)^\s*[-*]\s+(.+)$"), 1).alias("points"), F.contains("s", F.lit("```")).alias("has_code")).filter(~F.lower("heading").rlike("subscribe|cookie|pricing|sign up|newsletter"))
-    ranked = rows.withColumn("place", F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY pos)"))
-    return ranked.filter(F.col("place") <= most).drop("place")
-
-
 # Words that mark a section as no answer, and titles that are none.
 NO_ANSWER = [
     "cookie", "privacy", "terms", "sign in", "login", "subscribe", "footer", "header", "navigation", "search", "table of contents", "faq", "frequently asked", "resources", "related posts", "about us", "contact us", "author", "categories", "user agreement", "disclaimer",

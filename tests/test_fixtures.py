@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import columns as c
 from lodestone.operators import evidence, listings, news, postings, resolve, series
 from lodestone.plans.components import connected_components
-from lodestone.sources import payloads
+from lodestone.sources import payloads, sections
 
 
 def one(spark, column):
@@ -138,9 +138,50 @@ def test_page_text(spark):
 
 
 def test_technical_sections(spark):
-    text = "intro\n# Spark joins\nA join meets keys. More.\n- one\n- two\n# Pricing of joins\nmoney\n# Other\nnothing"
-    rows = payloads.technical_sections(spark.createDataFrame([(1, text)], "doc_id long, text string"), "joins").collect()
-    assert [(r["heading"], r["definition"], r["points"]) for r in rows] == [("Spark joins", "A join meets keys", ["one", "two"])]
+    text = "intro\n# 1. Spark joins\nA join meets keys of two tables. More.\n- one more point here\n- two\n# Pricing of joins\nenroll now for a discount on the joins course\n# Other\nnothing of that kind, though it is long\nQUERY PLANS\nthe batch joins run as tasks, x = scan | filter\n# docs / Spark joins\nseen before under the same name, joins"
+    rows = sections.technical_sections(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), "overview of joins").collect()
+    assert [(r["place"], r["heading"], r["category"], r["points"]) for r in rows] == [(1, "Spark joins", "Architecture & Primitives", ["one more point here"]), (2, "QUERY PLANS", "Execution Protocols & Methods", [])]
+    assert rows[0]["definition"] == "A join meets keys of two tables" and rows[1]["code"] == "the batch joins run as tasks, x = scan | filter"
+
+
+def test_competitors(spark):
+    text = """
+    # Supabase
+    The open source alternative with a database. Pricing starts with a generous free tier.
+    - Free tier: $0/month includes 500MB
+    - Enterprise: custom volume pricing, SOC2
+    Strengths: Full access, SQL first
+    # Cookie notice
+    text
+    # Neon Serverless
+    - Launch plan: $19/month usage-based
+    """
+    rows = [(1, text, "https://supabase.com/pricing", "x"), (2, "Only prose for developers", "https://www.neon.co.uk/", ""), (3, "Prose", None, "Beta Pricing - now"), (4, None, None, None)]
+    found = sections.competitor_profiles(spark.createDataFrame(rows, "doc_id long, text string, url string, title string")).orderBy("doc_id", "place").collect()
+    assert [(r["doc_id"], r["company_name"], r["pricing_model"], r["starting_price"], r["target_audience"]) for r in found] == [
+        (1, "Supabase", "Open Source / Self-Hosted", "Free / $0", "Enterprise & High-Growth Scaleups"),
+        (1, "Neon Serverless", "Usage-Based / Pay-As-You-Go", "$19/mo", "Startups & Engineering Teams"),
+        (2, "Neon", "Subscription / Tiered", "Free Tier Available", "Developers & Technical Teams"), (3, "Beta", "Subscription / Tiered", "Free Tier Available", "Startups & Engineering Teams"),
+    ]
+    assert found[0]["strengths"] == "Full access, SQL first" and found[0]["key_features"][0] == "Free tier: $0/month includes 500MB"
+
+
+def test_listed_roles_behind_plain_sections(spark):
+    """Numbers and limits count postings, not the sections before them."""
+    plain = "".join(f"## About {i}\nnothing\n" for i in range(30))
+    roles = "".join(f"## Engineer {i}\nLocation: {'Riyadh' if i else 'Pune, India'}\nApply: https://x.org/{'people/' if i == 2 else ''}{i}\n" for i in range(4))
+    docs = spark.createDataFrame([(1, plain + roles), (2, None)], "doc_id long, text string")
+    found = lambda **k: [(r["place"], r["title"]) for r in sections.section_postings(docs, **k).orderBy("place").collect()]
+    assert found() == [(1, "Engineer 0"), (2, "Engineer 1"), (3, "Engineer 3")]
+    assert found(most=2) == [(1, "Engineer 0"), (2, "Engineer 1")] and found(geography="UAE") == [(1, "Engineer 1"), (2, "Engineer 3")]
+    assert found(topic="chef jobs") == [] and len(found(topic="engineer in dubai")) == 2 and len(found(topic="engineer")) == 3
+
+
+def test_roles_in_headings(spark):
+    text = "# Join our Data Engineer crew\n# Careers\n## Staff ML Engineer\nLocation: Riyadh\nPays $90,000\n- Data Scientist, NLP\nbased in Berlin, Germany\n## Staff ML Engineer\n"
+    docs = spark.createDataFrame([(1, text), (2, "# Data Engineer\nalone"), (3, None)], "doc_id long, text string")
+    rows = sections.heading_postings(docs).orderBy("place").collect()
+    assert [(r["doc_id"], r["title"], r["location"], r["salary"]) for r in rows] == [(1, "Staff ML Engineer", "Riyadh", "$90,000"), (1, "Data Scientist, NLP", "Berlin, Germany", None)]
 
 
 def test_answer_sections(spark):
