@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import join_skewed, slices, stored
+from lodestone.llm.common import dropped, join_skewed, slices, stored
 from lodestone.plans.components import connected_components
 
 SEED = 42
@@ -337,37 +337,40 @@ def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
     for end in "ab":
         links = links.join(prints.select(F.col("f0").alias(f"{end}0"), F.col("f1").alias(f"{end}1"), F.col("least").alias(end)), [f"{end}0", f"{end}1"])
     same = nodes.join(prints, LANES).filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.lit(0).alias("distance"))
-    return stored(links.select("a", "b", "distance").unionByName(same), "near-links")
+    found = stored(links.select("a", "b", "distance").unionByName(same), "near-links")
+    dropped(prints)
+    return found
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """node, grams (the distinct shingle hashes, sorted, as bytes) and size (their number) for rows of node and text."""
+def shingle_sets(asked: DataFrame, width: int) -> DataFrame:
+    """asked with grams (the distinct shingle hashes, sorted, as bytes) and size (their number) instead of text."""
+    kept = asked.select("node", "component", *LANES, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             grams = [np.unique(shingle_hashes((t or b"").lower().split(), width)) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([len(g) for g in grams], pa.int64())], names=["node", "grams", "size"])
+            made = [pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([len(g) for g in grams], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=["node", "component", *LANES, "grams", "size"])
 
-    return rows.mapInArrow(run, "node long, grams binary, size long")
+    return kept.mapInArrow(run, "node long, component long, f0 long, f1 long, grams binary, size long")
 
 
-def verified_links(nodes: DataFrame, candidates: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+def verified_links(asked: DataFrame, width: int, similarity: float) -> DataFrame:
     """a, b: a spanning forest of the pairs whose shingle sets have that Jaccard similarity, within components of candidates.
 
+    asked: node, text, component and lanes of the nodes that have a candidate.
     A component of candidates is searched anew by the tree, with the sets at hand: a pair within the radius is joined only if
     its sets are similar, so no pair hides behind a link that doesn't hold, and only pairs of parts that are joined already
     are passed over. The radius is wider than that of the candidates, as a pair costs a comparison and no row. A component with
     more than SHINGLES hashes is split into parts by hash; each part is searched by itself, and each pair of parts across.
     """
-    labels = connected_components(candidates)
-    sets = shingle_sets(labels.select(F.col("node").alias("row")).join(rows.select("row", F.coalesce("d.text", F.lit("")).alias("text")), "row").select(F.col("row").alias("node"), "text"), width)
-    held = stored(sets.join(labels, "node").join(nodes.select("node", *LANES), "node"), "near-sets")
+    held = stored(shingle_sets(asked, width), "near-sets")
     parts = F.ceil(F.sum("size") / SHINGLES).cast("int")
-    count = held.groupBy("component").agg(F.greatest(parts, F.lit(1)).alias("parts"))
+    large = stored(held.groupBy("component").agg(parts.alias("parts")).filter("parts > 1"), "near-large")  # few: the sets stay where they are
     own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, own).alias("lo"), F.greatest(o, own).alias("hi"), (own < o).alias("low_side")))
     group_by = ["component", "lo", "hi"]
-    paired = held.join(count, "component").select("component", "node", "grams", *LANES, F.inline(pairs)).repartition(*group_by).sortWithinPartitions(*group_by)
+    paired = held.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("component", "node", "grams", *LANES, F.inline(pairs)).repartition(*group_by).sortWithinPartitions(*group_by)
     share = differing_share(similarity)
     radius = math.ceil(128 * share + 4 * math.sqrt(128 * share * (1 - share)))
 
@@ -408,7 +411,9 @@ def verified_links(nodes: DataFrame, candidates: DataFrame, rows: DataFrame, wid
         if sum(x.num_rows for x in held) > 1:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    return stored(paired.mapInArrow(run, "a long, b long"), "near-verified")
+    sure = stored(paired.mapInArrow(run, "a long, b long"), "near-verified")
+    dropped(held)
+    return sure
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -426,10 +431,19 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     rows = texts_with_marks(docs, width)
     place = F.struct(F.col("d.doc_id").isNull().alias("no_id"), F.coalesce("d.doc_id", F.lit(0)).alias("id"), F.col("row").alias("row"))
     nodes = stored(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(place).alias("least"), *[F.first(c).alias(c) for c in LANES]), "near-nodes")
-    sure = verified_links(nodes, candidate_links(nodes.select("node", *LANES), similarity), rows, width, similarity)
-    named = nodes.join(connected_components(sure), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = stored(named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "near-kept")
-    return rows.join(kept, "row", "left_semi").select("d.*")
+    candidates = candidate_links(nodes.select("node", *LANES), similarity)
+    labels = connected_components(candidates)
+    # copies go here, and rows are shuffled whole this once; what has no candidate stays as it is from here on
+    named = nodes.join(labels, "node", "left").select("node", "component", "least", *LANES, F.col("least.row").alias("row"))
+    left = stored(rows.select("row", "d").join(named, "row"), "near-left")
+    dropped(rows)
+    dropped(candidates)
+    asked = left.filter("component is not null")
+    sure = verified_links(asked.select("node", "component", *LANES, F.coalesce("d.text", F.lit("")).alias("text")), width, similarity)
+    parts = asked.select("node", "row", "least").join(connected_components(sure).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    kept = stored(parts.groupBy("part").agg(F.min("least").alias("least")).select(F.col("least.row").alias("row")), "near-kept")
+    dropped(nodes)
+    return left.filter("component is null").select("d.*").unionByName(asked.join(kept, "row", "left_semi").select("d.*"))
 
 
 def op8(docs: DataFrame) -> DataFrame:
