@@ -36,12 +36,12 @@ def prefs(s, d):
 
 def seekers(s, d):
     named = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return named.selectExpr("s_suppkey AS cand", "s_nationkey % 5 AS segment", "CASE s_suppkey % 3 WHEN 0 THEN array('SQL', 'python') ELSE array(' sql') END AS explicit_skills", "array('spark') AS inferred_skills", "s_suppkey % 9 AS max_years", "array(n_name) AS want_places")
+    return named.selectExpr("s_suppkey AS cand", "s_nationkey % 5 AS segment", "CASE s_suppkey % 4 WHEN 0 THEN array('SQL', 'python') WHEN 1 THEN array(' sql') WHEN 2 THEN array('Machine Learning') END AS explicit_skills", "array('spark', 'go') AS inferred_skills", "CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 9 END AS max_years", "CASE WHEN s_suppkey % 6 > 0 THEN array(n_name) END AS want_places")
 
 
 def openings(s, d):
     named = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.selectExpr("c_custkey AS opp", "c_nationkey % 5 AS segment", "CASE c_custkey % 4 WHEN 0 THEN array('sql') WHEN 1 THEN array('SQL') WHEN 2 THEN array('go') ELSE array('python', 'spark') END AS has_skills", "CASE c_custkey % 4 WHEN 1 THEN 'Python developer' WHEN 3 THEN 'SQL analyst' ELSE 'Engineer' END AS title", "c_mktsegment AS description", "n_name AS location", "c_custkey % 12 AS years")
+    return named.selectExpr("c_custkey AS opp", "c_nationkey % 5 AS segment", "CASE c_custkey % 4 WHEN 0 THEN array('sql') WHEN 1 THEN array('SQL', 'Go ') WHEN 2 THEN array('golang') END AS has_skills", "CASE c_custkey % 5 WHEN 1 THEN 'Python developer' WHEN 3 THEN 'Machine learning engineer' ELSE 'Engineer' END AS title", "CASE c_custkey % 3 WHEN 0 THEN 'PostgreSQL databases, Spark' WHEN 1 THEN c_mktsegment END AS description", "CASE c_custkey % 11 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Worldwide' WHEN 2 THEN NULL ELSE n_name END AS location", "c_custkey % 12 AS years")
 
 
 def universe(s, d):
@@ -82,7 +82,7 @@ QUERIES = {
     "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d)))).select("user_id", "record_id", "place", F.round("final", 6).alias("final")),
-    "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "gate", "match"),
+    "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "match"),
 }
 
 SIGNALS = """
@@ -134,5 +134,7 @@ ORACLES = {
     "k3_preference_boost": oracle("WITH " + SIGNALS + "," + BOOST + " SELECT user_id, record_id, round(boost, 6) + 0 AS boost FROM bst", "postings"),
     "k4_soft_boost": oracle("WITH " + SIGNALS + """, att AS (SELECT record_id, 'comp' AS type, lower(trim(company)) AS value FROM postings UNION SELECT record_id, 'ind', CASE seq % 3 WHEN 0 THEN 'retail' ELSE 'banking' END FROM postings UNION SELECT record_id, 'skill', lower(trim(unnest(string_split(skills, ',')))) FROM postings)
  SELECT user_id, record_id, round(greatest(least(sum(weight * CASE polarity || att.type WHEN 'poscomp' THEN 0.02 WHEN 'negcomp' THEN -0.03 WHEN 'posind' THEN 0.01 WHEN 'negind' THEN -0.02 WHEN 'posskill' THEN 0.01 ELSE 0 END), 0.05), -0.05), 6) AS boost FROM att JOIN sig ON sig.type = att.type AND sig.value = att.value GROUP BY 1, 2""", "postings"),
-    "c22_opportunity_match": "WITH s AS (SELECT s_suppkey AS cand, s_nationkey % 5 AS g, s_suppkey % 3 = 0 AS py, s_suppkey % 9 AS y, n_name AS pl FROM supplier JOIN nation ON n_nationkey = s_nationkey), c AS (SELECT c_custkey AS opp, c_nationkey % 5 AS g, c_custkey % 4 AS m, c_custkey % 12 AS mn, n_name AS pl FROM customer JOIN nation ON n_nationkey = c_nationkey), j AS (SELECT cand, opp, m IN (1, 3) OR NOT py AS skilled, mn <= y + 1 AS ok, contains(c.pl, s.pl) OR contains(s.pl, c.pl) AS same, CASE WHEN same THEN 20 ELSE 0 END + 10 + CASE WHEN py AND m IN (1, 3) THEN 10 ELSE 0 END + CASE WHEN m = 3 THEN 5 ELSE 0 END AS pts FROM s JOIN c ON s.g = c.g AND m <> 2) SELECT cand, opp, skilled AND ok AND same AS gate, CASE WHEN skilled AND ok AND same THEN (50 + pts) / 100 ELSE 0.4::DOUBLE END AS match FROM j",
+    "c22_opportunity_match": """WITH s AS (SELECT s_suppkey AS cand, s_nationkey % 5 AS g, CASE s_suppkey % 4 WHEN 0 THEN ['sql', 'python'] WHEN 1 THEN ['sql'] WHEN 2 THEN ['machine learning'] ELSE [] END AS need, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 9 END AS y, CASE WHEN s_suppkey % 6 > 0 THEN n_name END AS w FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+ c AS (SELECT c_custkey AS opp, c_nationkey % 5 AS g, CASE c_custkey % 4 WHEN 0 THEN ['sql'] WHEN 1 THEN ['sql', 'go'] WHEN 2 THEN ['golang'] ELSE [] END AS own, lower(CASE c_custkey % 5 WHEN 1 THEN 'Python developer' WHEN 3 THEN 'Machine learning engineer' ELSE 'Engineer' END || '/' || coalesce(CASE c_custkey % 3 WHEN 0 THEN 'PostgreSQL databases, Spark' WHEN 1 THEN c_mktsegment END, '')) AS said, CASE c_custkey % 11 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Worldwide' WHEN 2 THEN NULL ELSE n_name END AS l, c_custkey % 12 AS years FROM customer JOIN nation ON n_nationkey = c_nationkey)
+ SELECT cand, opp, round(least(1.0, 0.5 + CASE WHEN w IS NULL THEN 0 ELSE 0.2 END + 0.1 * len(need) + 0.05 * len(list_filter(['spark', 'go'], lambda x: contains(said, x) OR list_contains(own, x)))), 2)::DOUBLE AS match FROM s JOIN c ON s.g = c.g WHERE len(list_filter(need, lambda x: NOT contains(said, x) AND NOT list_contains(own, x))) = 0 AND (y IS NULL OR years <= y + 1) AND (w IS NULL OR l = 'Worldwide' OR contains(l, w) OR contains(w, l))""",
 }

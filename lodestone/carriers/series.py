@@ -34,7 +34,7 @@ QUERIES = {
     "f2_sma": lambda s, d: m.sma(bars(s, d), 20).select("symbol", "ts", F.round("sma", 4).alias("sma")),
     "f3_ema": lambda s, d: m.ema(bars(s, d), 12).select("symbol", F.round("ema", 4).alias("ema")),
     "f4_rsi": lambda s, d: m.rsi(bars(s, d)).select("symbol", F.round("rsi", 6).alias("rsi")),
-    "f5_macd": lambda s, d: m.macd(bars(s, d)),
+    "f5_macd": lambda s, d: m.macd(bars(s, d)).select("symbol", *[F.round(x, 4).alias(x) for x in ("line", "signal", "histogram")]),
     "f6_atr": lambda s, d: m.atr(bars(s, d)).select("symbol", F.round("atr", 4).alias("atr")),
     "f7_volume_ratio": lambda s, d: m.volume_ratio(bars(s, d)).select("symbol", F.round("ratio", 6).alias("ratio")),
     "f8_weekly_return": lambda s, d: m.weekly_return(bars(s, d)).select("symbol", F.round("change", 6).alias("change")),
@@ -78,6 +78,9 @@ PROD = """p AS (SELECT lower(trim(source)) AS source, count(*) FILTER (event_typ
 
 ORACLES = {
     "f2_sma": oracle("SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 4) AS sma FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)", "bars"),
+    "f5_macd": oracle("""WITH c AS (SELECT symbol, list(close ORDER BY ts) AS x FROM bars GROUP BY 1), e AS (SELECT symbol, x, list_reduce(list_concat([[avg12]], list_transform(x[13:], lambda v: [v])), lambda a, b: list_append(a, a[-1] + (b[1] - a[-1]) * 2 / 13)) AS f, list_reduce(list_concat([[avg26]], list_transform(x[27:], lambda v: [v])), lambda a, b: list_append(a, a[-1] + (b[1] - a[-1]) * 2 / 27)) AS s FROM (SELECT *, list_avg(x[1:12]) AS avg12, list_avg(x[1:26]) AS avg26 FROM c)),
+ l AS (SELECT symbol, len(x) AS n, list_transform(list_zip(f[15:], s), lambda z: z[1] - z[2]) AS d FROM e), g AS (SELECT symbol, n, d[-1] AS line, list_reduce(list_concat([list_avg(d[1:9])], d[10:]), lambda a, b: a + (b - a) * 2 / 10) AS signal FROM l)
+ SELECT symbol, CASE WHEN n >= 35 THEN round(line, 4) END AS line, CASE WHEN n >= 35 THEN round(signal, 4) END AS signal, CASE WHEN n >= 35 THEN round(line - signal, 4) END AS histogram FROM g""", "bars"),
     "f3_ema": oracle(f"WITH {NUM} SELECT symbol, round(sum(close * CASE WHEN i <= 12 THEN pow(11.0::DOUBLE / 13, n - 12) / 12 ELSE 2.0::DOUBLE / 13 * pow(11.0::DOUBLE / 13, n - i) END), 4) AS ema FROM n GROUP BY 1", "bars"),
     "f4_rsi": oracle(f"WITH {NUM}, g AS (SELECT symbol, {wilder('greatest(close - c0, 0)')} AS up, {wilder('greatest(c0 - close, 0)')} AS dn FROM n WHERE i > 1 GROUP BY 1) SELECT symbol, round(CASE WHEN dn = 0 THEN 100 ELSE 100 - 100 / (1 + up / dn) END, 6) AS rsi FROM g", "bars"),
     "f6_atr": oracle(f"WITH {NUM} SELECT symbol, round({wilder('greatest(high - low, abs(high - c0), abs(low - c0))')}, 4) AS atr FROM n WHERE i > 1 GROUP BY 1", "bars"),

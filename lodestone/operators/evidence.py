@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 from lodestone.functions import columns as c
 from lodestone.functions import rules
+from lodestone.operators import postings
 from lodestone.plans import patterns
+from lodestone.plans.components import cut
 
 MONEY = r"(?:[₹\$€]|usd|inr|eur|rs\.?)?\s*[\d,]+(?:\.\d+)?\s*(?:cr(?:ore)?|lakh|million|mn|billion|bn|usd|inr)?"
 # Fact patterns; the first group is the value.
@@ -158,9 +160,17 @@ def claim_passages(docs: DataFrame, key: str, most: int = 6) -> DataFrame:
 
 
 def bibliography(claims: DataFrame, url: str, order: str) -> DataFrame:
-    """Distinct sources numbered by first use, with the rows that are primary and counter evidence."""
-    out = claims.groupBy(url).agg(F.min(order).alias("first"), F.count_if(~F.col("is_counter")).alias("primary_rows"), F.count_if("is_counter").alias("counter_rows"))
-    return out.withColumn("number", F.dense_rank().over(Window.orderBy("first", url)))
+    """Distinct sources numbered by first use, with the rows that are primary and counter evidence.
+
+    Sources are dealt to ranges of their first use, numbered inside, and moved on by the sources of the ranges before: no task
+    holds them all. Sources first used at the same place are in the order of their names.
+    """
+    sources = claims.groupBy(url).agg(F.min(order).alias("first"), F.count_if(~F.col("is_counter")).alias("primary_rows"), F.count_if("is_counter").alias("counter_rows"))
+    dealt = cut(sources.repartitionByRange("first", url).withColumn("part", F.spark_partition_id()), "sources-dealt")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("part").orderBy("first", url))
+    return dealt.join(F.broadcast(before), "part").withColumn("number", (place + F.col("before")).cast("int")).drop("part", "before")
 
 
 def entity_coverage(entities: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -291,14 +301,14 @@ def preference_signals(events: DataFrame) -> DataFrame:
 BOOSTS = [("pos", "title", 0.03, 0.10), ("pos", "comp", 0.04, 0.10), ("pos", "loc", 0.02, 0.05), ("pos", "skill", 0.02, 0.06), ("neg", "title", -0.05, 0.15), ("neg", "comp", -0.08, 0.25), ("neg", "loc", -0.05, 0.15)]
 
 
-def preference_boost(postings: DataFrame, signals: DataFrame, most: int | None = None) -> DataFrame:
+def preference_boost(jobs: DataFrame, signals: DataFrame, most: int | None = None) -> DataFrame:
     """Boost per user and posting, within -0.25 and 0.25. Values of a user's signals are matched by containment.
 
     Texts repeat, so an automaton over the distinct values of each type reads the distinct texts, and rows and users come in by
     equal keys afterwards. most: postings kept of a user, those with the largest boost (by default all that match, which
     is a row for each user and posting).
     """
-    attrs = postings.select("record_id", F.inline(F.concat(F.array(*[F.struct(F.lit(t).alias("type"), F.lower(F.trim(F.coalesce(col, F.lit("")))).alias("text")) for t, col in (("title", "title"), ("comp", "company"), ("loc", "location"))]), F.transform(F.split(F.lower(F.coalesce("skills", F.lit(""))), ","), lambda s: F.struct(F.lit("skill").alias("type"), F.trim(s).alias("text"))))))
+    attrs = jobs.select("record_id", F.inline(F.concat(F.array(*[F.struct(F.lit(t).alias("type"), F.lower(F.trim(F.coalesce(col, F.lit("")))).alias("text")) for t, col in (("title", "title"), ("comp", "company"), ("loc", "location"))]), F.transform(F.split(F.lower(F.coalesce("skills", F.lit(""))), ","), lambda s: F.struct(F.lit("skill").alias("type"), F.trim(s).alias("text"))))))
     found = patterns.contained(attrs.select("type", "text").distinct(), "text", "text", signals.select("type", "value"), "value", group="type")
     met = attrs.join(found, ["type", "text"]).select("record_id", "type", "value").distinct().join(signals, ["type", "value"])
     amount = F.lit(0.0)
@@ -329,26 +339,37 @@ def boosted_rank(ranked: DataFrame, boosts: DataFrame) -> DataFrame:
     return joined.withColumn("final", total).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("final"), "record_id")))
 
 
-def match_opportunities(prefs: DataFrame, opportunities: DataFrame) -> DataFrame:
-    """Score of candidates and opportunities of one segment: 0.5, 0.2 for the place, 0.1 for each explicit and 0.05 for each inferred skill.
+def match_opportunities(prefs: DataFrame, opportunities: DataFrame, candidate: str = "cand", opportunity: str = "opp") -> DataFrame:
+    """Every qualified pair of a candidate and an opportunity of one segment, with its score.
+
+    Score: 0.5, 0.2 for the place, 0.1 for each explicit and 0.05 for each inferred skill, at most 1. A pair qualifies if one of
+    want_places (none: any place) matches as location_status() says, the opportunity has all explicit skills (among
+    has_skills, or anywhere in its title or description), and asks for at most a year over max_years (a null is no limit). Other pairs score 0.40
+    at most and get no row. candidate and opportunity name the id columns.
 
-    Place (any of want_places by name or cluster; none: everywhere), all explicit skills and experience (at most a year over
-    max_years) are gates; a failed one caps the score at 0.40. Pairs meet on the candidate's first explicit skill, as a word of
-    the skills, title or description; an opportunity without it fails the gate and gets no row.
+    One automaton over the distinct skills reads the opportunities' texts. Pairs meet on the candidate's rarest explicit
+    skill of the segment; a candidate without any meets the whole segment.
     """
     low = lambda x: F.lower(F.trim(x))
     plain = lambda name: F.filter(F.transform(F.coalesce(name, F.array().cast("array<string>")), low), lambda s: s != "")
-    wish = prefs.withColumns({"explicit": plain("explicit_skills"), "inferred": plain("inferred_skills"), "places": plain("want_places")})
-    wish = wish.withColumns({"meet": F.coalesce(F.get("explicit", F.lit(0)), F.lit("")), "clusters": F.transform("places", lambda p: c.geo_cluster(p))})
-    blob = F.lower(F.concat_ws(" ", "title", "description"))
-    offer = opportunities.withColumns({"skills": plain("has_skills"), "blob": blob, "here": low(F.coalesce("location", F.lit("")))}).withColumn("cluster", c.geo_cluster(F.col("here")))
-    words = F.array_distinct(F.concat(F.array(F.lit("")), "skills", F.split("blob", r"[^a-z0-9+#.]+")))
-    j = wish.join(offer.withColumn("meet", F.explode(words)), ["segment", "meet"])
-    has = lambda s: F.array_contains(F.col("skills"), s) | F.contains(F.col("blob"), s)
-    named = F.exists("places", lambda p: F.contains(F.col("here"), p) | ((F.col("here") != "") & F.contains(p, F.col("here"))))
-    there = named | F.coalesce(F.array_contains("clusters", F.col("cluster")), F.lit(False))
-    anywhere = F.size("places") == 0
+    wish = prefs.withColumns({"explicit": plain("explicit_skills"), "inferred": plain("inferred_skills"), "places": F.transform(plain("want_places"), postings.wanted_place)})
+    offer = opportunities.withColumns({"own": plain("has_skills"), "said": F.lower(F.concat_ws("\n", "title", "description")), "here": postings.actual_place(F.col("location"))})
+    asked = wish.select(F.explode(F.array_distinct(F.concat("explicit", "inferred"))).alias("skill")).distinct()
+    named = patterns.contained(offer.select(opportunity, "said"), opportunity, "said", asked, "skill")
+    listed = offer.select(opportunity, F.explode("own").alias("skill")).join(asked, "skill").select(opportunity, "skill")
+    had = cut(offer.select(opportunity, "segment").join(named.unionByName(listed).distinct(), opportunity), "had-skills")
+    found = had.groupBy(opportunity).agg(F.collect_set("skill").alias("found"))
+    offer = offer.join(found, opportunity, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    spread = had.groupBy("segment", "skill").agg(F.count("*").alias("offers"))
+    each = wish.select(candidate, "segment", F.explode(F.array_distinct("explicit")).alias("skill")).join(spread, ["segment", "skill"], "left")
+    rarest = each.groupBy(candidate).agg(F.min(F.struct(F.coalesce("offers", F.lit(0)).alias("offers"), "skill"))["skill"].alias("meet"))
+    wish = wish.join(rarest, candidate, "left")
+    here = offer.join(had.select(opportunity, F.col("skill").alias("meet")), opportunity)
+    asks = wish.filter("meet is not null").join(here, ["segment", "meet"]).drop("meet")
+    pairs = asks.unionByName(wish.filter("meet is null").drop("meet").join(offer, "segment"))
+    there = F.exists("places", lambda p: postings.place_matches(p, F.col("here")))
+    held = lambda name: F.size(F.filter(name, lambda s: F.array_contains("found", s)))
     fit = F.coalesce(F.col("years") <= F.col("max_years") + 1, F.lit(True))
-    score = 0.5 + F.when(~anywhere & there, 0.2).otherwise(0.0) + 0.1 * F.size(F.filter("explicit", has)) + 0.05 * F.size(F.filter("inferred", has))
-    out = j.withColumns({"gate": (anywhere | there) & F.forall("explicit", has) & fit, "match": F.least(F.lit(1.0), F.round(score, 2))})
-    return out.withColumn("match", F.when(F.col("gate"), F.col("match")).otherwise(F.least("match", F.lit(0.40)))).drop("meet", "clusters", "cluster", "blob", "here", "explicit", "inferred", "places", "skills")
+    kept = pairs.filter(fit & (held("explicit") == F.size("explicit")) & ((F.size("places") == 0) | there))
+    score = 0.5 + F.when(F.size("places") > 0, 0.2).otherwise(0.0) + 0.1 * F.size("explicit") + 0.05 * held("inferred")
+    return kept.withColumn("match", F.least(F.lit(1.0), F.round(score, 2))).drop("own", "said", "here", "found", "explicit", "inferred", "places")

@@ -57,6 +57,38 @@ def identity_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({"fingerprint": c.fingerprint(F.col("company"), F.col("title"), F.col("location")), "crawl_key": F.when(both != "|", both).otherwise(c.canonical_url(F.col("url")))})
 
 
+def wanted_place(place: Column) -> Column:
+    """What a wanted place asks for: low, clusters, inside (clusters that lie in it or hold it), gulf."""
+    low = F.lower(F.trim(place))
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
+    clusters = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, aliases)), lambda x: F.contains(padded, F.concat(F.lit(" "), x, F.lit(" ")))), F.lit(n)) for n, aliases in rules.GEO_ALIASES.items()]))
+    listed = lambda names: F.array(*map(F.lit, names))
+    none = F.array().cast("array<string>")
+    around = F.flatten(F.array(*[
+        F.concat(F.when(F.arrays_overlap(clusters, listed(members)), F.array(F.lit(region))).otherwise(none), F.when(F.array_contains(clusters, region), listed(members)).otherwise(none)) for region, members in rules.REGIONS.items()
+    ]))
+    return F.struct(low.alias("low"), clusters.alias("clusters"), F.array_union(clusters, around).alias("inside"), F.arrays_overlap(clusters, listed([*rules.REGIONS["gcc"], "mena"])).alias("gulf"))
+
+
+def actual_place(place: Column) -> Column:
+    """What a posting's place says: low, cluster, anchors (countries named), world, remote, hints of the Gulf."""
+    low = F.lower(F.trim(F.coalesce(place, F.lit(""))))
+    anchors = F.array_compact(F.array(*[F.when(c.words_any(low, rules.GEO_ALIASES[n]), F.lit(n)) for n in ("us", "uk", "india", "egypt")]))
+    remote = low.isin("remote", "remote / unspecified", "work from home", "wfh")
+    return F.struct(low.alias("low"), c.geo_cluster(low).alias("cluster"), anchors.alias("anchors"), c.contains_any(low, ["worldwide", "global", "anywhere"]).alias("world"), remote.alias("remote"), c.contains_any(low, rules.GULF_HINTS).alias("hints"))
+
+
+def place_matches(wanted: Column, actual: Column) -> Column:
+    """location_status() is MATCH, for structs of wanted_place() and actual_place()."""
+    low = actual["low"]
+    foreign = F.size(F.array_except(actual["anchors"], wanted["clusters"])) > 0
+    remote = actual["remote"] | F.coalesce(actual["cluster"] == "remote", F.lit(False))
+    return (
+        F.when(low.isin("", "not specified", "n/a", "null", "none"), False).when(F.contains(low, wanted["low"]) | F.contains(wanted["low"], low), True).when(actual["world"], ~foreign).when(remote, False)
+        .when(actual["cluster"].isNotNull() & (F.size(wanted["clusters"]) > 0), F.array_contains(wanted["inside"], actual["cluster"])).otherwise(wanted["gulf"] & actual["hints"])
+    )
+
+
 def location_status(actual: Column, spec: JobSpec) -> Column:
     """MATCH, MISMATCH or UNKNOWN for any of the wanted places."""
     if not spec.locations:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +48,38 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Line, signal and histogram of each series; one series is one group, as the recursion runs in order."""
-
-    def averages(values: list[float], n: int) -> list[float]:
-        out = [sum(values[:n]) / n]
-        for v in values[n:]:
-            out.append(out[-1] + (v - out[-1]) * 2 / (n + 1))
-        return out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        closes = pdf.sort_values("ts")["close"].tolist()
-        if len(closes) < slow + signal:
-            return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "line": [None], "signal": [None], "histogram": [None]})
-        line = [a - b for a, b in zip(averages(closes, fast)[slow - fast :], averages(closes, slow))]
-        smooth = averages(line, signal)[-1]
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "line": [line[-1]], "signal": [smooth], "histogram": [line[-1] - smooth]})
-
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, line double, signal double, histogram double")
+    """Line, signal and histogram of each series (nulls where it has under slow + signal closes).
+
+    Line and signal are written out as fixed weights of the closes, as in seeded_average(): the line is the difference of two
+    averages, and its own average is a geometric sum of them. A close of age a (0 for the last) counts in an average of n with
+    keep k as (1 - k) k^a behind its seed and k^(ends - n) / n inside; summing that over the ages of the signal's steps has a closed form,
+    so one aggregate per series is enough and series spread over tasks by partial sums.
+    """
+    i, n = F.col("i"), F.col("n")
+    k = (signal - 1) / (signal + 1)
+    start = slow + signal - 1  # the close whose line value ends the signal's seed
+
+    def geometric(ratio: float, count: Column) -> Column:
+        return count.cast("double") if abs(1 - ratio) < 1e-12 else (1 - F.pow(F.lit(ratio), count)) / (1 - ratio)
+
+    def weight(size: int) -> tuple[Column, Column]:
+        """Of a close in the last average, and in the signal's mix of the averages at closes slow..n."""
+        keep = (size - 1) / (size + 1)
+        share = F.when(i <= size, F.lit(1.0 / size)).otherwise(F.lit(1 - keep))  # times keep ** (t - max(i, size)) in the average at close t
+        first = F.greatest(i, F.lit(size))
+        last = share * F.pow(F.lit(keep), n - first)
+        # seed of the signal: the mean of the averages at slow..start; behind it (1 - k) * k ** (n - t) each, and the seed times k ** (n - start)
+        from_t = F.greatest(first, F.lit(slow))
+        seeded = F.when(from_t <= start, F.pow(F.lit(keep), from_t - first) * geometric(keep, start - from_t + 1)).otherwise(0.0) * F.pow(F.lit(k), n - start) / signal
+        later = F.greatest(first, F.lit(start + 1))
+        behind = F.when(later <= n, (1 - k) * F.pow(F.lit(keep), later - first) * F.pow(F.lit(k), n - later) * geometric(keep / k, n - later + 1)).otherwise(0.0)
+        return last, share * (seeded + behind)
+
+    (fast_last, fast_mix), (slow_last, slow_mix) = weight(fast), weight(slow)
+    enough = n >= slow + signal
+    total = lambda w: F.sum(F.when(enough, F.col("close") * w))
+    out = numbered(bars).groupBy("symbol").agg(total(fast_last - slow_last).alias("line"), total(fast_mix - slow_mix).alias("signal"))
+    return out.withColumn("histogram", F.col("line") - F.col("signal"))
 
 
 def volume_ratio(bars: DataFrame) -> DataFrame:
