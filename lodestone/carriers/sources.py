@@ -42,6 +42,13 @@ def reader(kind: str):
     return lambda s, d: p.read_payloads(payload(s, d, *ROWS[kind]), kind)
 
 
+def stream_upsert(s, d):
+    """The latest event of each user, with the value of the first, kept by a stream."""
+    path = place(s)
+    jobs.stream_upsert(stream(s, d, "events"), path, ["user_id"], "event_id", keep=["value"]).awaitTermination()
+    return jobs.upserted(s, path).select("user_id", "event_id", "event_type", "value")
+
+
 def stream(s, d, name: str):
     """The table as a stream."""
     one = s.read.parquet(f"{d}/{name}.parquet")
@@ -83,8 +90,10 @@ QUERIES = {
     "j12_people_roles": lambda s, d: p.people_roles(table(s, d, "customer").selectExpr("c_custkey AS seq", "concat('P', c_custkey % 90, ' - ', CASE c_custkey % 3 WHEN 0 THEN 'Senior Recruiter' WHEN 1 THEN 'CTO' ELSE 'Clerk' END, ' - X') AS title", "c_mktsegment AS company", "concat('https://x/', c_custkey) AS url"), [("recruiter", "recruit"), ("executive", r"cto|ceo")]).select("company", "name", "role", "seq", "place"),
     "l1_stream_unseen": lambda s, d: jobs.run_available(jobs.stream_unseen(stream(s, d, "pages").withColumn("ts", F.timestamp_seconds(F.col("page_id") + 1000000)), "ts"), place(s)).select("canonical_url"),
     "l2_stream_productivity": lambda s, d: jobs.scored(jobs.run_available(jobs.stream_productivity(stream(s, d, "events").withColumn("source", F.concat(F.lit("source"), F.col("user_id") % 12))), place(s), "complete")).select("source", "unique", "qualified", F.round("productivity", 9).alias("productivity")),
-    "l3_stream_streak": lambda s, d: jobs.run_available(jobs.stream_streak(stream(s, d, "events").select(F.concat(F.lit("run"), "user_id").alias("run_id"), F.col("event_id").alias("seq"), (F.floor("value") < 20).alias("low"))), place(s)),
-    "l4_stream_changes": lambda s, d: jobs.run_available(jobs.stream_changes(stream(s, d, "events").select(F.col("user_id").cast("string").alias("target"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), F.col("value").alias("price"))), place(s)),
+    "l3_stream_streak": lambda s, d: jobs.run_available(jobs.stream_streak(stream(s, d, "events").select(F.concat(F.lit("run"), "user_id").alias("run_id"), F.col("event_id").alias("seq"), (F.floor("value") < 20).alias("low"))), place(s), empty_batches=False),
+    "l4_stream_changes": lambda s, d: jobs.run_available(jobs.stream_changes(stream(s, d, "events").select(F.col("user_id").cast("string").alias("target"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), F.col("value").alias("price"))), place(s), empty_batches=False).filter("change <> 'headline'").drop("headline"),
+    "l4_stream_headlines": lambda s, d: jobs.run_available(jobs.stream_changes(stream(s, d, "conversations").select(F.col("conv_id").cast("string").alias("target"), F.col("turn").cast("long").alias("seq"), F.lit("x").alias("state"), F.lit(0.0).alias("price"), F.split("text", " ").alias("news"))), place(s), empty_batches=False).select("target", "seq", "headline"),
+    "a11_stream_upsert": stream_upsert,
     "l5_stream_signals": lambda s, d: jobs.run_available(jobs.stream_signals(stream(s, d, "events").select("user_id", F.col("event_type").alias("action")), {"view": 0.3, "click": 0.5, "purchase": 1.0}), place(s), "complete").select("user_id", "action", "n", F.round("weight", 6).alias("weight")),
 }
 
@@ -181,6 +190,8 @@ ORACLES = {
     "j12_people_roles": "WITH r AS (SELECT c_mktsegment AS company, 'P' || (c_custkey % 90) AS name, CASE c_custkey % 3 WHEN 0 THEN 'recruiter' WHEN 1 THEN 'executive' END AS role, c_custkey AS seq FROM customer WHERE c_custkey % 3 < 2), f AS (SELECT company, name, min(seq) AS seq, arg_min(role, seq) AS role FROM r GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY seq) AS place FROM f) SELECT company, name, role, seq, place FROM p WHERE place <= 5",
     "l1_stream_unseen": f"SELECT DISTINCT {CANON.format('url')} AS canonical_url FROM pages",
     "l2_stream_productivity": "WITH p AS (SELECT 'source' || (user_id % 12) AS source, count(*) FILTER (event_type = 'view') AS u, count(*) FILTER (event_type = 'purchase') AS q, count(*) FILTER (event_type = 'click') AS dup, count(*) FILTER (event_type = 'error') AS r, count(*) FILTER (event_type = 'signup') AS v FROM events GROUP BY 1) SELECT source, u AS \"unique\", q AS qualified, round(greatest(1 + 2 * q / greatest(u, 1) - 0.4 * dup / greatest(u + dup, 1) - 0.3 * r / greatest(v + r, 1), 0.05), 9) AS productivity FROM p",
+    "l4_stream_headlines": "WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS target, CAST(turn AS BIGINT) AS seq, string_split(text, ' ') AS w, lag(string_split(text, ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) SELECT DISTINCT target, seq, u.headline FROM a, LATERAL (SELECT unnest(w) AS headline) u WHERE i > 1 AND NOT list_contains(coalesce(p, []), u.headline)",
+    "a11_stream_upsert": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1",
     "l3_stream_streak": "WITH a AS (SELECT 'run' || user_id AS run_id, event_id AS seq, floor(value) < 20 AS low, sum(CASE WHEN floor(value) < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS isl FROM events), b AS (SELECT run_id, seq, CAST(sum(CASE WHEN low THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, isl ORDER BY seq) AS BIGINT) AS streak FROM a) SELECT *, streak >= 5 AS alert FROM b",
     "l4_stream_changes": "WITH a AS (SELECT *, lag(event_type) OVER w AS o, lag(value) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT CAST(user_id AS VARCHAR) AS target, event_id AS seq, CASE WHEN event_type <> o THEN 'status' WHEN abs(value - p) > 0.001 * abs(p) THEN 'price' END AS change FROM a WHERE o IS NOT NULL) SELECT * FROM b WHERE change IS NOT NULL",
     "l5_stream_signals": "SELECT user_id, event_type AS action, count(*) AS n, round(sum(CAST(CASE event_type WHEN 'view' THEN 0.3 WHEN 'click' THEN 0.5 WHEN 'purchase' THEN 1.0 ELSE 0 END AS DOUBLE)), 6) AS weight FROM events GROUP BY 1, 2",
