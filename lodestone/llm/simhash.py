@@ -217,9 +217,12 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def grouped_links(keyed: DataFrame, lanes: list[str], radii: tuple[int, ...]) -> DataFrame:
+def grouped_links(keyed: DataFrame, lanes: list[str], radii: tuple[int, ...], star: bool = False) -> DataFrame:
     """Links of a spanning forest of each group (t, value): a0.., b0.. (the lanes of both ends) and distance.
 
+    star: each member is linked to the first of its tree in Gray order instead of to a neighbour, so that groups with the
+    same members give the same links.
+
     A group of more than PART fingerprints is split into parts by hash; each pair of parts is a group of its own, so no
     task holds more than two parts and no pair is lost.
     """
@@ -241,8 +244,13 @@ def grouped_links(keyed: DataFrame, lanes: list[str], radii: tuple[int, ...]) ->
         group, fp = np.cumsum(group), np.stack([rows.column(c).to_numpy().view(np.uint64) for c in lanes], axis=1)
         order = np.lexsort((*[gray_rank(fp[:, k]) for k in reversed(range(len(lanes)))], group))
         group, fp = group[order], fp[order]
-        links = linked_forest(group, fp, radii).links
-        a, b = (np.concatenate(x) if links else np.zeros(0, np.int64) for x in (zip(*links) if links else ((), ())))
+        forest = linked_forest(group, fp, radii)
+        if star:
+            b = forest.flat()
+            a = np.flatnonzero(b != np.arange(len(b)))
+            b = b[a]
+        else:
+            a, b = (np.concatenate(x) if forest.links else np.zeros(0, np.int64) for x in (zip(*forest.links) if forest.links else ((), ())))
         distance = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int32)
         ends = [pa.array(np.ascontiguousarray(fp[x, k]).view(np.int64)) for x in (a, b) for k in range(len(lanes))]
         return pa.RecordBatch.from_arrays([*ends, pa.array(distance)], names=[f"{x}{k}" for x in "ab" for k in range(len(lanes))] + ["distance"])
@@ -327,17 +335,22 @@ def texts_with_marks(docs: DataFrame, width: int) -> DataFrame:
 
 
 def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Stored table a, b, distance: pairs of nodes whose fingerprints are as near as the similarity asks for (spanning forests of them)."""
+    """Stored table a, b: links whose components are those of the nodes with fingerprints as near as the similarity asks for."""
     prints = stored(nodes.groupBy(*LANES).agg(F.min("node").alias("least")), "near-prints")
     share = differing_share(similarity)
     radius = math.ceil(128 * share + 2 * math.sqrt(128 * share * (1 - share)))
     masks = random_masks(prints.count(), share)
     value = F.array(*[F.xxhash64(*[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(LANES, mask)]) for mask in masks])
-    links = grouped_links(prints.select(*LANES, F.posexplode(value).alias("t", "value")), LANES, (radius // 4, radius // 2, radius)).distinct()
+    links = grouped_links(prints.select(*LANES, F.posexplode(value).alias("t", "value")), LANES, (radius // 4, radius // 2, radius), star=True)
+    # a member keeps its smallest first only; its others (one for each mask at most) are linked to that one, mostly the same for all members
+    root = lambda x: [F.col(f"{x}.b0").alias("b0"), F.col(f"{x}.b1").alias("b1")]
+    firsts = links.groupBy("a0", "a1").agg(F.collect_set(F.struct("b0", "b1")).alias("firsts")).withColumn("root", F.array_min("firsts"))
+    others = firsts.select(F.explode(F.array_except("firsts", F.array("root"))).alias("other"), "root")
+    links = firsts.select("a0", "a1", *root("root")).unionByName(others.select(F.col("other.b0").alias("a0"), F.col("other.b1").alias("a1"), *root("root"))).distinct()
     for end in "ab":
         links = links.join(prints.select(F.col("f0").alias(f"{end}0"), F.col("f1").alias(f"{end}1"), F.col("least").alias(end)), [f"{end}0", f"{end}1"])
-    same = nodes.join(prints, LANES).filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.lit(0).alias("distance"))
-    found = stored(links.select("a", "b", "distance").unionByName(same), "near-links")
+    same = nodes.join(prints, LANES).filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    found = stored(links.select("a", "b").unionByName(same), "near-links")
     dropped(prints)
     return found
 
