@@ -75,6 +75,12 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://www.alpha.com/pricing' WHEN
 SELECT CAST(o_orderkey AS STRING) AS record_id, o_orderkey AS seq, 'Company ' || CAST(o_custkey AS STRING) AS company, CASE o_orderkey % 5 WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Senior Data Engineer' WHEN 2 THEN 'Data Platform Engineer' WHEN 3 THEN 'Chef' ELSE 'Data Engineer, Riyadh' END AS title,
   CASE o_orderkey % 3 WHEN 0 THEN 'Riyadh' WHEN 1 THEN 'Dubai' END AS location, CASE WHEN o_orderkey % 4 < 3 THEN 'k' || CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 2 AS STRING) END AS identity_key,
   CASE o_orderkey % 6 WHEN 0 THEN 'Amman' WHEN 1 THEN 'Doha' END AS city, 'src' AS source, CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_custkey AS STRING) END AS job_id, CAST(NULL AS STRING) AS url, CAST(NULL AS STRING) AS application_url FROM {orders}""",
+    "said": """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '--- STRUCTURED PAGE METADATA ---' || chr(10) || 'TITLE: a' || chr(10) || 'DESCRIPTION: ' || split_part(text, chr(10), 1) || chr(10) || '--- END PAGE METADATA ---' || chr(10) || chr(10) WHEN 1 THEN '--- STRUCTURED JOB SCHEMA (JSON-LD) ---' || chr(10) || '"JobPosting"' || chr(10) || '--- END STRUCTURED SCHEMA ---' || chr(10) ELSE '' END
+  || replace(text, chr(10), CASE doc_id % 2 WHEN 0 THEN chr(10) || chr(10) ELSE chr(10) END) || CASE doc_id % 7 WHEN 0 THEN chr(10) || chr(10) || 'All rights reserved by the authors of this long line' WHEN 1 THEN chr(10) || chr(10) || repeat('Home and links' || chr(10), 8) || chr(10) || 'A known limitation of this  method is its cost in large rooms' ELSE '' END AS text FROM {documents}""",
+    "reached": """
+SELECT doc_id, 'E' || CAST(doc_id % 50 AS STRING) AS entity_id, CASE doc_id % 6 WHEN 0 THEN 'https://e' || CAST(doc_id % 50 AS STRING) || '.org/Contact' WHEN 1 THEN 'https://x.org/about-us/' || CAST(doc_id % 9 AS STRING) WHEN 2 THEN NULL ELSE 'https://x.org/' || CAST(doc_id AS STRING) END AS url,
+  CASE WHEN doc_id % 50 % 3 > 0 THEN 'e' || CAST(doc_id % 50 AS STRING) || '.org/' END AS own, text || ' Info@d' || CAST(doc_id % 9 AS STRING) || '.example.org; sales@x.example.org' AS text FROM {documents}""",
     "telemetry": """
 SELECT event_id AS seq, 'source' || CAST(user_id % 12 AS STRING) AS source, 'run' || CAST(user_id AS STRING) AS run_id, ts, event_type,
   CAST(floor(value) AS BIGINT) AS n, event_id % 7 AS k FROM {events}""",

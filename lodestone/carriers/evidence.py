@@ -65,13 +65,13 @@ QUERIES = {
     "j4_scan_risks": lambda s, d: m.scan_risks(docs(s, d), "doc_id", signatures=RISK_WORDS).select("doc_id", "risk", "severity", "sentence"),
     "j2_claim_support": lambda s, d: m.claim_support(table(s, d, "benchmark"), docs(s, d), "item_id", "doc_id").select("item_id", "doc_id", "n", "total", "relationship", "passage", "confidence"),
     "d7_entity_mentions": lambda s, d: m.entity_mentions(table(s, d, "benchmark"), docs(s, d), "item_id", "doc_id", alias="text"),
-    "j5_claim_passages": lambda s, d: m.claim_passages(docs(s, d), "doc_id"),
-    "j6_evidence_split": lambda s, d: m.bibliography(m.claim_passages(docs(s, d), "doc_id").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 20).cast("string"))), "source", "doc_id"),
+    "j5_claim_passages": lambda s, d: m.claim_passages(carrier(s, d, "said"), "doc_id"),
+    "j6_evidence_split": lambda s, d: m.bibliography(m.claim_passages(carrier(s, d, "said"), "doc_id").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 20).cast("string"))), "source", "doc_id"),
     "e8_entity_coverage": lambda s, d: m.entity_coverage(table(s, d, "supplier").select(F.concat(F.lit("E"), "s_suppkey").alias("entity_id")), carrier(s, d, "facts"), evidence_of(s, d)).select("entity_id", F.array_join("missing", ",").alias("missing")),
     "e8_coverage_state": lambda s, d: m.coverage_state(m.entity_coverage(table(s, d, "supplier").select(F.concat(F.lit("E"), "s_suppkey").alias("entity_id")), carrier(s, d, "facts"), evidence_of(s, d)), 50),
     "e13_entity_sources": lambda s, d: m.entity_sources(carrier(s, d, "facts"), evidence_of(s, d)),
     "j11_hiring_posts": lambda s, d: m.hiring_posts(table(s, d, "conversations").filter("role = 'user'"), hiring=whole("the|des"), seeking=whole("und|que")).select("conv_id", "turn"),
-    "j13_contact_points": lambda s, d: m.contact_points(docs(s, d), "doc_id"),
+    "j13_contact_points": lambda s, d: m.contact_points(carrier(s, d, "reached"), "entity_id", "doc_id", "own"),
     "j14_company_profiles": lambda s, d: m.company_profiles(carrier(s, d, "facts"), "entity_id", "seq", ["revenue", "headquarters"]),
     "j15_price_mentions": lambda s, d: m.price_mentions(price_texts(s, d), "doc_id").groupBy("doc_id").agg(F.min_by("amount", F.when(~F.col("is_target"), F.col("pos"))).alias("current"), F.min_by("amount", F.when(F.col("is_target"), F.col("pos"))).alias("target")),
     "j16_ticker_mentions": lambda s, d: m.ticker_mentions(docs(s, d), universe(s, d), "doc_id"),
@@ -95,9 +95,12 @@ BOOST = """
 att AS (SELECT record_id, 'title' AS type, lower(title) AS txt FROM postings UNION ALL SELECT record_id, 'comp', lower(company) FROM postings UNION ALL SELECT record_id, 'loc', lower(coalesce(location, '')) FROM postings UNION ALL SELECT record_id, 'skill', lower(skills) FROM postings),
 met AS (SELECT DISTINCT record_id, user_id, polarity, s.type AS type, value, weight FROM att a JOIN sig s ON s.type = a.type AND contains(a.txt, s.value)),
 bst AS (SELECT user_id, record_id, greatest(least(sum(CASE polarity || type WHEN 'postitle' THEN least(weight * 0.03, 0.10) WHEN 'poscomp' THEN least(weight * 0.04, 0.10) WHEN 'posloc' THEN least(weight * 0.02, 0.05) WHEN 'posskill' THEN least(weight * 0.02, 0.06) WHEN 'negtitle' THEN -least(weight * 0.05, 0.15) WHEN 'negcomp' THEN -least(weight * 0.08, 0.25) WHEN 'negloc' THEN -least(weight * 0.05, 0.15) ELSE 0 END), 0.25), -0.25) AS boost FROM met GROUP BY 1, 2)"""
-PASSAGES = """r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
- q AS (SELECT doc_id, trim(p) AS p, pos FROM r WHERE length(trim(p)) >= 60 AND NOT regexp_matches(lower(p), 'cookie|subscribe|sign in|all rights reserved') AND length(trim(p)) - length(replace(trim(p), '|', '')) < 5),
- c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, substr(p, 1, 300) AS claim, regexp_matches(lower(p), '\\b(however|risk|limitation|drawback|criticism)\\b') AS is_counter FROM q)"""
+SPACE = r"[\t\n\x0B\f\r ]"
+HAS = lambda col, words: "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+PASSAGES = rf"""x AS (SELECT doc_id, trim(regexp_extract(regexp_extract(text, '(?s)--- STRUCTURED PAGE METADATA ---{SPACE}*(.*?){SPACE}*--- END PAGE METADATA ---', 1), '(?m)^DESCRIPTION:(.*)$', 1)) AS told, regexp_replace(text, '(?s)--- STRUCTURED (?:JOB SCHEMA \(JSON-LD\)|PAGE METADATA) ---.*?--- END (?:STRUCTURED SCHEMA|PAGE METADATA) ---{SPACE}*', '', 'g') AS body FROM said),
+ l AS (SELECT doc_id, told, regexp_replace(unnest(string_split(body, chr(10) || chr(10))), '^{SPACE}+|{SPACE}+$', '', 'g') AS p, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) AS pos FROM x), n AS (SELECT *, length(p) - length(replace(p, chr(10), '')) AS nl FROM l),
+ q AS (SELECT doc_id, told, pos, regexp_replace(p, '{SPACE}+', ' ', 'g') AS claim FROM n WHERE length(p) > 40 AND NOT {HAS("lower(p)", m.BOILERPLATE)} AND NOT (nl > 5 AND (length(p) - nl) / (nl + 1) < 25)),
+ u AS (SELECT doc_id, pos, claim, {HAS("lower(claim)", m.COUNTER_SIGNS)} AS is_counter FROM q WHERE NOT contains(told, claim) UNION ALL SELECT doc_id, 0, told, false FROM x WHERE length(told) > 30), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, claim, is_counter FROM u)"""
 COVER = """f AS (SELECT entity_id, bool_or(lower(field) IN ('revenue', 'headquarters')) AS fu FROM facts GROUP BY 1), v AS (SELECT 'E' || l_partkey AS entity_id, count(*) >= 2 AS news, bool_or(l_quantity > 48 OR l_linenumber = 7) AS counter FROM lineitem GROUP BY 1),
  g AS (SELECT 'E' || s_suppkey AS entity_id, coalesce(fu, false) AS fundamental, coalesce(news, false) AS news, coalesce(counter, false) AS counter FROM supplier LEFT JOIN f ON f.entity_id = 'E' || s_suppkey LEFT JOIN v ON v.entity_id = 'E' || s_suppkey)"""
 
@@ -115,13 +118,15 @@ ORACLES = {
  k AS (SELECT *, list_transform(ss, lambda x: coalesce(list_sum(list_transform(list_filter(tokens, lambda y: contains(lower(x), y.w)), lambda y: y.k)), 0)) AS sc FROM r), v AS (SELECT *, ss[list_position(sc, list_max(sc))] AS best FROM k)
  SELECT item_id, doc_id, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, CASE WHEN regexp_matches(lower(text), '<DENIED>') AND n / total >= 0.5 THEN CASE WHEN regexp_matches(lower(best), '<DENIED>') THEN 'CONTRADICTS' ELSE 'SUPPORTS' END WHEN n / total < 0.6 THEN 'MENTIONS' ELSE 'SUPPORTS' END AS relationship, best AS passage, CASE WHEN n / total > 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM v""".replace("<DENIED>", "|".join(m.NEGATIONS)),
     "d7_entity_mentions": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) AND b.text <> ''",
-    "j5_claim_passages": "WITH " + PASSAGES + " SELECT * FROM c WHERE place <= 6",
-    "j6_evidence_split": "WITH " + PASSAGES + ", b AS (SELECT 's' || (doc_id % 20) AS source, min(doc_id) AS first, count(*) FILTER (NOT is_counter) AS primary_rows, count(*) FILTER (is_counter) AS counter_rows FROM c WHERE place <= 6 GROUP BY 1) SELECT *, dense_rank() OVER (ORDER BY first, source) AS number FROM b",
+    "j5_claim_passages": oracle("WITH " + PASSAGES + " SELECT * FROM c", "said"),
+    "j6_evidence_split": oracle("WITH " + PASSAGES + ", b AS (SELECT 's' || (doc_id % 20) AS source, min(doc_id) AS first, count(*) FILTER (NOT is_counter) AS primary_rows, count(*) FILTER (is_counter) AS counter_rows FROM c GROUP BY 1) SELECT *, dense_rank() OVER (ORDER BY first, source) AS number FROM b", "said"),
     "e8_entity_coverage": oracle("WITH " + COVER + " SELECT entity_id, array_to_string(list_filter(['technical', CASE WHEN NOT fundamental THEN 'fundamental' END, CASE WHEN NOT news THEN 'news' END, CASE WHEN NOT counter THEN 'counter' END], lambda x: x IS NOT NULL), ',') AS missing FROM g", "facts"),
     "e8_coverage_state": oracle("WITH " + COVER + ", z AS (SELECT count(*) AS validated, CAST(0 AS BIGINT) AS technical, count(*) FILTER (fundamental) AS fundamental, count(*) FILTER (news) AS news, count(*) FILTER (counter) AS counter FROM g) SELECT *, validated >= 50 AND fundamental >= 35 AND counter >= 25 AS sufficient, round_even(least(validated + fundamental + news + counter, 200) / 200, 2) AS completion FROM z", "facts"),
     "e13_entity_sources": oracle("WITH b AS (SELECT entity_id, source FROM facts UNION ALL SELECT 'E' || l_partkey, 'src' || (l_suppkey % 9) FROM lineitem) SELECT entity_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n FROM b GROUP BY 1", "facts"),
     "j11_hiring_posts": f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '{whole('the|des')}') AND NOT regexp_matches(lower(text), '{whole('und|que')}')",
-    "j13_contact_points": "WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')) AS a, regexp_extract_all(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}') AS raw FROM documents), u AS (SELECT doc_id, unnest(a) AS email, raw FROM m), p AS (SELECT doc_id, email, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(raw, email)) AS k FROM u) SELECT doc_id, email FROM p WHERE k <= 3",
+    "j13_contact_points": oracle(rf"""WITH k AS (SELECT *, coalesce(url, '') AS u, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}'), lambda x: list_contains({m.rules.ROLE_MAILBOXES}, string_split(x, '@')[1])) AS a FROM reached),
+ e AS (SELECT entity_id, doc_id AS seen, 0 AS pos, 'page' AS kind, u AS value, u AS source, 0.9 AS confidence FROM k WHERE {HAS("lower(u)", m.CONTACT_PARTS)} UNION ALL SELECT entity_id, doc_id, generate_subscripts(a, 1), 'email', unnest(a), u, 0.95 FROM k UNION ALL SELECT DISTINCT entity_id, -1, 0, 'page', 'https://' || rtrim(own, '/') || '/contact', 'own domain', 1.0 FROM reached WHERE own IS NOT NULL),
+ g AS (SELECT *, row_number() OVER (PARTITION BY entity_id, value ORDER BY seen, pos) AS again FROM e) SELECT entity_id, kind, value, source, CAST(confidence AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY entity_id ORDER BY seen, pos, value) AS place FROM g WHERE again = 1""", "reached"),
     "j14_company_profiles": oracle("SELECT entity_id, arg_max(value_text, seq) FILTER (lower(field) = 'revenue') AS revenue, arg_max(value_text, seq) FILTER (lower(field) = 'headquarters') AS headquarters FROM facts GROUP BY 1", "facts"),
     "j15_price_mentions": "SELECT o_orderkey AS doc_id, CAST(o_custkey AS DOUBLE) AS current, CASE o_orderkey % 3 WHEN 0 THEN o_custkey + 10 ELSE o_custkey + 0.5::DOUBLE END AS target FROM orders WHERE o_orderkey % 3 < 2",
     "j16_ticker_mentions": UNIVERSE + r""", t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS t FROM documents)

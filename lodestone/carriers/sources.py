@@ -64,7 +64,7 @@ def export(s, d):
     df = carrier(s, d, "postings").filter("status = 'verified'")
     path = f"{shared_folder(s)}/export-{uuid.uuid4().hex}"
     sinks.export_csv(df, path)
-    return sinks.manifest(df, path).agg(F.max("rows").alias("rows"), (F.sum("length") > 0).alias("written"))
+    return sinks.manifest(s, path, "csv").agg(F.sum("rows").alias("rows"), F.bool_and((F.col("length") > 0) & (F.length("sha256") == 64)).alias("written"))
 
 
 def json_export(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,12 +152,35 @@ def entity_mentions(entities: DataFrame, docs: DataFrame, name: str, key: str, a
     return patterns.contained(texts, key, "lower_text", named, "low").join(named, "low").select(key, name).distinct()
 
 
-def claim_passages(docs: DataFrame, key: str, most: int = 6) -> DataFrame:
-    """First paragraphs of each document that read like prose, cut to 300 characters, with a counter-evidence flag."""
-    rows = docs.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "p")).withColumn("p", F.trim("p"))
-    prose = rows.filter((F.length("p") >= 60) & ~F.lower("p").rlike("cookie|subscribe|sign in|all rights reserved") & (F.length("p") - F.length(F.replace("p", F.lit("|"), F.lit(""))) < 5))
-    picked = prose.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).filter(F.col("place") <= most)
-    return picked.select(key, "place", F.substring("p", 1, 300).alias("claim"), F.lower("p").rlike(r"\b(however|risk|limitation|drawback|criticism)\b").alias("is_counter"))
+# Phrases of boilerplate, and signs of counter evidence.
+BOILERPLATE = ["skip to main content", "fetch the complete documentation index", "documentation index fetch", "/llms.txt", "cookie policy", "privacy policy", "all rights reserved", "table of contents", "sign in to continue", "terms of service"]
+COUNTER_SIGNS = ["limitation", "drawback", "bottleneck", "issue", "tradeoff", "trade-off", "latency", "overhead", "complex", "difficulty", "risk", "pitfall"]
+
+
+def claim_passages(docs: DataFrame, key: str, text: str = "text", most: int | None = None, width: int | None = None) -> DataFrame:
+    """The description in a text's metadata block and its paragraphs that read like prose: key, place, claim, is_counter.
+
+    Paragraphs are parted by blank lines and have over 40 characters; boilerplate, menus (over 6 lines of under 25 characters on
+    average) and what the description says go. White space becomes one space. A description has over 30 characters and is
+    never counter evidence. All work stays in the row. most: passages kept of a document; width: characters kept of one (both
+    by default all). Null and empty texts give no row.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    marked = lambda x, words: reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in words])
+    block = F.regexp_extract(text, r"(?s)--- STRUCTURED PAGE METADATA ---\s*(.*?)\s*--- END PAGE METADATA ---", 1)
+    told = F.trim(F.regexp_extract(block, r"(?md)^DESCRIPTION:(.*)$", 1))
+    body = F.regexp_replace(text, r"(?s)--- STRUCTURED (?:JOB SCHEMA \(JSON-LD\)|PAGE METADATA) ---.*?--- END (?:STRUCTURED SCHEMA|PAGE METADATA) ---\s*", "")
+    breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+    menu = lambda p: (breaks(p) > 5) & ((F.length(p) - breaks(p)) / (breaks(p) + 1) < 25)
+    prose = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: (F.length(p) > 40) & ~marked(p, BOILERPLATE) & ~menu(p))
+    cut_to = lambda x: x if width is None else F.when(F.length(x) > width, F.concat(F.substring(x, 1, width - 3), F.lit("..."))).otherwise(x)
+    rows = docs.select(key, told.alias("told"), F.transform(prose, lambda p: cut_to(F.regexp_replace(p, r"\s+", " "))).alias("said"))
+    said = F.filter("said", lambda p: ~F.contains(F.col("told"), p))
+    of = lambda claim, counter: F.struct(claim.alias("claim"), counter.alias("is_counter"))
+    first = F.when(F.length("told") > 30, F.array(of(F.col("told"), F.lit(False)))).otherwise(F.array().cast("array<struct<claim:string,is_counter:boolean>>"))
+    every = F.concat(first, F.transform(said, lambda p: of(p, marked(p, COUNTER_SIGNS))))
+    rows = rows.select(key, F.posexplode(every if most is None else F.slice(every, 1, most)).alias("at", "p"))
+    return rows.select(key, (F.col("at") + 1).alias("place"), "p.claim", "p.is_counter")
 
 
 def bibliography(claims: DataFrame, url: str, order: str) -> DataFrame:
@@ -205,10 +229,29 @@ def hiring_posts(posts: DataFrame, text: str = "text", hiring: str = HIRING, see
     return posts.filter(low.rlike(hiring) & ~low.rlike(seeking))
 
 
-def contact_points(docs: DataFrame, key: str, most: int = 3) -> DataFrame:
-    """Up to `most` distinct mailboxes of each document in order of appearance."""
-    mails = docs.select(key, F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), 0))).alias("pos", "email"))
-    return mails.filter(F.col("pos") < most).select(key, "email")
+# Parts of an address that mark a page to write to.
+CONTACT_PARTS = ["contact", "about", "careers", "reach-us"]
+
+
+def contact_points(hits: DataFrame, entity: str, order: str, domain: str | None = None, most: int | None = None) -> DataFrame:
+    """Pages and role mailboxes of each entity, each once, in order of appearance: entity, kind, value, source, confidence, place.
+
+    hits: entity, order, url, text and (if named) the entity's own domain, whose /contact page comes first. A hit gives its
+    address, if it looks like a page to write to, before its mailboxes. place numbers an entity's contacts; most: those kept
+    (by default all). Nulls give nothing.
+    """
+    of = lambda kind, value, source, sure: F.struct(F.lit(kind).alias("kind"), value.alias("value"), source.alias("source"), F.lit(sure).alias("confidence"))
+    url, blank = F.coalesce("url", F.lit("")), F.lit("")
+    named = reduce(lambda a, b: a | b, [F.contains(F.lower(url), F.lit(w)) for w in CONTACT_PARTS])
+    mails = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", blank)), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), 0), lambda m: F.split(m, "@")[0].isin(rules.ROLE_MAILBOXES))
+    parts = [F.array(F.when(named, of("page", url, url, 0.9))), F.transform(mails, lambda m: of("email", m, url, 0.95))]
+    each = hits.select(entity, F.col(order).alias("seen"), F.posexplode(F.array_compact(F.concat(*parts))).alias("pos", "c")).select(entity, "seen", "pos", "c.*")
+    if domain:
+        own = hits.filter(F.coalesce(F.col(domain), blank) != "").select(entity, F.concat(F.lit("https://"), F.regexp_replace(F.col(domain), "/+$", ""), F.lit("/contact")).alias("value")).distinct()
+        each = each.unionByName(own.select(entity, (F.lit(None)).cast(hits.schema[order].dataType).alias("seen"), F.lit(0).alias("pos"), F.lit("page").alias("kind"), "value", F.lit("own domain").alias("source"), F.lit(1.0).alias("confidence")))
+    once = each.groupBy(entity, "value").agg(F.min(F.struct("seen", "pos", "kind", "source", "confidence")).alias("c"))
+    out = once.withColumn("place", F.row_number().over(Window.partitionBy(entity).orderBy("c.seen", "c.pos", "value"))).select(entity, "c.kind", "value", "c.source", "c.confidence", "place")
+    return out if most is None else out.filter(F.col("place") <= most)
 
 
 def company_profiles(facts: DataFrame, entity: str, order: str, fields: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import columns as c
@@ -72,11 +74,33 @@ def cap(ranked: DataFrame, n: int, group: str, order: list) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= n)
 
 
-def facets(records: DataFrame, top: int = 120) -> DataFrame:
-    """Counts by company, by location and by status in one pass over the rows, the largest first."""
-    sets = records.groupingSets([["company"], ["location"], ["status"]], "company", "location", "status").agg(F.count("*").alias("n"), F.grouping_id("company", "location", "status").alias("g"))
-    named = sets.select(F.when(F.col("g") == 3, "company").when(F.col("g") == 5, "location").otherwise("status").alias("facet"), F.coalesce("company", "location", "status").alias("value"), "n")
-    return named.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).filter(F.col("place") <= top)
+def shown_place(location: Column) -> Column:
+    """A location as it is shown: the address parts of an object given as text, no brackets or quotes around it, a word for none."""
+    part = lambda name: F.regexp_extract(location, rf"(?i){name}['\"]\s*:\s*['\"]([^'\"]+)['\"]", 1)
+    parts = F.concat_ws(", ", *[c.empty_as_null(F.trim(part(name))) for name in ("addressLocality", "addressRegion", "addressCountry")])
+    plain = F.regexp_replace(location, r"""^['"{}\[\]\s]+|['"{}\[\]\s]+$""", "")
+    none = F.lower(F.trim(F.coalesce(location, F.lit("")))).isin("", "unspecified")
+    return F.when(none, "Remote / Unspecified").when(parts != "", parts).when(plain != "", plain).otherwise("Remote / Unspecified")
+
+
+def facets(records: DataFrame, tops: dict[str, int] | None = None) -> DataFrame:
+    """Listings by company, place, work mode and status in one pass over the rows, the largest first: facet, value, n, place.
+
+    A blank company is a direct employer. A listing whose location says remote, or says nothing, is remote, any other on-site.
+    Places without a name get no row, nor does the place "remote", though it keeps its number. tops: rows kept of a facet (by
+    default all).
+    """
+    here = shown_place(F.col("location"))
+    remote = F.contains(F.lower(F.coalesce("location", F.lit(""))), F.lit("remote")) | F.contains(F.lower(here), F.lit("remote"))
+    shown = records.select(F.coalesce(c.empty_as_null(F.trim("company")), F.lit("Direct Employer")).alias("company"), here.alias("location"), F.when(remote, "remote").otherwise("onsite").alias("mode"), "status")
+    names = ["company", "location", "mode", "status"]
+    sets = shown.groupingSets([[x] for x in names], *names).agg(F.count("*").alias("n"), F.grouping_id(*names).alias("g"))
+    facet = F.when(F.col("g") == 7, "company").when(F.col("g") == 11, "location").when(F.col("g") == 13, "mode").otherwise("status")
+    named = sets.select(facet.alias("facet"), F.coalesce(*names).alias("value"), "n").filter((F.col("facet") != "location") | ~F.contains(F.lower("value"), F.lit("unspecified")))
+    out = named.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")))
+    for name, most in (tops or {}).items():
+        out = out.filter((F.col("facet") != name) | (F.col("place") <= most))
+    return out.filter((F.col("facet") != "location") | (F.lower("value") != "remote"))
 
 
 def status_totals(status: DataFrame) -> DataFrame:
@@ -179,16 +203,59 @@ def run_diagnostics(records: DataFrame) -> DataFrame:
     return records.groupBy("run_id").agg(F.count("*").alias("candidates"), *map(count, ("verified", "needs_review", "rejected", "duplicate")), F.count_if(F.col("salary").isNotNull() & (F.col("salary") != "")).alias("with_salary"))
 
 
+def is_at(place: str) -> Column:
+    """Whether a location has the wanted place or a word of it; a null has none."""
+    low = F.coalesce(F.lower("location"), F.lit(""))
+    words = sorted({place.lower(), *place.lower().split()})
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
+
+NO_EXPERIENCE = "experience_min IS NULL AND experience_max IS NULL"
+
+
 def coverage_report(records: DataFrame, locations: list[str]) -> DataFrame:
-    """Per wanted place: listings, zero-filled, how many lack a date, and a status."""
-    spark = records.sparkSession
-    dim = spark.createDataFrame([(x,) for x in locations], "place string")
-    named = records.select(F.lower("location").alias("low"), "posted_age_seconds").filter("low is not null")
-    joined = dim.join(named, F.contains(F.col("low"), F.lower("place")), "left")
-    told = joined.groupBy("place").agg(F.count("low").alias("n"), F.count_if(F.col("low").isNotNull() & F.col("posted_age_seconds").isNull()).alias("undated"))
+    """Per wanted place: listings, how many of them lack a date or an experience, and a status. Places without any have zeros.
+
+    The places are columns of one aggregate, so the rows are read once and never joined.
+    """
+    undated, unknown = F.col("posted_age_seconds").isNull(), F.expr(NO_EXPERIENCE)
+    one = lambda p: F.struct(F.lit(p).alias("place"), F.count_if(is_at(p)).alias("n"), F.count_if(is_at(p) & undated).alias("undated"), F.count_if(is_at(p) & unknown).alias("unknown_experience"))
+    told = records.agg(F.array(*map(one, locations)).alias("told")).select(F.inline("told"))
     return told.withColumn("status", F.when(F.col("n") == 0, "missing").when(F.col("n") < 5, "weak").otherwise("covered"))
 
 
+def run_coverage(runs: DataFrame, records: DataFrame, tasks: DataFrame, locations: list[str], target: int, as_of: str, max_search_calls: int = 150, max_fetch_calls: int = 300) -> DataFrame:
+    """One row a run: what was found, what the crawl left, which budgets were reached, and how far the run may be trusted.
+
+    runs: run_id, search_calls, fetch_calls, deadline. records: run_id, status, qualified, location, experience_min,
+    experience_max, posted_age_seconds. tasks: run_id, state (completed, partial, blocked, failed or pending). A run past its
+    deadline is interrupted; else one with a budget reached, work left or a partial task is partial; else one without a
+    qualified row but with failed or blocked tasks has failed; any other is complete within its scope. Wanted places without
+    a qualified row are weak areas. A run without records or tasks has zeros.
+    """
+    good, count = F.coalesce("qualified", F.lit(False)), lambda s: F.count_if(F.col("status") == s)
+    found = records.groupBy("run_id").agg(
+        F.count("*").alias("raw"), count("duplicate").alias("duplicates"), count("verified").alias("verified"), count("rejected").alias("rejected"), F.count_if(good).alias("qualified"),
+        F.count_if(good & F.expr(NO_EXPERIENCE)).alias("unknown_experience"), F.count_if(good & F.col("posted_age_seconds").isNull()).alias("unknown_date"),
+        F.array_compact(F.array(*[F.when(F.count_if(good & is_at(p)) > 0, F.lit(p)) for p in locations])).alias("reached"),
+    )
+    states = ("completed", "partial", "blocked", "failed", "pending")
+    crawl = tasks.groupBy("run_id").agg(F.count("*").alias("discovered"), *[F.count_if(F.col("state") == s).alias(s) for s in states])
+    none = F.array().cast("array<string>")
+    out = runs.join(found, "run_id", "left").join(crawl, "run_id", "left").fillna(0, ["raw", "duplicates", "verified", "rejected", "qualified", "unknown_experience", "unknown_date", "discovered", *states])
+    over = [("max_search_calls", F.col("search_calls") >= max_search_calls), ("max_fetch_calls", F.col("fetch_calls") >= max_fetch_calls), ("deadline_exceeded", F.col("deadline") <= F.lit(as_of).cast("timestamp"))]
+    out = out.withColumns({
+        "unique": F.col("raw") - F.col("duplicates"), "weak_areas": F.array_except(F.array(*map(F.lit, locations)), F.coalesce("reached", none)) if locations else none,
+        "budgets_reached": F.array_compact(F.array(*[F.when(reached, F.lit(name)) for name, reached in over])),
+    }).drop("reached")
+    status = (
+        F.when(F.array_contains("budgets_reached", "deadline_exceeded"), "interrupted").when((F.size("budgets_reached") > 0) | (F.col("pending") + F.col("partial") > 0), "partial")
+        .when((F.col("qualified") == 0) & (F.col("failed") + F.col("blocked") > 0), "failed").otherwise("complete_within_scope")
+    )
+    enough = (F.col("qualified") >= target) | ((F.size("weak_areas") == 0) & (F.col("qualified") > 0))
+    return out.withColumn("run_status", status).withColumns({"can_resume": F.col("run_status").isin("interrupted", "partial"), "is_sufficient": enough})
+
+
 def csv_cells(df: DataFrame, names: list[str]) -> DataFrame:
     """Cells that a spreadsheet would run as formulas get a leading quote."""
     return df.select(*[x if x not in names else F.when(F.ltrim(F.regexp_replace(x, r"^\s+", "")).rlike(r"^[=+\-@%]") | F.col(x).rlike(r"^[\t\r]"), F.concat(F.lit("'"), x)).otherwise(F.col(x)).alias(x) for x in df.columns])
@@ -198,3 +265,45 @@ def ops_metrics(calls: DataFrame) -> DataFrame:
     """Errors and durations by tool and domain, with subtotals."""
     out = calls.rollup("tool", "domain").agg(F.count("*").alias("n"), F.count_if("failed").alias("errors"), F.percentile("duration", 0.5).alias("p50"), F.percentile("duration", 0.95).alias("p95"))
     return out.withColumn("error_rate", F.col("errors") / F.col("n"))
+
+
+def ops_sketches(calls: DataFrame, k: int = 200) -> DataFrame:
+    """A quantile sketch of the durations, calls and errors of each tool and domain, to be stored and added up later.
+
+    A quantile of a sketch is off by some 1.65 % of the rows in rank for k = 200, with 99 % confidence.
+    """
+    return calls.groupBy("tool", "domain").agg(F.count("*").alias("n"), F.count_if("failed").alias("errors"), F.kll_sketch_agg_double("duration", F.lit(k)).alias("sketch"))
+
+
+def ops_rollup(sketches: DataFrame) -> DataFrame:
+    """Calls, errors and durations by tool and domain with subtotals, out of the sketches of ops_sketches() alone."""
+    out = sketches.rollup("tool", "domain").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return out.select("tool", "domain", "n", "errors", F.try_divide("errors", "n").alias("error_rate"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+def quality_metrics(records: DataFrame, evidence: DataFrame, required: list[str]) -> DataFrame:
+    """Per run: acceptance, required fields filled, filled fields with evidence, duplicates, and records with a field whose evidence disagrees.
+
+    records: run_id, record_id, status and the required columns (text); evidence: record_id, field_name, supports_value. A rate
+    without anything to count is null.
+    """
+    told = evidence.filter(F.col("field_name").isin(required)).groupBy("record_id", "field_name").agg((F.min("supports_value") != F.max("supports_value")).alias("disagrees"))
+    told = told.groupBy("record_id").agg(F.collect_set("field_name").alias("told"), F.bool_or("disagrees").alias("conflict"))
+    filled = {x: F.coalesce(F.trim(x), F.lit("")) != "" for x in required}
+    add = lambda tests: reduce(lambda a, b: a + b, [t.cast("int") for t in tests])
+    has = lambda x: F.coalesce(F.array_contains("told", x), F.lit(False))
+    rows = records.join(told, "record_id", "left").select("run_id", "status", add(filled.values()).alias("filled"), add([f & has(x) for x, f in filled.items()]).alias("proved"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    rate = lambda a, b: F.try_divide(a, b)
+    n = F.count("*")
+    return rows.groupBy("run_id").agg(
+        n.alias("n"), rate(F.count_if(F.col("status") == "verified"), n).alias("acceptance_rate"), rate(F.sum("filled"), n * len(required)).alias("field_completeness"), rate(F.sum("proved"), F.sum("filled")).alias("evidence_coverage"),
+        rate(F.count_if(F.col("status") == "duplicate"), n).alias("duplicate_rate"), rate(F.count_if("conflict"), n).alias("conflict_rate"),
+    )
+
+
+def run_rates(covered: DataFrame) -> DataFrame:
+    """Shares of the runs of run_coverage() that are complete, partial, interrupted, failed and able to go on."""
+    n = F.count("*")
+    share = lambda s: F.try_divide(F.count_if(F.col("run_status") == s), n)
+    return covered.agg(n.alias("runs"), share("complete_within_scope").alias("success_rate"), share("partial").alias("partial_rate"), share("interrupted").alias("interrupted_rate"), share("failed").alias("failure_rate"), F.try_divide(F.count_if("can_resume"), n).alias("resumable_rate"))
