@@ -52,10 +52,10 @@ ORACLES = {
         f"WITH {ROWS}, v(i, k, c) AS (VALUES {VALUES(places.NAMES)}) SELECT seq, coalesce(c, CASE WHEN length(trim(coalesce(place, ''))) > 3 THEN array_to_string(list_transform(regexp_extract_all(lower(trim(place)), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') ELSE upper(trim(coalesce(place, ''))) END) AS name FROM p LEFT JOIN v ON v.k = lower(trim(place))", "postings"),
     "c15_candidate_triage": oracle(
         f"WITH t AS (SELECT seq, lower(url) AS u, lower(title) AS t, lower(snippet) AS s, lower(url || ' ' || title || ' ' || snippet) AS x FROM found) SELECT seq, NOT ({any_of('u', m.JUNK_URLS)} OR {any_of('t', m.JUNK_TITLES)} OR {any_of('t', m.OTHER_TRADES)} AND NOT {any_of('t', m.AI_REQUESTS)} OR {any_of('u', m.FOREIGN_HOSTS)} OR {any_of('x', m.FOREIGN_PLACES)} AND NOT {any_of('x', m.EXCUSES)} "
-        f"OR contains(u, 'linkedin.com') AND {any_of('u', m.POSTS)} AND {any_of('x', m.SEEKERS)} OR regexp_matches(s, '{m.STALE}') OR regexp_matches(t, '{m.STALE}')) AS promising FROM t", "found"),
+        f"OR contains(u, 'linkedin.com') AND {any_of('u', m.POSTS)} AND {any_of('x', m.SEEKERS)} OR {' OR '.join(f"regexp_matches({x}, '{p}')" for p in m.STALE for x in 'st')}) AS promising FROM t", "found"),
     "b13_employer_discovery": oracle(
         f"WITH a AS (SELECT seq, url, coalesce({', '.join(SLUGS)}) AS slug, CASE {' '.join(f'WHEN {x} IS NOT NULL THEN ' + repr(n) for (n, _), x in zip(m.PLATFORMS, SLUGS))} END AS platform, replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), 'www.', '') AS host, coalesce({ACCEPT}) AS employer FROM found), "
         f"p AS (SELECT 'platform' AS kind, slug AS key, arg_min(platform, seq) AS detail, arg_min(url, seq) AS url, min(seq) AS seq FROM a WHERE length(slug) > 1 AND slug NOT IN ({listed(m.NO_EMPLOYERS)}) GROUP BY slug), "
         f"e AS (SELECT 'employer' AS kind, lower(employer) AS key, arg_min(employer, seq) AS detail, arg_min(url, seq) AS url, min(seq) AS seq FROM a WHERE employer IS NOT NULL AND lower(employer) NOT IN (SELECT key FROM p) GROUP BY 2), "
-        f"b AS (SELECT 'board' AS kind, host AS key, host AS detail, arg_min(url, seq) AS url, min(seq) AS seq FROM a WHERE slug IS NULL AND host <> '' AND NOT {any_of('host', m.NO_BOARDS)} AND {any_of('lower(url)', m.BOARD_PATHS)} AND NOT (split_part(host, '.', 1) IN ({listed(m.FOREIGN_STARTS)}) AND contains(host, '.') OR {' OR '.join(f'ends_with(host, ' + repr('.' + x) + ')' for x in m.FOREIGN_ENDS)}) GROUP BY host) SELECT * FROM p UNION ALL SELECT * FROM e UNION ALL SELECT * FROM b", "found"),
+        f"b AS (SELECT 'board' AS kind, host AS key, host AS detail, arg_min(url, seq) AS url, min(seq) AS seq FROM a WHERE slug IS NULL AND host <> '' AND NOT {any_of('host', m.SOCIAL_HOSTS + m.AGGREGATOR_HOSTS)} AND {any_of('lower(url)', m.BOARD_PATHS)} AND NOT (split_part(host, '.', 1) IN ({listed(m.FOREIGN_STARTS)}) AND contains(host, '.') OR {' OR '.join(f'ends_with(host, ' + repr('.' + x) + ')' for x in m.FOREIGN_ENDS)}) GROUP BY host) SELECT * FROM p UNION ALL SELECT * FROM e UNION ALL SELECT * FROM b", "found"),
 }

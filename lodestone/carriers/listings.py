@@ -76,7 +76,7 @@ QUERIES = {
     "g3_page_after": lambda s, d: m.page_after(P(s, d), "1997-05-28", 500, 40).select("record_id"),
     "g4_recent_rows": lambda s, d: m.page(P(s, d), 20, 0).select("record_id", "run_id"),
     "g6_cap_results": lambda s, d: m.cap(P(s, d), 10, "run_id", [F.desc_nulls_last("confidence"), "seq"]).select("run_id", "record_id", "place"),
-    "h2_merge_sources": lambda s, d: m.merge_sources(*[postings.identity_keys(P(s, d).filter(f"source = '{x}'")) for x in ("greenhouse", "linkedin", "bayt")]).select("record_id"),
+    "h2_merge_sources": lambda s, d: m.merge_sources(*[postings.identity_keys(P(s, d).filter(f"source = '{x}'")) for x in ("greenhouse", "linkedin", "bayt", "careers", "lever.co", "indeed")]).select("record_id"),
     "h3_unprocessed": lambda s, d: m.unprocessed(P(s, d), A(s, d).filter("applied_status = 'applied'"), P(s, d).filter("status = 'rejected'")).select("record_id"),
     "h5_cascade_delete": lambda s, d: m.cascade_delete({"records": P(s, d).withColumn("identity_key", F.when(F.col("seq") % 3 > 0, F.concat("document_id", "source"))), "evidence": carrier(s, d, "evidence")}, P(s, d).filter("seq % 1000 = 4").select("record_id"))["evidence"].groupBy("field_name").agg(F.count("*").alias("n")),
     "h6_retention_sweep": lambda s, d: m.retention(table(s, d, "events"), "ts", {"view": 10, "click": 3}, "event_type", "2024-01-31").groupBy("event_type").agg(F.count("*").alias("n")),
@@ -128,7 +128,7 @@ ORACLES = {
     "g3_page_after": oracle("SELECT record_id FROM postings WHERE created_at < TIMESTAMP '1997-05-28' OR created_at = TIMESTAMP '1997-05-28' AND seq < 500 ORDER BY created_at DESC, seq DESC LIMIT 40", "postings"),
     "g4_recent_rows": oracle("SELECT record_id, run_id FROM postings ORDER BY created_at DESC, seq DESC LIMIT 20", "postings"),
     "g6_cap_results": oracle("WITH r AS (SELECT run_id, record_id, row_number() OVER (PARTITION BY run_id ORDER BY confidence DESC NULLS LAST, seq) AS place FROM postings) SELECT * FROM r WHERE place <= 10", "postings"),
-    "h2_merge_sources": oracle("WITH r AS (SELECT record_id, row_number() OVER (PARTITION BY lower(trim(title)), lower(trim(company)) ORDER BY seq % 6, seq) AS place FROM postings WHERE seq % 6 < 3) SELECT record_id FROM r WHERE place = 1", "postings"),
+    "h2_merge_sources": oracle("WITH r AS (SELECT record_id, row_number() OVER (PARTITION BY lower(trim(title)), lower(trim(company)) ORDER BY seq % 6, seq) AS place FROM postings) SELECT record_id FROM r WHERE place = 1", "postings"),
     "h3_unprocessed": oracle("SELECT record_id FROM postings WHERE status <> 'rejected' AND record_id NOT IN (SELECT record_id FROM applications WHERE applied_status = 'applied')", "postings", "applications"),
     "h5_cascade_delete": oracle(f"WITH c AS (SELECT record_id, seq, CASE WHEN length(trim(title)) >= 3 AND trim(company) <> '' THEN lower(trim(title)) || '|' || lower(trim(company)) END AS k, CASE WHEN {POSTING} THEN {CANON.format('url')} END AS u, CASE WHEN seq % 3 > 0 THEN document_id || source END AS i FROM postings), x AS (SELECT * FROM c WHERE seq % 1000 = 4), g AS (SELECT record_id FROM c WHERE k IN (SELECT k FROM x WHERE k IS NOT NULL) OR u IN (SELECT u FROM x WHERE u IS NOT NULL) OR i IN (SELECT i FROM x WHERE i IS NOT NULL) OR seq % 1000 = 4) SELECT field_name, count(*) AS n FROM evidence WHERE record_id NOT IN (SELECT record_id FROM g) GROUP BY 1", "postings", "evidence"),
     "h6_retention_sweep": "SELECT event_type, count(*) AS n FROM events WHERE NOT (event_type = 'view' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') > 10 OR event_type = 'click' AND date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') > 3) GROUP BY 1",

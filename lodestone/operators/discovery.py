@@ -27,7 +27,13 @@ SEEKERS = [
     "celebrating 10 years", "promoted to", "congratulations to",
 ]
 # Marks of old postings.
-STALE = r"\b([1-9]|\d{2})\s+years?\s+ago\b|\b([3-9]|1[0-2])\s+months?\s+ago\b|\b[1-9][0-9]{2}\s+days?\s+ago\b|\bposted[:\s]+(\w+\s+\d{1,2},\s+)?(2020|2021|2022|2023|2024)\b"
+STALE = [
+    r"\b(?:[1-9]|\d{2})\s+years?\s+ago\b",
+    r"\b(?:over\s+|more\s+than\s+)?1\s+year\s+ago\b",
+    r"\b(?:[3-9]|1[0-2])\s+months?\s+ago\b",
+    r"\b(?:1[0-9]{2}|[2-9][0-9]{2})\s+days?\s+ago\b",
+    r"\bposted[:\s]+(?:\w+\s+\d{1,2},\s+)?(2020|2021|2022|2023|2024)\b",
+]
 # Hiring platforms with the patterns of an employer's name in their URLs.
 PLATFORMS = [
     ("greenhouse", r"boards\.greenhouse\.io/([^/?#]+)"), ("greenhouse", r"job-boards\.greenhouse\.io/([^/?#]+)"), ("lever", r"jobs\.lever\.co/([^/?#]+)"), ("ashby", r"jobs\.ashbyhq\.com/([^/?#]+)"),
@@ -48,14 +54,18 @@ NO_EMPLOYER_PARTS = [
 # Where a title names the employer.
 NAME = r"[A-Z0-9][A-Za-z0-9\s&.]{1,30}?"
 EMPLOYER_PATTERNS = [rf"(?:at|@)\s+({NAME})(?:\s+in|\s+[-|–—]|\s+\(|$)", rf"({NAME})\s+is hiring\b", rf"({NAME})\s+Careers\b", rf"[-|–—]\s+({NAME})(?:\s+[-|–—]|\s+Careers|\s+Jobs|$)"]
-# Hosts that are no boards, paths of boards, and marks of foreign hosts.
-NO_BOARDS = [
-    "google", "duckduckgo", "bing", "yahoo", "facebook", "twitter", "x.com", "instagram", "wikipedia", "youtube", "medium.com", "linkedin.com", "indeed.com", "glassdoor.com", "monster.com", "ziprecruiter.com", "bayt.com", "gulftalent.com",
-    "naukrigulf.com",
-]
+# Hosts of search and social sites, hosts of aggregators, paths of boards, and marks of foreign hosts.
+SOCIAL_HOSTS = ["google", "duckduckgo", "bing", "yahoo", "facebook", "twitter", "x.com", "instagram", "wikipedia", "youtube", "medium.com"]
+AGGREGATOR_HOSTS = ["linkedin.com", "indeed.com", "glassdoor.com", "monster.com", "ziprecruiter.com", "bayt.com", "gulftalent.com", "naukrigulf.com"]
 BOARD_PATHS = ["/jobs", "/careers", "/career", "/vacancies", "/job-opening"]
-FOREIGN_STARTS = "ru au sg in pe de fr uk ca br jp mx es it nl pl ch se no fi ie nz za ph pk bd vn th my id eg tr cn hk tw kr".split()
-FOREIGN_ENDS = "fr de it es ru in co.uk ca com.br pl nl jp cn au uk br ch se no fi ie nz za ph pk bd vn th my id tr kr".split()
+FOREIGN_STARTS = [
+    "ru", "au", "sg", "in", "pe", "de", "fr", "uk", "ca", "br", "jp", "mx", "es", "it", "nl", "pl", "ch", "se", "no", "fi",
+    "ie", "nz", "za", "ph", "pk", "bd", "vn", "th", "my", "id", "eg", "tr", "cn", "hk", "tw", "kr",
+]
+FOREIGN_ENDS = [
+    "fr", "de", "it", "es", "ru", "in", "co.uk", "ca", "com.br", "pl", "nl", "jp", "cn", "au", "uk", "br", "ch", "se", "no", "fi",
+    "ie", "nz", "za", "ph", "pk", "bd", "vn", "th", "my", "id", "tr", "kr",
+]
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -73,7 +83,8 @@ def triage(hits: DataFrame, request: str = "", locations: tuple[str, ...] = (),
         if any(k in place.lower() for place in locations for k in GULF):
             junk = junk | has_any(url, FOREIGN_HOSTS) | (has_any(text, FOREIGN_PLACES) & ~has_any(text, EXCUSES))
         post = F.contains(url, F.lit("linkedin.com")) & has_any(url, POSTS)
-        junk = junk | (post & has_any(text, SEEKERS)) | snippet.rlike(STALE) | title.rlike(STALE)
+        old = "|".join(STALE)
+        junk = junk | (post & has_any(text, SEEKERS)) | snippet.rlike(old) | title.rlike(old)
     return hits.withColumn("promising", ~junk)
 
 
@@ -98,7 +109,7 @@ def discover_sources(hits: DataFrame, known_boards: DataFrame | None = None, loc
     host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)), r"www\.", "")
     foreign = host.rlike("^(" + "|".join(FOREIGN_STARTS) + r")\.") | host.rlike(r"\.(" + "|".join(x.replace(".", r"\.") for x in FOREIGN_ENDS) + ")$")
     gulf = any(k in place.lower() for place in locations for k in [*GULF, "middle east"])
-    board = F.col("platform").isNull() & (F.col("host") != "") & ~has_any(F.col("host"), NO_BOARDS) & has_any(F.lower("url"), BOARD_PATHS)
+    board = F.col("platform").isNull() & (F.col("host") != "") & ~has_any(F.col("host"), SOCIAL_HOSTS + AGGREGATOR_HOSTS) & has_any(F.lower("url"), BOARD_PATHS)
     marked = hits.filter(F.coalesce("url", F.lit("")) != "").select("seq", "url", found.alias("platform"), host.alias("host"), employer_name(F.trim("title")).alias("employer"), (foreign if gulf else F.lit(False)).alias("foreign"))
     first = lambda df, key, detail, kind: df.groupBy(key.alias("key")).agg(F.min_by(F.struct(detail.alias("detail"), "url", "seq"), "seq").alias("r")).select(F.lit(kind).alias("kind"), "key", "r.*")
     of_platform = marked.filter("length(platform.slug) > 1").filter(~F.col("platform.slug").isin(NO_EMPLOYERS))

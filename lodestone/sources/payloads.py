@@ -5,12 +5,15 @@ A kind of payload is a JSON schema and a mapping; register_source() adds one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POSTING = ("title", "location", "url", "posted_at", "department")
 SOURCES: dict[str, tuple[str, str | None, Callable[[Column, Column], dict[str, Column]]]] = {}
@@ -65,62 +68,143 @@ def jsonld_postings(pages: DataFrame, key: str = "page_id", html: str = "html")
     return whole.select(key, F.col("p.title").alias("title"), F.col("p.hiringOrganization.name").alias("company"), F.concat_ws(", ", place["addressLocality"], place["addressRegion"], place["addressCountry"]).alias("location"), F.col("p.datePosted").alias("posted_at"), F.col("p.baseSalary.value.minValue").alias("salary_min"), F.col("p.baseSalary.value.maxValue").alias("salary_max"), F.col("p.baseSalary.currency").alias("currency"))
 
 
-# Elements without main text.
-SKIPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "noscript", "title"}
-CLUTTER = {"ad", "ads", "cookie", "banner", "sidebar", "popup", "newsletter"}
+# Elements without main text, marks of clutter in a class or an id, and of the part with the content.
+SKIPPED = {"script", "style", "nav", "footer", "header", "noscript", "svg", "iframe", "aside", "form"}
+CLUTTER = re.compile("sidebar|ad-|ads-|advertisement|banner|newsletter|cookie|popup|modal|social-share|share-buttons|author-box|related-posts|comments|menu-main|navbar", re.IGNORECASE)
+CONTENT = re.compile("content|markdown-body|documentation|post-content", re.IGNORECASE)
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
+# The metas that a value is taken from, and the words that make a JSON-LD script a posting's.
+METAS = {"og:title": "title", "twitter:title": "title", "og:description": "description", "twitter:description": "description", "description": "description", "og:url": "url", "twitter:url": "url"}
+SCHEMA_WORDS = ("JobPosting", "datePosted", "hiringOrganization")
 
 
-class MainText(HTMLParser):
-    """Title, meta values and main text of a page."""
+class Element(NamedTuple):
+    tag: str
+    hidden: bool
+    parts: tuple[int, ...]  # the content parts it lies in
+
+
+class PageReader(HTMLParser):
+    """One pass over a page: title, metas, JSON-LD scripts, and its text as a whole and by parts with content.
+
+    Parts are numbered as they begin and ranked by what marks them: a main or article element, the main role, a class.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
-        self.text: list[str] = []
+        self.open: list[Element] = []
+        self.ranks: list[int] = []
+        self.said: dict[int, list[str]] = {-1: []}  # -1: the whole page
         self.title: list[str] = []
+        self.titles = 0
         self.h1: list[str] = []
+        self.h1s = 0
         self.meta: dict[str, str] = {}
+        self.snippets: list[str] = []
+        self.script: list[str] | None = None
+        self.code: list[str] | None = None
+
+    def add(self, text: str) -> None:
+        here = self.open[-1] if self.open else Element("", False, ())
+        if not here.hidden:
+            for part in (-1, *here.parts):
+                self.said[part].append(text)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        named = dict(attrs)
-        if tag == "meta" and (name := named.get("property") or named.get("name")):
-            self.meta[name.lower()] = named.get("content") or ""
-        if tag not in VOID:
-            hidden = tag in SKIPPED or bool(CLUTTER & set((named.get("class") or "").lower().split()))
-            self.stack.append((tag, hidden or bool(self.stack and self.stack[-1][1])))
+        named = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "meta":
+            name, value = METAS.get((named.get("property") or named.get("name", "")).lower()), named.get("content", "").strip()
+            if name and value:
+                self.meta.setdefault(name, value)
+        if tag in VOID:
+            return
+        above = self.open[-1] if self.open else Element("", False, ())
+        hidden = above.hidden or tag in SKIPPED or bool(CLUTTER.search(named.get("class", "")) or CLUTTER.search(named.get("id", "")))
+        rank = 0 if tag in ("main", "article") else 1 if named.get("role") == "main" else 2 if CONTENT.search(named.get("class", "")) else None
+        parts = above.parts
+        if rank is not None and not hidden:
+            parts = (*parts, len(self.ranks))
+            self.said[len(self.ranks)] = []
+            self.ranks.append(rank)
+        self.open.append(Element(tag, hidden, parts))
+        self.titles += tag == "title"
+        self.h1s += tag == "h1"
+        if tag == "script" and named.get("type") == "application/ld+json":
+            self.script = []
+        if tag == "pre" and self.code is None:
+            self.code = []
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag), None)
+        if at is None:
+            return
+        if tag == "script" and self.script is not None:
+            content = "".join(self.script).strip()
+            if any(w in content for w in SCHEMA_WORDS):
+                self.snippets.append(content)
+            self.script = None
+        if self.code is not None and not any(e.tag == "pre" for e in self.open[:at]) and any(e.tag == "pre" for e in self.open[at:]):
+            self.end_code()
+        del self.open[at:]
+
+    def end_code(self) -> None:
+        code = "".join(self.code or []).strip()
+        if code:
+            self.add(f"\n\n```python\n{code}\n```\n\n")
+        self.code = None
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.stack]
-        if "title" in tags:
+        tag = self.open[-1].tag if self.open else ""
+        if self.script is not None:
+            self.script.append(data)
+        if tag == "title" and self.titles == 1:
             self.title.append(data)
-        elif not (self.stack and self.stack[-1][1]) and data.strip():
-            self.text.append(data.strip())
-            if "h1" in tags:
-                self.h1.append(data.strip())
-
-
-def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Title (title, og:title or h1), description and main text of each page."""
+        if self.h1s == 1 and any(e.tag == "h1" for e in self.open):
+            self.h1.append(data)
+        if self.code is not None:
+            self.code.append(data)
+        else:
+            self.add(data)
+
+    def close(self) -> None:
+        super().close()
+        if self.code is not None:
+            self.end_code()
+
+    def text(self) -> str:
+        first = min(range(len(self.ranks)), key=lambda i: (self.ranks[i], i), default=-1)
+        if len("".join(self.said[first]).strip()) <= 200:
+            first = -1
+        return "\n".join(x for line in "\n".join(self.said[first]).splitlines() if (x := line.strip()))
+
+
+def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", snippets: int | None = None) -> DataFrame:
+    """Title (title, meta title or first h1), metas (title, description, url), JSON-LD of postings and main text of each page.
+
+    The main text is that of the first main or article element (else of the main role, else of a class for content) if it has
+    over 200 characters, else the page's, without clutter, a line for each line of it; code blocks are fenced. snippets: JSON-LD
+    scripts kept (by default all). A null page gives empty values.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for k, page in zip(pdf[key], pdf[html].fillna("")):
-                p = MainText()
+                p = PageReader()
                 p.feed(page)
                 p.close()
-                title = " ".join("".join(p.title).split()) or p.meta.get("og:title", "") or " ".join(p.h1)
-                rows.append((k, title, p.meta.get("description", ""), "\n".join(p.text)))
-            yield pd.DataFrame(rows, columns=[key, "title", "description", "text"])
+                title = "".join(p.title).strip() or p.meta.get("title") or "".join(p.h1).strip()
+                rows.append((k, title, p.meta, p.snippets if snippets is None else p.snippets[:snippets], p.text()))
+            yield pd.DataFrame(rows, columns=[key, "title", "meta", "snippets", "text"])
+
+    return pages.select(key, html).mapInPandas(run, T.StructType([pages.schema[key], *T.StructType.fromDDL("title string, meta map<string,string>, snippets array<string>, text string")]))
+
 
-    return pages.select(key, html).mapInPandas(run, f"{key} long, title string, description string, text string")
+def with_metadata(pages: DataFrame) -> DataFrame:
+    """Rows of page_text() with the metas and JSON-LD as blocks before the text, as claim_passages() reads them."""
+    block = lambda name, end, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"--- STRUCTURED {name} ---\n"), F.array_join(lines, "\n"), F.lit(f"\n--- END {end} ---\n\n"))).otherwise("")
+    metas = F.array_compact(F.transform(F.array(*map(F.lit, ("title", "description", "url"))), lambda k: F.concat(F.upper(k), F.lit(": "), F.try_element_at("meta", k))))
+    return pages.withColumn("text", F.concat(block("JOB SCHEMA (JSON-LD)", "STRUCTURED SCHEMA", F.col("snippets")), block("PAGE METADATA", "PAGE METADATA", metas), "text"))
 
 
 # Words that mark a section as no answer, and titles that are none.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import columns as c
 from lodestone.operators import evidence, listings, news, postings, resolve, series
 from lodestone.plans.components import connected_components
-from lodestone.sources import payloads, sections
+from lodestone.sources import payloads, sections, sinks
 
 
 def one(spark, column):
@@ -132,9 +132,81 @@ def test_hard_filter(spark):
 
 
 def test_page_text(spark):
-    html = '<html><head><title>A &amp; B</title><meta name="description" content="d"><script>x</script></head><body><nav>menu</nav><div class="ad box">buy</div><h1>Head</h1><p>Main <b>text</b>.</p></body></html>'
-    rows = payloads.page_text(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
-    assert tuple(rows[0]) == (1, "A & B", "d", "Head\nMain\ntext\n.") and rows[1]["text"] == ""
+    posting = '{"@type": "JobPosting"}'
+    html = f'''<html><head><title>A &amp; B</title><meta name="description" content=" d "><meta property="og:description" content="later"><meta name="twitter:url" content="https://x.org/">
+<script type="application/ld+json"> {posting} </script><script type="application/ld+json">{{"a": 1}}</script><script>x</script></head>
+<body><nav>menu</nav><div class="ads-box">buy</div><div id="Newsletter-1">mail</div><div class="ad">kept</div><h1>Head</h1><p>Main <b>text</b>.</p><pre>a = 1
+  b</pre></body></html>'''
+    long = f"<html><head><meta property='og:title' content='O'></head><body>out<article><p>{'word ' * 50}</p></article><div class='content'>other</div></body></html>"
+    rows = payloads.page_text(spark.createDataFrame([(1, html), (2, None), (3, long), (4, "<h1>One</h1><main>short</main>after<h1>Two</h1>"), (5, "<pre>open <b>code"), (6, "")], "page_id long, html string")).orderBy("page_id").collect()
+    assert (rows[0]["title"], rows[0]["meta"], rows[0]["snippets"]) == ("A & B", {"description": "d", "url": "https://x.org/"}, [posting])
+    assert rows[0]["text"] == "A & B\nkept\nHead\nMain\ntext\n.\n```python\na = 1\nb\n```"
+    assert (rows[2]["title"], rows[2]["text"]) == ("O", ("word " * 50).strip()) and (rows[3]["title"], rows[3]["text"]) == ("One", "One\nshort\nafter\nTwo")
+    assert rows[4]["text"] == "```python\nopen code\n```" and [tuple(rows[i])[1:] for i in (1, 5)] == [("", {}, [], "")] * 2
+    headed = payloads.with_metadata(payloads.page_text(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))).orderBy("page_id").collect()
+    assert headed[0]["text"].startswith(f"--- STRUCTURED JOB SCHEMA (JSON-LD) ---\n{posting}\n--- END STRUCTURED SCHEMA ---\n\n--- STRUCTURED PAGE METADATA ---\nDESCRIPTION: d\nURL: https://x.org/\n--- END PAGE METADATA ---\n\nA & B") and headed[1]["text"] == ""
+
+
+def test_claim_passages(spark):
+    told = "A description of the page that is long enough to be a claim"
+    menu = "Home\n" * 12
+    text = f"--- STRUCTURED PAGE METADATA ---\nTITLE: t\nDESCRIPTION: {told}\n--- END PAGE METADATA ---\n\n{told}\n\nRead our privacy policy before you go any further here\n\n{menu}\n\nThe first paragraph\nspeaks of  joins and of little else\n\nThe second tells of the overhead {'x' * 400}\n\ntoo short"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "Short")], "doc_id long, text string")
+    rows = evidence.claim_passages(docs, "doc_id").orderBy("place").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, told, False), (1, 2, "The first paragraph speaks of joins and of little else", False), (1, 3, "The second tells of the overhead " + "x" * 400, True)]
+    cut = evidence.claim_passages(docs, "doc_id", most=3, width=300).filter("place = 3").first()["claim"]
+    assert len(cut) == 300 and cut.endswith("x...")
+    assert evidence.claim_passages(docs, "doc_id", most=2).count() == 2 and evidence.claim_passages(docs.limit(0), "doc_id").count() == 0
+
+
+def test_contact_points(spark):
+    hits = spark.createDataFrame([("a", 1, "https://a.org/about", "Info@a.org, joe@a.org and jobs@a.org", "a.org/"), ("a", 2, "https://a.org/x", "info@a.org", "a.org/"), ("b", 3, None, None, None), ("c", 4, "https://c.org/Careers", None, "")], "entity string, seq long, url string, text string, own string")
+    rows = evidence.contact_points(hits, "entity", "seq", "own").orderBy("entity", "place").collect()
+    assert [(r["entity"], r["kind"], r["value"], r["place"]) for r in rows] == [("a", "page", "https://a.org/contact", 1), ("a", "page", "https://a.org/about", 2), ("a", "email", "info@a.org", 3), ("a", "email", "jobs@a.org", 4), ("c", "page", "https://c.org/Careers", 1)]
+    assert {r["source"] for r in rows if r["kind"] == "email"} == {"https://a.org/about"} and evidence.contact_points(hits, "entity", "seq", most=1).count() == 2
+
+
+@pytest.mark.parametrize(("location", "shown"), [
+    (None, "Remote / Unspecified"), (" Unspecified", "Remote / Unspecified"), ("['Dubai']", "Dubai"), ("[]", "Remote / Unspecified"),
+    ("{'@type': 'Place', 'address': {'addressLocality': 'Riyadh', 'addressCountry': 'SA'}}", "Riyadh, SA"),
+])
+def test_shown_place(spark, location, shown):
+    assert one(spark, listings.shown_place(F.lit(location).cast("string"))) == shown
+
+
+def test_facets(spark):
+    rows = [("A", "Dubai", "verified"), ("A", "['Dubai']", "verified"), (" ", "Remote", "rejected"), ("B", None, "verified"), ("C", "London (Remote)", None)]
+    got = {(r["facet"], r["value"]): r["n"] for r in listings.facets(spark.createDataFrame(rows, "company string, location string, status string")).collect()}
+    assert got == {("company", "A"): 2, ("company", "B"): 1, ("company", "C"): 1, ("company", "Direct Employer"): 1, ("location", "Dubai"): 2, ("location", "London (Remote)"): 1, ("mode", "remote"): 3, ("mode", "onsite"): 2, ("status", "verified"): 3, ("status", "rejected"): 1, ("status", None): 1}
+
+
+def test_run_coverage(spark):
+    runs = spark.createDataFrame([(r, s, 0, d) for r, s, d in (("done", 3, None), ("late", 3, "2026-01-01"), ("spent", 150, None), ("left", 3, None), ("none", 3, None), ("empty", 3, None))], "run_id string, search_calls int, fetch_calls int, deadline string").withColumn("deadline", F.to_timestamp("deadline"))
+    records = spark.createDataFrame([("done", "verified", True, "Riyadh, Saudi", 1, None, None), ("done", "duplicate", None, "Dubai", None, None, 5), ("none", "rejected", False, "Dubai", None, None, 5)], "run_id string, status string, qualified boolean, location string, experience_min int, experience_max int, posted_age_seconds long")
+    tasks = spark.createDataFrame([("done", "completed"), ("left", "pending"), ("left", "completed"), ("none", "blocked")], "run_id string, state string")
+    got = {r["run_id"]: r for r in listings.run_coverage(runs, records, tasks, ["Saudi Arabia", "Dubai"], 2, "2026-06-01").collect()}
+    assert {k: r["run_status"] for k, r in got.items()} == {"done": "complete_within_scope", "late": "interrupted", "spent": "partial", "left": "partial", "none": "failed", "empty": "complete_within_scope"}
+    done = got["done"]
+    assert (done["raw"], done["unique"], done["duplicates"], done["qualified"], done["unknown_experience"], done["unknown_date"], done["weak_areas"], done["is_sufficient"]) == (2, 1, 1, 1, 0, 1, ["Dubai"], False)
+    assert got["spent"]["budgets_reached"] == ["max_search_calls"] and got["empty"]["raw"] == 0 and got["empty"]["weak_areas"] == ["Saudi Arabia", "Dubai"]
+
+
+def test_manifest_counts_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 'a "quoted"\nline, with a break') for i in range(25)], "record_id long, title string").repartition(3)
+    sinks.export_csv(rows, f"{tmp_path}/csv")
+    told = sinks.manifest(spark, f"{tmp_path}/csv", "csv")
+    assert told.agg(F.sum("rows")).first()[0] == 25 and told.filter("length(sha256) = 64 and length > 0").count() == told.count()
+    victim = sorted((tmp_path / "csv").glob("part-*"))[0]
+    victim.write_text("record_id,title\n")
+    (tmp_path / "csv" / f".{victim.name}.crc").unlink(missing_ok=True)
+    kept = {r["file"]: r["rows"] for r in sinks.manifest(spark, f"{tmp_path}/csv", "csv").collect()}
+    assert kept[victim.name] == 0 and sum(kept.values()) < 25
+
+
+def test_sketches_add_up(spark):
+    calls = spark.range(20000).selectExpr("CONCAT('t', id % 3) AS tool", "CONCAT('d', id % 4) AS domain", "CAST(id AS DOUBLE) AS duration", "id % 10 = 0 AS failed")
+    total = listings.ops_rollup(listings.ops_sketches(calls)).filter("tool IS NULL").first()
+    assert total["n"] == 20000 and total["errors"] == 2000 and total["error_rate"] == 0.1 and abs(total["p50"] - 10000) < 660 and abs(total["p95"] - 19000) < 660
 
 
 def test_technical_sections(spark):
