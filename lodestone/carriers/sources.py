@@ -77,7 +77,7 @@ def json_export(s, d):
 
 QUERIES = {
     **{f"a{i}_{kind}_postings": reader(kind) for i, kind in enumerate(ROWS, 1)},
-    "a6_page_text": lambda s, d: p.page_text(table(s, d, "pages")).select("page_id", "title", F.length("text").alias("n_chars")),
+    "a6_page_text": lambda s, d: p.page_text(table(s, d, "pages")).select("page_id", "title", "text", F.array_join(F.array_sort(F.map_keys("meta")), ",").alias("metas")),
     "a8_jsonld_postings": lambda s, d: p.jsonld_postings(postings(s, d).select(F.col("seq").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(F.expr("named_struct('@type', IF(seq % 3 = 0, 'Article', 'JobPosting'), 'title', title, 'datePosted', at, 'hiringOrganization', named_struct('name', company), 'jobLocation', array(named_struct('address', named_struct('addressLocality', location, 'addressCountry', 'X'))))")), F.lit("</script></html>")).alias("html"))).select("page_id", "title", "company", "location", "posted_at"),
     "a9_section_postings": lambda s, d: sections.section_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("## "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\nApply: https://x/"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location", "url"),
     "a10_heading_postings": lambda s, d: sections.heading_postings(postings(s, d).groupBy((F.col("seq") % 900).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title", "id"))), lambda r: F.concat(F.lit("# "), r["title"], F.lit("\nLocation: L"), r["id"], F.lit("\n"))), "").alias("text"))).select("doc_id", "pos", "title", "location"),
@@ -166,7 +166,12 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS place, na
 )
 
 
+TAGGED = "(?:script|style|nav|footer|header|noscript|svg|iframe|aside|form)"
+TEXT_OF = lambda x: f"array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(10)), lambda l: regexp_replace(l, '^[\\s' || chr(160) || ']+|[\\s' || chr(160) || ']+$', '', 'g')), lambda l: l <> ''), chr(10))"
 ORACLES = {
+    "a6_page_text": f"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<(script|style)\\b.*?</(script|style)>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<header\\b.*?</header>|<aside\\b.*?</aside>|<form\\b.*?</form>', '', 'g') AS h FROM pages),
+ a AS (SELECT page_id, h, regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1) AS main FROM c), t AS (SELECT page_id, {TEXT_OF('h')} AS whole, {TEXT_OF('main')} AS part, {TEXT_OF("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {TEXT_OF("regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1 FROM a)
+ SELECT page_id, coalesce(nullif(title, ''), h1) AS title, CASE WHEN length(replace(part, chr(10), '')) > 200 THEN part ELSE whole END AS text, '' AS metas FROM t""",
     "j10_posting_from_page": SINGLE,
     "j7_technical_sections": CONCEPTS,
     "j8_competitor_profiles": RIVALS,
