@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,11 +177,16 @@ def written(spans: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit(""))
 
 
+def of_kind(i: int) -> Callable[[Column], Column]:
+    # a second parameter, even with a default, would be the element's place in the array
+    return lambda x: x["k"] == i
+
+
 def op7(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", whole_text().alias("text")).withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     spans = personal_data(keyed.select("doc_key", "text"))
     s = spans.select(F.col("doc_key.doc_id").alias("s_id"), F.col("doc_key.h").alias("s_h"), "firm", "spans")
     ids = keyed.select("doc_id", F.col("doc_key.h").alias("h"))
     joined = ids.join(s, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
-    counts = [F.coalesce(F.size(F.filter("firm", lambda x, i=i: x["k"] == i)), F.lit(0)).cast("long").alias(f"n_{name}") for i, name in enumerate(BASE)]
+    counts = [F.size(F.filter("firm", of_kind(i))).cast("long").alias(f"n_{name}") for i, name in enumerate(BASE)]
     return joined.withColumn("firm", F.coalesce("firm", F.array().cast("array<struct<start:bigint,k:int,end:bigint,base:boolean>>"))).select("doc_id", *counts, F.sha2(written(F.col("firm")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
