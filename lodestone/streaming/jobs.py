@@ -94,6 +94,11 @@ class Streaks(InOrder):
 class Changes(InOrder):
     """What differs from the snapshot before: status, else price; and the headlines that it did not have."""
 
+    def __init__(self, keep_ms: int, least: float, share: bool):
+        super().__init__(keep_ms)
+        self.least = least
+        self.share = share
+
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "state string, price double", self.keep_ms)
         self.news = handle.getMapState("news", "headline string", "seq long", self.keep_ms)
@@ -108,7 +113,7 @@ class Changes(InOrder):
             if last is not None:
                 if row["state"] != last[0]:
                     out.append((key, row["seq"], "status", None))
-                elif abs(row["price"] - last[1]) > 0.001:
+                elif abs(row["price"] - last[1]) > self.least * (abs(last[1]) if self.share else 1):
                     out.append((key, row["seq"], "price", None))
                 out += [(key, row["seq"], "headline", x) for x in now if x not in held]
             last, held = (row["state"], float(row["price"])), set(now)
@@ -131,13 +136,13 @@ def stream_streak(rows: DataFrame, limit: int = 5, keep_days: float = 30) -> Dat
     return keyed_state(rows, "run_id", Streaks(limit, int(keep_days * DAY_MS)), "run_id string, seq long, streak long, alert boolean")
 
 
-def stream_changes(rows: DataFrame, keep_days: float = 90) -> DataFrame:
+def stream_changes(rows: DataFrame, keep_days: float = 90, least: float = 0.001, share: bool = False) -> DataFrame:
     """target, seq, change, headline for snapshots (target, seq, state, price and, if there, news: an array of headlines).
 
-    A change is `status`, else `price` (by over 0.001), and `headline` for each headline that the snapshot before did not have.
+    A change is `status`, else `price` (by over least: an amount, or with share a share of the price before), and `headline` for each headline that the snapshot before did not have.
     Repeats give nothing. A target's state (its last snapshot, the headlines as a map) goes keep_days after its last row.
     """
-    return keyed_state(rows, "target", Changes(int(keep_days * DAY_MS)), "target string, seq long, change string, headline string")
+    return keyed_state(rows, "target", Changes(int(keep_days * DAY_MS), least, share), "target string, seq long, change string, headline string")
 
 
 def stream_upsert(stream: DataFrame, path: str, keys: list[str], order: str, keep: list[str] = ()) -> StreamingQuery:
