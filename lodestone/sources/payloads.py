@@ -78,6 +78,9 @@ METAS = {"og:title": "title", "twitter:title": "title", "og:description": "descr
 SCHEMA_WORDS = ("JobPosting", "datePosted", "hiringOrganization")
 
 
+LONE = re.compile(r"&(?!#?[0-9A-Za-z]+;)")
+
+
 class Element(NamedTuple):
     tag: str
     hidden: bool
@@ -92,6 +95,7 @@ class PageReader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.lone = "&#38;"
         self.open: list[Element] = []
         self.ranks: list[int] = []
         self.said: dict[int, list[str]] = {-1: []}  # -1: the whole page
@@ -104,6 +108,12 @@ class PageReader(HTMLParser):
         self.script: list[str] | None = None
         self.code: list[str] | None = None
 
+    def feed(self, data: str) -> None:
+        """A whole page. References count only with their semicolon, so any other & is written out as one that the page lacks."""
+        while self.lone in data:
+            self.lone = self.lone.replace("#", "#0")
+        super().feed(LONE.sub(self.lone, data))
+
     def add(self, text: str) -> None:
         here = self.open[-1] if self.open else Element("", False, ())
         if not here.hidden:
@@ -154,6 +164,8 @@ class PageReader(HTMLParser):
         self.code = None
 
     def handle_data(self, data: str) -> None:
+        if self.cdata_elem in self.CDATA_CONTENT_ELEMENTS:  # read as it stands, without references
+            data = data.replace(self.lone, "&")
         tag = self.open[-1].tag if self.open else ""
         if self.script is not None:
             self.script.append(data)
@@ -171,18 +183,20 @@ class PageReader(HTMLParser):
         if self.code is not None:
             self.end_code()
 
+    def lines(self, part: int) -> list[str]:
+        return [x for line in "\n".join(self.said[part]).splitlines() if (x := line.strip())]
+
     def text(self) -> str:
         first = min(range(len(self.ranks)), key=lambda i: (self.ranks[i], i), default=-1)
-        if len("".join(self.said[first]).strip()) <= 200:
-            first = -1
-        return "\n".join(x for line in "\n".join(self.said[first]).splitlines() if (x := line.strip()))
+        lines = self.lines(first)
+        return "\n".join(lines if sum(map(len, lines)) > 200 else self.lines(-1))
 
 
 def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", snippets: int | None = None) -> DataFrame:
     """Title (title, meta title or first h1), metas (title, description, url), JSON-LD of postings and main text of each page.
 
     The main text is that of the first main or article element (else of the main role, else of a class for content) if it has
-    over 200 characters, else the page's, without clutter, a line for each line of it; code blocks are fenced. snippets: JSON-LD
+    over 200 characters in its lines, else the page's, without clutter, a line for each line of it; code blocks are fenced. snippets: JSON-LD
     scripts kept (by default all). A null page gives empty values.
     """
 
