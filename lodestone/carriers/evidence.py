@@ -81,7 +81,7 @@ QUERIES = {
     "k2_preference_signals": lambda s, d: m.preference_signals(prefs(s, d)).withColumn("weight", F.round("weight", 6)),
     "k3_preference_boost": lambda s, d: m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
     "k4_soft_boost": lambda s, d: m.soft_boost(carrier(s, d, "postings").selectExpr("record_id", "company", "CASE seq % 3 WHEN 0 THEN 'Retail' ELSE 'Banking' END AS industry", "split(skills, ',') AS skills"), m.preference_signals(prefs(s, d))).withColumn("boost", F.round("boost", 6)),
-    "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_boost(carrier(s, d, "postings"), m.preference_signals(prefs(s, d)))).select("user_id", "record_id", "place", F.round("final", 6).alias("final")),
+    "k5_boosted_rank": lambda s, d: m.boosted_rank(postings.rank_postings(postings.normalize_postings(carrier(s, d, "postings")), postings.JobSpec(title="Data Scientist")).select("record_id", "relevance_raw"), m.preference_lists(carrier(s, d, "postings"), m.preference_signals(prefs(s, d)))).select("user_id", "record_id", "place", F.round("final", 6).alias("final")),
     "c22_opportunity_match": lambda s, d: m.match_opportunities(seekers(s, d), openings(s, d)).select("cand", "opp", "match"),
 }
 

@@ -273,3 +273,17 @@ def test_boosted_rank(spark):
     boosts = spark.createDataFrame([("u", "a", 0.25), ("u", "b", 0.1), ("u", "c", -0.25), ("u", "d", 0.1), ("v", "b", 0.0)], "user_id string, record_id string, boost double")
     rows = evidence.boosted_rank(ranked, boosts).collect()
     assert {(r["user_id"], r["record_id"]): (r["place"], round(r["final"], 6)) for r in rows} == {("u", "a"): (1, 1.0), ("u", "b"): (2, 0.6), ("u", "d"): (3, 0.6), ("u", "c"): (4, 0.0), ("v", "b"): (1, 0.5)}
+
+
+def test_places_over_ranges(spark):
+    """No task ranks all rows of a user, and lists rank as their rows do."""
+    ranked = spark.range(3000).selectExpr("concat('r', id) AS record_id", "(id * 37 % 50) / 50 AS relevance_raw")
+    users = [("u",), (None,), ("v",)]
+    lists = ranked.selectExpr("record_id", "array(named_struct('user_id', 'u'), named_struct('user_id', cast(null as string)), named_struct('user_id', 'v')) AS users", "array(0.1D, 0.0D, CASE WHEN record_id LIKE '%7' THEN -0.2D END) AS boosts")
+    got = [evidence.boosted_rank(ranked, b) for b in (lists, evidence.opened(lists))]
+    rows = [{(r["user_id"], r["record_id"]): (r["place"], r["final"]) for r in g.collect()} for g in got]
+    assert rows[0] == rows[1] and len(rows[0]) == 6300
+    for (u,) in users:
+        mine = sorted(((k[1], *v) for k, v in rows[0].items() if k[0] == u), key=lambda x: x[1])
+        assert [x[1] for x in mine] == list(range(1, len(mine) + 1)) and mine == sorted(mine, key=lambda x: (-x[2], x[0]))
+    assert "hashpartitioning(user_id" not in got[0]._jdf.queryExecution().executedPlan().toString()
