@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from lodestone.plans.components import cut
 
 LIMIT = 8 << 20  # bytes of patterns in a block
 SLICE = 64 << 20  # bytes of texts in a slice that meets one of several blocks
+PART = 4 << 20  # bytes of texts, or one text, that are read at once
 #: Makes a function of one batch of texts from a block of patterns.
 Matcher = Callable[[pa.Table], Callable[[pa.RecordBatch], pa.RecordBatch]]
 
@@ -33,6 +35,17 @@ def automaton(words: list[str]) -> ahocorasick.Automaton:
     return found
 
 
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of hardly more than PART bytes of text, as strings of Python and what is found in them take several times that."""
+    start = held = 0
+    for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
+        if held and held + (n or 0) > PART:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    yield batch.slice(start)
+
+
 def matched(texts: DataFrame, text: str, patterns: DataFrame, width: str, matcher: Matcher, schema: T.StructType | str) -> DataFrame:
     """What the matcher gives for all texts and all patterns. width: column with a pattern's bytes, for its own use only.
 
@@ -48,7 +61,7 @@ def matched(texts: DataFrame, text: str, patterns: DataFrame, width: str, matche
             find = None
             for batch in batches:
                 find = find or matcher(sent.value)
-                yield find(batch)
+                yield from map(find, parts(batch, text))
 
         return texts.mapInArrow(run, schema)
     slices = max(1, -(-int(texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SLICE))
@@ -64,7 +77,7 @@ def matched(texts: DataFrame, text: str, patterns: DataFrame, width: str, matche
         if not some.num_rows or not block.num_rows:
             return pa.Table.from_batches([], schema=empty)
         find = matcher(block.drop_columns(by))
-        return pa.Table.from_batches([find(b) for b in some.drop_columns(by).to_batches(max_chunksize=1000)]).select(names).cast(empty)
+        return pa.Table.from_batches([find(p) for b in some.drop_columns(by).to_batches() for p in parts(b, text)]).select(names).cast(empty)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -115,3 +115,15 @@ def test_boosts_over_blocks_of_users(spark, monkeypatch):
                 want[u, r] = want.get((u, r), 0.0) + min(w * abs(f), cap) * (1 if f > 0 else -1)
     found = {(x["user_id"], x["record_id"]): x["boost"] for x in got.collect()}
     assert found == pytest.approx({k: max(-0.25, min(0.25, b)) for k, b in want.items()}) and len(found) > 20
+
+
+def test_texts_are_read_in_parts(spark, monkeypatch):
+    """No more than PART bytes of texts, or one text, become strings at once."""
+    batch = patterns.pa.RecordBatch.from_pydict({"text": ["a" * 60, None, "b" * 60, "", "c" * 300, "é" * 20, "d"]})
+    monkeypatch.setattr(patterns, "PART", 100)
+    cut = [p.column("text").to_pylist() for p in patterns.parts(batch, "text")]
+    assert sum(cut, []) == batch.column("text").to_pylist() and [len(p) for p in cut] == [2, 2, 1, 2]
+    texts, words = made()
+    docs = spark.createDataFrame([(i, t * 30 if t else t) for i, t in texts], "id long, text string")
+    seen = {(r["id"], r["w"]) for r in patterns.contained(docs, "id", "text", spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()}
+    assert seen == {(i, w) for i, t in texts if t for w in words if w in t * 30}
