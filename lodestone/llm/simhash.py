@@ -230,7 +230,8 @@ def grouped_links(keyed: DataFrame, lanes: list[str], radii: tuple[int, ...], st
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), *lanes), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, own).alias("lo"), F.greatest(o, own).alias("hi")))
-    paired = keyed.join(counted, ["t", "value"]).select("t", "value", *lanes, F.inline(pairs))
+    # keyed has a row for each mask, but Spark takes it to be as large as the table before the explode: never a broadcast
+    paired = keyed.hint("merge").join(counted, ["t", "value"]).select("t", "value", *lanes, F.inline(pairs))
     group_by = ["t", "value", "lo", "hi"]
 
     def edges(rows: pa.Table) -> np.ndarray:
@@ -348,7 +349,7 @@ def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
     others = firsts.select(F.explode(F.array_except("firsts", F.array("root"))).alias("other"), "root")
     links = firsts.select("a0", "a1", *root("root")).unionByName(others.select(F.col("other.b0").alias("a0"), F.col("other.b1").alias("a1"), *root("root"))).distinct()
     for end in "ab":
-        links = links.join(prints.select(F.col("f0").alias(f"{end}0"), F.col("f1").alias(f"{end}1"), F.col("least").alias(end)), [f"{end}0", f"{end}1"])
+        links = links.join(prints.select(F.col("f0").alias(f"{end}0"), F.col("f1").alias(f"{end}1"), F.col("least").alias(end)).hint("merge"), [f"{end}0", f"{end}1"])
     same = nodes.join(prints, LANES).filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     found = stored(links.select("a", "b").unionByName(same), "near-links")
     dropped(prints)
