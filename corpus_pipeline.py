@@ -40,9 +40,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select("d", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("d.*")
 
 
+#: Words in a generation of the tokenizer's cache: the executors' heaps are full behind the other stages, so workers hold less than in op1.
+CACHED_WORDS = 150_000
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, checked by decoding."""
-    return bpe.op1(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.op1(docs, public_tokenizers.path("word_bpe_49k.json"), CACHED_WORDS)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near_copies), ("mixing", mixed), ("tokens", tokens)]

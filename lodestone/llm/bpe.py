@@ -45,12 +45,12 @@ def byte_alphabet() -> list[str]:
 class WordCache(dict):
     """Results by word. When a generation is full it becomes the old one; words found there are carried over."""
 
-    def __init__(self, make):
+    def __init__(self, make, cached: int = CACHED_WORDS):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.cached, self.old = make, cached, {}
 
     def put(self, word: bytes, value: bytes) -> None:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.cached:
             self.old = dict(self)
             self.clear()
         if len(word) <= 64:
@@ -67,7 +67,7 @@ class WordCache(dict):
 class WordBpe:
     """Encoder and decoder over the content of a tokenizers JSON file of the word-end BPE kind."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, cached: int = CACHED_WORDS):
         spec = json.loads(content)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
@@ -89,8 +89,8 @@ class WordBpe:
         library = Tokenizer.from_str(content)
         self.normal, self.cut = library.normalizer, library.pre_tokenizer
         self.byte_of = {c: b for b, c in enumerate(alphabet)}
-        self.pieces: dict[bytes, list[int]] = {}
-        self.words = WordCache(self.fresh)
+        self.pieces: dict[bytes, bytes] = {}
+        self.cached, self.words = cached, WordCache(self.fresh, cached)
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -139,21 +139,21 @@ class WordBpe:
         """Ids of a run without ASCII white space, as little-endian unsigned 32-bit integers."""
         text = word.decode("utf-8", "replace")
         parts = self.cut_special.split(text) if self.cut_special and any(m in word for m in self.marks) else (text,)
-        out: list[int] = []
+        out: list[bytes] = []
         for part in parts:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
             for piece in self.pieces_of(part):
                 ids = self.pieces.get(piece)
                 if ids is None:
-                    ids = self.merged(piece)
-                    if len(self.pieces) >= CACHED_WORDS:
+                    ids = np.array(self.merged(piece), "<u4").tobytes()
+                    if len(self.pieces) >= self.cached:
                         self.pieces.clear()
                     if len(piece) <= 64:
-                        self.pieces[piece] = ids
-                out += ids
-        return np.array(out, dtype="<u4").tobytes()
+                        self.pieces[word if piece == word else piece] = ids  # a word that is one piece is held once
+                out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
         """White space is a starter for NFC and never part of a pre-token, so words are encoded one by one."""
@@ -164,21 +164,21 @@ class WordBpe:
         return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[tuple[str, int], WordBpe] = {}
 
 
-def loaded(content: str) -> WordBpe:
-    """One encoder per worker and file."""
-    if content not in _LOADED:
-        _LOADED[content] = WordBpe(content)
-    return _LOADED[content]
+def loaded(content: str, cached: int = CACHED_WORDS) -> WordBpe:
+    """One encoder per worker, file and size of its cache."""
+    if (content, cached) not in _LOADED:
+        _LOADED[content, cached] = WordBpe(content, cached)
+    return _LOADED[content, cached]
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text", cached: int = CACHED_WORDS) -> DataFrame:
     """Adds ids (binary, little-endian unsigned 32-bit) and decoded (string), decoded from those ids.
 
     The vocabulary file (a fixed size, 1.7 MB) goes to the executors as a broadcast variable, so its path needs to
-    exist on the driver alone.
+    exist on the driver alone. cached: words in a generation of a worker's cache; fewer cost time and save memory.
     """
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
@@ -186,7 +186,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text") ->
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = loaded(content.value)
+        codec = loaded(content.value, cached)
         for part in slices(batches, text):
             ids = [codec.encode(t or b"") for t in part.column(text).cast(pa.binary()).to_pylist()]
             decoded = [codec.decode(x) for x in ids]
@@ -203,6 +203,6 @@ def ids_as_array(ids: str = "ids") -> Column:
     return F.when(F.length(ids) == 0, F.array().cast("array<long>")).otherwise(four)
 
 
-def op1(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    done = bpe_round_trip(docs.select("doc_id", "text"), tokenizer_path)
+def op1(docs: DataFrame, tokenizer_path: str, cached: int = CACHED_WORDS) -> DataFrame:
+    done = bpe_round_trip(docs.select("doc_id", "text"), tokenizer_path, cached=cached)
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
